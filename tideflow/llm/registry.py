@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideflow.llm import mixing
+from tideflow.llm import decontamination, exact_dedup, mixing, secrets, sharding
 
-_MODULES = (mixing,)
+_MODULES = (mixing, exact_dedup, sharding, decontamination, secrets)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1 +1,8 @@
 """Spark-native signed-flow time-series analytics, with training-data operators in ``llm``."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# executors need not have the package installed: its functions travel with the tasks
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

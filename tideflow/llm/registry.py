@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideflow.llm import decontamination, exact_dedup, mixing, secrets, sharding
+from tideflow.llm import decontamination, exact_dedup, mixing, secrets, sharding, simhash, warc
 
-_MODULES = (mixing, exact_dedup, sharding, decontamination, secrets)
+_MODULES = (mixing, exact_dedup, sharding, decontamination, secrets, simhash, warc)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideflow.llm import decontamination, exact_dedup, mixing, secrets, sharding, simhash, warc
+from tideflow.llm import decontamination, exact_dedup, mixing, quality, secrets, sharding, simhash, toxicity, warc
 
-_MODULES = (mixing, exact_dedup, sharding, decontamination, secrets, simhash, warc)
+_MODULES = (simhash, mixing, exact_dedup, toxicity, sharding, decontamination, quality, warc, secrets)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -47,7 +47,9 @@ def observables(d: DataFrame, keys: Sequence[str], n_bins: int = 8, least: int =
         F.avg(F.col("dp") * dec).alias("cov"), F.avg(dec * dec).alias("var"), F.count_if(tr).alias("n_tr"),
         F.var_samp(F.when(tr, F.col("raw"))).alias("vr"), F.avg(F.when(tr, F.col("trades"))).alias("mt"), F.max("q_bar").alias("qb"),
     )
-    fit = fit_affinity(symmetry_function(d.select(*keys, F.col("e").alias("q")), keys), keys).select(*keys, "a", "se_a")
+    by_phase = [*keys[:-1], "phase"]  # the symmetry function has bins of its own
+    sym = symmetry_function(d.select(*keys[:-1], F.col("bin").alias("phase"), F.col("e").alias("q")), by_phase)
+    fit = fit_affinity(sym, by_phase).select(*keys[:-1], F.col("phase").alias("bin"), "a", "se_a")
     ok = lambda x, n="n": F.when((F.col("n") >= least) & (F.col(n) >= least), x)
     return s.join(fit, keys, "left").select(
         *keys, phase_label(F.col("bin"), n_bins).alias("hours"), "n", ok(F.col("m")).alias("bias"), ok(F.col("sd") / F.sqrt("n")).alias("se_bias"), ok(F.col("act"), "n_act").alias("activity"),

@@ -13,6 +13,8 @@ from tideflow.functions.scalar import ratio
 def symmetry_function(q: DataFrame, keys: Sequence[str], n_bins: int = 15, quantile: float = 0.99, min_count: int = 10) -> DataFrame:
     """keys, bin, centre, s, se of column ``q``: bins (lo, hi] of |q| up to its quantile, kept with enough counts of both signs."""
     keys = list(keys)
+    if "bin" in keys:
+        raise ValueError("'bin' is a column of the result")
     q = q.where("q IS NOT NULL")
     top = q.groupBy(*keys).agg(F.percentile(F.abs("q"), F.lit(quantile)).alias("top"), F.count("*").alias("rows"))
     d = q.join(top.where((F.col("top") > 0) & (F.col("rows") >= 4 * min_count)), keys)

@@ -53,6 +53,15 @@ def drop_scratch(df: DataFrame) -> None:
             parent.getFileSystem(spark._jsc.hadoopConfiguration()).delete(parent, True)
 
 
+#: A table with a known number of rows is broadcast up to this many, and joined by a shuffle beyond.
+MAX_BROADCAST_ROWS = 200_000
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of ``rows`` narrow rows, as a side to be broadcast if it is small enough."""
+    return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df.hint("merge")
+
+
 def bucket_count(rows: int) -> int:
     """Buckets a key: their number and the rows in each both grow with the square root of the table."""
     return max(1, math.isqrt(max(rows, 1)))

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideflow.llm._shared import drop_scratch, materialize, table
+from tideflow.llm._shared import bounded, drop_scratch, materialize, table
 
 FIRST_BLOCK = 64
 WIDENING = 16
@@ -37,7 +37,8 @@ def duplicate_classes(texts: DataFrame, first_block: int = FIRST_BLOCK, widening
     alive = keys.select("rid", "gid", "block").join(groups, ["gid", "block"]).select("rid", "gid", "keep", "n")
     alive = materialize(alive, "alive0")
     found = [alive.where(F.col("gid") <= first_block).drop("gid")]
-    rest = texts.join(alive.where(F.col("gid") > first_block), "rid")
+    longer = alive.where(F.col("gid") > first_block)
+    rest = texts.join(bounded(longer, longer.count()), "rid")
     rest = rest.select("rid", "doc_id", F.col("keep.rid").alias("gid"), F.expr(f"substring(body, {first_block + 1})").alias("body"))
     rest, width, level = materialize(rest, "rest0"), first_block * widening, 1
     while not rest.isEmpty():

@@ -16,11 +16,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideflow.llm._shared import materialize, table
+from tideflow.llm._shared import bounded, materialize, table
 
 WINDOW = 13
-#: Benchmark-side tables are broadcast up to this many rows, and joined by a shuffle beyond.
-MAX_BROADCAST_ROWS = 200_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -34,10 +32,6 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(fold(F.coalesce(text, F.lit(""))), SEPARATORS), "")
 
 
-def bounded(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
-
-
 def token_table(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash (with doc_id the document's key), n_words, tokens."""
     words = tokens(F.col("text"))
@@ -62,7 +56,8 @@ def term_counts(store: DataFrame, vocabulary: DataFrame, rows: int) -> DataFrame
 def probes(store: DataFrame, windows: DataFrame) -> DataFrame:
     """Windows whose terms all occur, with their terms from rarest on: (n, term, offset) in ``plan``."""
     vocabulary = windows.select(F.explode("words").alias("term")).distinct()
-    counts = term_counts(store, vocabulary, vocabulary.count())
+    known = vocabulary.count()
+    counts = bounded(term_counts(store, vocabulary, known), known)
     placed = windows.select("item_id", "length", "words", F.posexplode("words").alias("offset", "term")).join(counts, "term")
     plan = placed.groupBy("item_id", "length", "words").agg(F.array_sort(F.collect_list(F.struct("n", "term", "offset"))).alias("plan"))
     return plan.where(F.size("plan") == F.col("length"))

@@ -81,8 +81,10 @@ def write_archives(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
     base = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha1("payload")).withColumn("n", F.octet_length("payload"))
-    groups = base.select("page_id", "digest", "n").groupBy("digest", "n").agg(F.max("page_id").alias("keep_id"))
-    marked = base.join(groups, ["digest", "n"])
+    groups = base.select("page_id", "digest", "n").groupBy("digest", "n").agg(F.max("page_id").alias("keep_id"), F.count("*").alias("copies"))
+    groups = materialize(groups, "payloads")
+    total = groups.agg(F.sum(F.col("n") * F.col("copies"))).first()[0] or 0
+    marked = base.join(groups.hint("merge"), ["digest", "n"])
     other = (F.col("n") >= min_revisit_bytes) & F.col("keep_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keep_id"))
     marked = marked.select("page_id", "url", "payload", F.col("keep_id").alias("refers_to"), other.alias("revisit"))
     folder = scratch_path(pages.sparkSession, "warc")
@@ -111,7 +113,9 @@ def write_archives(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
         if done:
             yield pa.RecordBatch.from_pylist([{"file": f"{folder}/{n}", "bytes": s, "records": c} for n, s, c in done])
 
-    return materialize(marked.mapInArrow(write, "file string, bytes long, records long"), "manifest")
+    # whole archives rather than a small one for every shuffle partition
+    tasks = max(pages.sparkSession.sparkContext.defaultParallelism * 4, -(-total // FILE_BYTES))
+    return materialize(marked.coalesce(tasks).mapInArrow(write, "file string, bytes long, records long"), "manifest")
 
 
 def read_range(fs: pafs.FileSystem, path: str, start: int, end: int) -> Iterator[bytes]:

@@ -304,7 +304,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 with fs.open_input_file(name) as f:
                     meta = pq.ParquetFile(f).metadata
                     rows = [(f"{file}#{g}", file, g, meta.row_group(g).total_byte_size) for g in range(meta.num_row_groups)]
-                yield pa.RecordBatch.from_pylist([dict(zip(("item", "file", "row_group", "bytes"), r)) for r in rows]) if rows else pa.RecordBatch.from_pylist([])
+                if rows:
+                    yield pa.RecordBatch.from_pylist([dict(zip(("item", "file", "row_group", "bytes"), r)) for r in rows])
 
     listed = spark.createDataFrame([(f,) for f in files], "file string").repartition(min(max(1, len(files)), 10_000))
     items = materialize(listed.mapInArrow(groups, "item string, file string, row_group long, bytes long"), "items")

@@ -22,7 +22,7 @@ class Forest:
         rows, inner = np.arange(len(x)), self.feature.shape[1] if len(self.feature) else 0
         for feature, threshold, leaf in zip(self.feature, self.threshold, self.leaf):
             at = np.zeros(len(x), np.int64)
-            while inner and at[0] < inner:
+            for _ in range(inner.bit_length()):
                 at = 2 * at + 1 + (x[rows, feature[at]] > threshold[at])
             out += leaf[at - inner]
         return out

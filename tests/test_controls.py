@@ -165,6 +165,11 @@ def test_planted_phase_modulation_beats_rotation(spark):
     t = phase.modulation(phase.observables(phase.rotate_days(phase.prepare(d), 30, 1), ["series", "draw"]), ["series", "draw"])
     p = {r["observable"]: r["p"] for r in phase.empirical_p(t, ["series", "observable"], "modulation").collect()}
     assert p["bias"] < 0.05
+    sums = phase.additive_observables(phase.rotate_days(phase.hour_moments(phase.prepare(d)), 30, 1), ["series", "draw"])
+    fast = {(r["draw"], r["observable"]): r["modulation"] for r in phase.modulation(sums, ["series", "draw"]).collect()}
+    for r in t.where("observable != 'a1'").collect():
+        assert (r["modulation"] is None) == (fast[r["draw"], r["observable"]] is None)
+        assert r["modulation"] is None or abs(r["modulation"] - fast[r["draw"], r["observable"]]) < 1e-9
 
 
 def test_max_t(spark):

@@ -60,7 +60,7 @@ def observables(d: DataFrame, keys: Sequence[str], n_bins: int = 8, least: int =
 
 def modulation(obs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, observable, modulation: population variance across bins, from 3 bins on."""
-    rows = F.array(*[F.struct(F.lit(o).alias("observable"), F.col(o).alias("v")) for o in OBSERVABLES])
+    rows = F.array(*[F.struct(F.lit(o).alias("observable"), F.col(o).alias("v")) for o in OBSERVABLES if o in obs.columns])
     long = obs.select(*keys, F.explode(rows).alias("_r")).select(*keys, "_r.*")
     s = long.groupBy(*keys, "observable").agg(F.var_pop("v").alias("v"), F.count("v").alias("n"))
     return s.select(*keys, "observable", F.when(F.col("n") >= 3, F.col("v")).alias("modulation"))
@@ -72,6 +72,33 @@ def rotate_days(d: DataFrame, draws: int, seed: int) -> DataFrame:
     return d.crossJoin(F.broadcast(d.sparkSession.range(draws + 1).withColumnRenamed("id", "draw"))).withColumn("hour", ((F.col("hour") + turn) % 24).cast("int"))
 
 
+def hour_moments(d: DataFrame) -> DataFrame:
+    """Sums by (series, day, hour) from which the additive observables of any set of hours follow."""
+    d = d.where("e IS NOT NULL AND dp IS NOT NULL")
+    d = d.join(d.groupBy("series").agg(F.avg("e").alias("_m")), "series").withColumn("c", F.col("e") - F.col("_m"))
+    tr = (F.col("trades") > 0) & F.col("raw").isNotNull()
+    act, t, r = F.when(F.col("trades") > 0, F.col("trades")), F.when(tr, F.col("trades")), F.when(tr, F.col("raw"))
+    return d.groupBy("series", "day", "hour", "_m", "q_bar").agg(
+        F.count("*").alias("n"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"), F.sum("dp").alias("d"), F.sum(F.col("dp") * F.col("c")).alias("dc"),
+        F.count(act).alias("na"), F.sum(act).alias("sa"), F.count(t).alias("nt"), F.sum(t).alias("st"), F.sum(r).alias("r"), F.sum(r * r).alias("rr"),
+    )
+
+
+def additive_observables(m: DataFrame, keys: Sequence[str], n_bins: int = 8, least: int = MIN_PER_BIN) -> DataFrame:
+    """keys, bin, n, bias, activity, r1, f1 from ``hour_moments``: as ``observables`` gives them, for draws over sums instead of rows."""
+    keys = [*keys, "bin"]
+    names = ("n", "c", "cc", "d", "dc", "na", "sa", "nt", "st", "r", "rr")
+    s = m.withColumn("bin", phase_bin(F.col("hour"), n_bins)).groupBy(*keys, "_m", "q_bar").agg(*[F.sum(c).alias(c) for c in names])
+    n, c, cc, d, dc, na, sa, nt, st, r, rr = (F.col(x) for x in names)
+    mean, var = c / n, cc - c * c / n
+    raw_var = ratio(rr - ratio(r * r, nt), nt - 1)
+    ok = lambda x, k=n: F.when((n >= least) & (k >= least), x)
+    return s.select(
+        *keys, "n", ok(F.col("_m") + mean).alias("bias"), ok(ratio(sa, na), na).alias("activity"), ok(F.when(var > 0, ratio(dc - mean * d, var))).alias("r1"),
+        ok(F.when(F.col("q_bar") > 0, ratio(raw_var, F.col("q_bar") * F.col("q_bar") * ratio(st, nt))), nt).alias("f1"),
+    )
+
+
 def empirical_p(table: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """keys, observed, p = (1 + #{null >= observed}) / (K + 1), K nulls; draw 0 is the observed one."""
     seen = table.where("draw = 0").select(*keys, F.col(value).alias("observed"))

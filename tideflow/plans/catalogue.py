@@ -521,7 +521,8 @@ def phase_modulation(spark, d):
 
 
 def _rotated(spark, d):
-    return phase.modulation(phase.observables(phase.rotate_days(_phase(spark, d), DRAWS, SEED), ["series", "draw"]), ["series", "draw"])
+    turned = phase.rotate_days(phase.hour_moments(_phase(spark, d)), DRAWS, SEED)
+    return phase.modulation(phase.additive_observables(turned, ["series", "draw"]), ["series", "draw"])
 
 
 @_query

@@ -33,8 +33,9 @@ def duplicate_classes(texts: DataFrame, first_block: int = FIRST_BLOCK, widening
     keep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("rid").alias("rid"))).alias("keep")
     # the first level takes the text's length along: groups then end together
     keys = texts.select("rid", "doc_id", F.octet_length("body").alias("gid"), F.expr(f"substring(body, 1, {first_block})").alias("block"))
-    groups = keys.groupBy("gid", "block").agg(keep, F.count("*").alias("n")).where("n > 1")
-    alive = keys.select("rid", "gid", "block").join(groups, ["gid", "block"]).select("rid", "gid", "keep", "n")
+    # written apart, so that the join deals out both sides itself and can split a group with very many rows
+    groups = materialize(keys.groupBy("gid", "block").agg(keep, F.count("*").alias("n")).where("n > 1"), "groups0")
+    alive = keys.select("rid", "gid", "block").join(bounded(groups, groups.count()), ["gid", "block"]).select("rid", "gid", "keep", "n")
     alive = materialize(alive, "alive0")
     found = [alive.where(F.col("gid") <= first_block).drop("gid")]
     longer = alive.where(F.col("gid") > first_block)
@@ -44,7 +45,8 @@ def duplicate_classes(texts: DataFrame, first_block: int = FIRST_BLOCK, widening
     while not rest.isEmpty():
         block = F.expr(f"substring(body, 1, {width})").alias("block")
         groups = rest.select("rid", "doc_id", "gid", block).groupBy("gid", "block").agg(keep, F.count("*").alias("n")).where("n > 1")
-        split = rest.withColumn("block", block).withColumn("body", F.expr(f"substring(body, {width + 1})")).join(groups, ["gid", "block"])
+        groups = materialize(groups, f"groups{level}")
+        split = rest.withColumn("block", block).withColumn("body", F.expr(f"substring(body, {width + 1})")).join(groups.hint("merge"), ["gid", "block"])
         split = materialize(split.select("rid", "doc_id", "keep", "n", "body", (F.octet_length("body") == 0).alias("ended")), f"level{level}")
         found.append(materialize(split.where("ended").select("rid", "keep", "n"), f"ended{level}"))
         drop_scratch(rest)

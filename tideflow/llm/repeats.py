@@ -117,7 +117,8 @@ def parse(texts: list[bytes], doc_ids: list[int], length: int = LENGTH, gram: in
     new = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (starts[1:] != starts[:-1] + 1))))
     first, last = starts[new], starts[np.concatenate((new[1:] - 1, [len(starts) - 1]))]
     doc = np.searchsorted(ends, first, side="right")
-    return Piece(data, ends, ids, h[owner[new]], first, last, doc)
+    # smallest hashes crowd at the low end: mixed once more they fill all buckets alike
+    return Piece(data, ends, ids, mix(h[owner[new]] + np.uint64(_MULT)), first, last, doc)
 
 
 def pieces(path: str, group: int) -> Iterator[Piece]:

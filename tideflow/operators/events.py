@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideflow.functions.scalar import ratio
@@ -73,16 +73,39 @@ def age_correlation(field: DataFrame, edges: Sequence[int], max_lag: int, least:
     pairs = d.crossJoin(lags).withColumn("u2", F.col("u") + F.col("lag")).join(later, ["series", "shock", "u2"]).where("sd > 0 AND sd2 > 0")
     one = pairs.groupBy("series", "u", "lag", "sd", "sd2").agg(F.avg(F.col("dw") * F.col("dw2")).alias("c"), F.count(F.col("dw") * F.col("dw2")).alias("n"))
     one = one.where(F.col("n") >= least).withColumn("rho", F.col("c") / (F.col("sd") * F.col("sd2")))
-    bin_ = F.lit(None).cast("int")
+    return one.withColumn("age_bin", age_bin(edges)).where("age_bin IS NOT NULL").groupBy("series", "age_bin", "lag").agg(F.avg("rho").alias("rho"), F.count("*").alias("n_ages"))
+
+
+def resampled_age_correlation(field: DataFrame, weights: DataFrame, edges: Sequence[int], max_lag: int, least: int = 10) -> DataFrame:
+    """series, draw, age_bin, lag, rho: ``age_correlation`` of resampled shocks, whose weights count how often each is drawn.
+
+    Sums of products are weighted, so a shock drawn twice costs no further row: with n = sum of
+    weights, cov = S_xy / n - m_x m_y and sd^2 = (S_xx - n m^2) / (n - 1). field: complete rows.
+    """
+    f = field.where("w IS NOT NULL")
+    one = f.join(weights, ["series", "shock"]).groupBy("series", "draw", "u").agg(
+        F.sum("weight").alias("n"), (F.sum(F.col("weight") * F.col("w")) / F.sum("weight")).alias("m"), F.sum(F.col("weight") * F.col("w") * F.col("w")).alias("ss")
+    )
+    one = one.select("series", "draw", "u", "m", F.sqrt(F.greatest(ratio(F.col("ss") - F.col("n") * F.col("m") * F.col("m"), F.col("n") - 1), F.lit(0.0))).alias("sd"))
+    later = f.select("series", "shock", F.col("u").alias("u2"), F.col("w").alias("w2"))
+    pairs = f.crossJoin(grid(field.sparkSession, "lag", range(1, max_lag + 1))).withColumn("u2", F.col("u") + F.col("lag")).join(later, ["series", "shock", "u2"])
+    xy = pairs.join(weights, ["series", "shock"]).groupBy("series", "draw", "u", "lag", "u2").agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("w") * F.col("w2")).alias("xy"))
+    second = one.select("series", "draw", F.col("u").alias("u2"), F.col("m").alias("m2"), F.col("sd").alias("sd2"))
+    r = xy.where(F.col("n") >= least).join(one, ["series", "draw", "u"]).join(second, ["series", "draw", "u2"]).where("sd > 0 AND sd2 > 0")
+    rho = (F.col("xy") / F.col("n") - F.col("m") * F.col("m2")) / (F.col("sd") * F.col("sd2"))
+    return r.withColumn("rho", rho).withColumn("age_bin", age_bin(edges)).where("age_bin IS NOT NULL").groupBy("series", "draw", "age_bin", "lag").agg(F.avg("rho").alias("rho"))
+
+
+def age_bin(edges: Sequence[int]) -> Column:
+    """Bin of age u - 1 among [edge, next edge)."""
+    out = F.lit(None).cast("int")
     for k, (a, b) in enumerate(zip(edges, edges[1:])):
-        bin_ = F.when((F.col("u") - 1 >= a) & (F.col("u") - 1 < b), k).otherwise(bin_)
-    return one.withColumn("age_bin", bin_).where("age_bin IS NOT NULL").groupBy("series", "age_bin", "lag").agg(F.avg("rho").alias("rho"), F.count("*").alias("n_ages"))
+        out = F.when((F.col("u") - 1 >= a) & (F.col("u") - 1 < b), k).otherwise(out)
+    return out
 
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, least: int = 3) -> DataFrame:
     """keys, spearman, n: correlation of ranks, ties at their mean rank; NULL below ``least`` rows."""
-    from pyspark.sql import Window
-
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     rank = lambda c: F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (F.count("*").over(Window.partitionBy(*keys, c)) - 1) / 2
     r = d.select(*keys, rank(x).alias("_x"), rank(y).alias("_y")).groupBy(*keys).agg(F.corr("_x", "_y").alias("c"), F.count("*").alias("n"))

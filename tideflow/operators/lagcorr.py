@@ -61,6 +61,15 @@ def flow_autocorrelation(df: DataFrame, max_lag: int = 60, value: str = "e", blo
     return _by_lag(agg, ["series", "_v"], max_lag, ["y", "pairs"]).select("series", "lag", F.when(ok, ratio(F.col("y"), F.col("_v"))).alias("c"), "pairs")
 
 
+def correlation_sums(df: DataFrame, a: str, b: str, max_lag: int, block: int = BLOCK) -> DataFrame:
+    """series, lag, s: the plain sums of a[t] * b[t + lag], lag = 0..max_lag."""
+    d = _blocks(df.select("series", "idx", finite(F.col(a)).alias("a"), finite(F.col(b)).alias("b")), max_lag, block)
+    prod = d.select("series", "_home", *[(F.col("a") * (F.lead("b", k).over(_in_block()) if k else F.col("b"))).alias(f"s_{k}") for k in range(max_lag + 1)]).where("_home")
+    sums = prod.groupBy("series").agg(*[F.sum(f"s_{k}").alias(f"s_{k}") for k in range(max_lag + 1)])
+    rows = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"s_{k}").alias("s")) for k in range(max_lag + 1)])
+    return sums.select("series", F.explode(rows).alias("_r")).select("series", "_r.*")
+
+
 def effective_temperature(r: DataFrame, c: DataFrame, keys: Sequence[str] = ("series",)) -> DataFrame:
     """keys, lag, r, c, t_eff = -dC/dlag / R, by central differences, one-sided at the ends; needs |R| > 1e-12 and 3 lags."""
     keys = list(keys)

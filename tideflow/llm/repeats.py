@@ -26,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 from tideflow.llm._shared import materialize, scratch_path, table
@@ -34,7 +34,8 @@ from tideflow.llm.warc import open_store
 
 LENGTH = 50
 GRAM = 16
-ITEM_BYTES = 16 << 20
+#: Parquet bytes of an item; its text is about twice as long.
+ITEM_BYTES = 4 << 20
 #: Text bytes a bucket of either exchange stands for.
 BUCKET_BYTES = 8 << 20
 #: A trigger with phrases in more items, or of more rows of one item, sends single windows.
@@ -315,6 +316,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     sent = pa.schema([("item", pa.string()), ("bucket", pa.int64()), ("n", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
     ddl = "item string, bucket long, n long, a binary, b binary, c binary"
 
+    def by(df: DataFrame, key: str, groups: int) -> GroupedData:
+        # a number of partitions that is set here: coalescing by size would pile up items, whose rows are few and work is long
+        return df.repartition(min(2 * groups, 20_000), key).groupBy(key)
+
     def send_triggers(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for item, file, group, _ in zip(*(c.to_pylist() for c in b.columns)):
@@ -329,7 +334,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         return _table_of([(i, k, n, s, h, None) for i, k, n, (s, h) in zip(t["item"].to_pylist(), t["bucket"].to_pylist(), t["n"].to_pylist(), a)], sent)
 
     dealt = items.repartition(min(n_items, 10_000))
-    triggers = materialize(dealt.mapInArrow(send_triggers, ddl).groupBy("bucket").applyInArrow(answer_triggers, ddl), "triggers")
+    triggers = materialize(by(dealt.mapInArrow(send_triggers, ddl), "bucket", buckets).applyInArrow(answer_triggers, ddl), "triggers")
 
     def work(t: pa.Table) -> tuple[str, list[Piece], Records, pa.Table]:
         """An item from its own row (bucket -1) and the answers on its triggers (kind 1)."""
@@ -367,10 +372,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     own = items.select("item", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("bucket"), F.lit(0).cast("long").alias("n"), empty.alias("a"), empty.alias("b"), "file", "row_group")
     tail = [F.lit(None).cast("string").alias("file"), F.lit(None).cast("long").alias("row_group")]
     first = own.unionByName(triggers.select("item", F.lit(1).alias("kind"), "bucket", "n", "a", "b", *tail))
-    phrases = first.groupBy("item").applyInArrow(send_phrases, ddl)
-    answers = materialize(phrases.groupBy("bucket").applyInArrow(answer_phrases, ddl), "phrases")
+    phrases = by(first, "item", n_items).applyInArrow(send_phrases, ddl)
+    answers = materialize(by(phrases, "bucket", buckets).applyInArrow(answer_phrases, ddl), "phrases")
     both = first.unionByName(answers.select("item", F.lit(2).alias("kind"), "bucket", "n", "a", empty.alias("b"), *tail))
-    return both.groupBy("item").applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return by(both, "item", n_items).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,25 +15,25 @@ def daily(spark):
 
 
 def test_counting(spark):
-    out = experiments.counting(daily(spark), (1, 2, 4, 8), 10, 3)
-    assert {n for n, df in out.items() if df.count() == 0} <= {"affinity", "symmetry"}
+    out = experiments.counting(daily(spark), (1, 2, 4), 5, 2)
+    for name in ("gamma", "closure", "fano", "permutation", "affinity"):
+        assert out[name].count() > 0
     assert abs(out["slopes"].first()["slope_k2"] - 1) < 0.4
 
 
 def test_post_shock(spark):
     r = flow.log_returns(daily(spark))
-    out = experiments.post_shock(r, 40, (0, 5, 10, 20, 30), 8, 3, 12, quantile=0.97, distance=60, before=50)
-    s = {x["series"] for x in out["spearman"].collect()}
-    assert s == {"lineitem", "POOL"}
-    for name in ("mean", "tau", "spearman_null", "spearman_bootstrap"):
-        assert out[name].count() > 0
+    out = experiments.post_shock(r, 20, (0, 4, 8, 12), 4, 2, 11, quantile=0.97, distance=60, before=50)
+    got = out["spearman_null"].collect()  # holds the observed statistic too
+    assert {x["series"] for x in got} == {"lineitem", "POOL"}
+    assert out["spearman_bootstrap"].count() == 2
 
 
 def test_phase_and_second_order(spark):
     e = bars.event_bars(spark.read.parquet(f"{SF}/events.parquet"))
     prepared = phase.prepare(e.select("series", "idx", "day", "hour", F.col("flow").alias("e"), F.col("price").alias("p"), F.col("flow").alias("raw"), "volume", "trades"))
     out = experiments.phase_of_day(prepared, 4)
-    assert out["p"].count() == 5 and out["verdict"].count() == 5
+    assert out["verdict"].count() == 5
     hourly = bars.hourly_bars(spark.read.parquet(f"{SF}/events.parquet"))
     out = experiments.second_order(hourly, prepared, F.hour("ts"), 20)
     assert out["teff"].count() == 20 and out["transfer"].count() == 8
@@ -42,7 +42,7 @@ def test_phase_and_second_order(spark):
 def test_crossover_blocks_move_with_a_ramp_and_wavelets_do_not(spark):
     x = synthetic.fractional_noise(spark, 1 << 14, 0.7)
     out = experiments.crossover(x, (3, 7), (3.0,))
-    nu = {n: {r["case"]: r["nu"] for r in out[n].collect()} for n in ("blocks", "db1", "db2", "db3")}
+    nu = {n: {r["case"]: r["nu"] for r in out[n].collect()} for n in ("blocks", "db3")}
     assert abs(nu["db3"]["clean"] - 1.4) < 0.15
     assert nu["blocks"]["ramp 3.0"] - nu["blocks"]["clean"] > 0.1
     assert abs(nu["db3"]["ramp 3.0"] - nu["db3"]["clean"]) < 0.05

@@ -121,6 +121,9 @@ def _dm(losses: str, horizon: int = 5) -> str:
 
 _CTE["l1"] = f"SELECT idx, {_QL.format(s='e.sigma')} AS la, {_QL.format(s='g.sigma')} AS lb FROM ewma e JOIN rv USING (idx) JOIN garch g USING (idx)"
 _CTE["dm1"] = _dm("l1")
+_CTE["l2"] = f"SELECT idx, {_QL.format(s='e.sigma')} AS la, {_QL.format(s='(1.1 * e.sigma)')} AS lb FROM ewma e JOIN rv USING (idx)"
+_CTE["dm2"] = _dm("l2")
+_ERFC = "t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-z * z)"
 _CTE["cut"] = "SELECT count(*) AS n, floor(count(*) * 0.6::DOUBLE)::BIGINT AS cut FROM r"
 _CTE["tt0"] = "SELECT series, idx, rv / sigma AS ratio, idx < greatest(cut - 5, 0) AS train FROM ewma JOIN rv USING (series, idx), cut"
 _CTE["tt"] = "SELECT series, idx, ratio, (SELECT quantile_cont(ratio, 0.8) FROM tt0 WHERE train) AS theta FROM tt0"
@@ -332,6 +335,7 @@ _FINAL = {
     "winsor_standardize": f"SELECT series, idx, {_r('x')} FROM ws",
     "qlike_rmse": f"SELECT 'lineitem' AS series, count(q) AS n, {_r('avg(q) AS qlike', 'sqrt(avg((rv - sigma) ** 2)) AS rmse')} FROM (SELECT rv, sigma, {_QL.format(s='sigma')} AS q FROM ewma JOIN rv USING (idx))",
     "dm_test": f"SELECT series, n, {_r('m AS mean_diff', 'dm')} FROM dm1",
+    "dm_pvalue": f"SELECT series, {_r(f'{_ERFC} AS p')} FROM (SELECT *, 1 / (1 + 0.3275911::DOUBLE * z) AS t FROM (SELECT series, abs(dm) / sqrt(2.0::DOUBLE) AS z FROM dm2))",
     "walk_forward_folds": "SELECT 'lineitem' AS series, f AS fold, f * 250 AS train_start, f * 250 + 500 AS train_end, f * 250 + 500 AS test_start, f * 250 + 750 AS test_end FROM range(0, 1000) g(f) WHERE f * 250 + 750 <= (SELECT count(*) FROM r)",
     "transition_target": f"SELECT series, idx, (ratio > theta)::INT AS s, {_r('ratio', 'theta')} FROM tt",
     "recal_contrast": f"""SELECT 'lineitem' AS series, max(n_train) AS n_train, count(*) AS n_oos, {_r('max(b2) AS coef_x', 'avg(q0) AS qlike_raw', 'avg(q1) AS qlike_recal', 'avg(q2) AS qlike_full', 'corr(x, y) AS corr_x', 'max(fd1.dm) AS dm_context', 'max(fd2.dm) AS dm_decisive')} FROM fq, fb, fd1, fd2""",

@@ -8,13 +8,15 @@ dictionary holds distinct phrases with the smallest doc_id that has them. Only e
 suffix prefixes matters here, so the dictionary's suffixes are ordered by hash, checked on the bytes,
 and not lexicographically; the parse carries the outcome back to the documents.
 
-Three scans, none of which shuffles text:
+Four scans, none of which shuffles text:
 1. every item (a Parquet row group of texts) sends its distinct trigger hashes, packed, by hash range;
    the range's task answers which ones other documents have too;
-2. items send the phrases of shared triggers, packed, by trigger; the trigger's task orders their
-   suffixes and answers which windows a smaller doc_id has. Triggers found in very many places send
-   single windows, by window hash, so that no task gathers all phrases of a common gram;
-3. items turn answers into removed spans and digests of what is left.
+2. items send the 128-bit hash of each distinct phrase of a shared trigger; the answer tells whether
+   a smaller doc_id has the whole phrase. What is left is the dictionary: each phrase once;
+3. dictionary phrases are sent, packed, by trigger; the trigger's task orders their suffixes and
+   answers which windows a smaller doc_id has. Triggers found in very many places send single
+   windows, by window hash, so that no task gathers all phrases of a common gram;
+4. items turn answers into removed spans and digests of what is left.
 """
 
 from __future__ import annotations
@@ -186,46 +188,79 @@ def shared_triggers(blobs: list[bytes], several: list[bytes], many: list[bytes])
 
 
 @dataclass
-class Records:
-    """The phrases an item sends: of equal ones the one with the smallest doc_id. Sorted by bucket."""
+class Phrases:
+    """An item's distinct phrases of shared triggers, each with its smallest doc_id, sorted by content hash."""
 
     piece: np.ndarray
     first: np.ndarray
     windows: np.ndarray
     doc_id: np.ndarray
-    bucket: np.ndarray
-    of: np.ndarray  # for every phrase looked at: its record
+    gram: np.ndarray
+    content: np.ndarray
+    hot: np.ndarray
+    of: np.ndarray  # for every phrase looked at: its place among the distinct ones
     each: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # and its piece, first window, windows, doc_id
 
 
-def phrases_to_send(item: list[Piece], known: np.ndarray, shared: np.ndarray, hot: np.ndarray, buckets: int) -> Records:
-    cols: list[list[np.ndarray]] = [[], [], [], [], [], []]
+def shared_phrases(item: list[Piece], known: np.ndarray, shared: np.ndarray, hot: np.ndarray) -> Phrases:
+    cols: list[list[np.ndarray]] = [[], [], [], [], [], [], []]
     for k, p in enumerate(item):
         place = np.searchsorted(known, p.gram)
         take = np.flatnonzero(shared[place]) if len(p.gram) else np.zeros(0, np.int64)
-        first, windows, key = p.first[take], p.last[take] - p.first[take] + 1, p.gram[take]
-        single = hot[place[take]]
-        rep = np.where(single, windows, 1)
-        ids = p.doc_ids[p.doc[take]]
-        step = np.arange(rep.sum()) - np.repeat(np.cumsum(rep) - rep, rep)
-        first, single, key, ids = np.repeat(first, rep) + step, np.repeat(single, rep), np.repeat(key, rep), np.repeat(ids, rep)
-        windows = np.where(single, 1, np.repeat(windows, rep))
-        # a phrase's content hash: a polynomial over its bytes, from prefix sums, moved to the phrase's start
+        first, windows = p.first[take], p.last[take] - p.first[take] + 1
+        # content hash: a polynomial over the phrase's bytes, from prefix sums, moved to the phrase's start
         sums = np.zeros(len(p.data) + 1, np.uint64)
         np.cumsum(_table()[p.data] * _powers(_MULT, len(p.data)), out=sums[1:])
         stop = first + windows + LENGTH - 1
         content = mix((sums[stop] - sums[first]) * _powers(pow(_MULT, -1, 1 << 64), len(p.data))[first])
         content = mix(content + windows.astype(np.uint64) * np.uint64(_MULT))
-        for c, v in zip(cols, (np.full(len(first), k), first, windows, ids, np.where(single, content, mix(key)), content)):
+        for c, v in zip(cols, (np.full(len(first), k), first, windows, p.doc_ids[p.doc[take]], p.gram[take], content, hot[place[take]])):
             c.append(v)
-    piece, first, windows, ids, route, content = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols)
-    route, content = route.astype(np.uint64), content.astype(np.uint64)
-    order = np.lexsort((ids, content, route))
-    same = np.concatenate(([True], (route[order][1:] != route[order][:-1]) | (content[order][1:] != content[order][:-1]))) if len(order) else np.zeros(0, bool)
+    kinds = (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64, bool)
+    piece, first, windows, ids, gram, content, single = (np.concatenate(c).astype(t) if c else np.zeros(0, t) for c, t in zip(cols, kinds))
+    order = np.lexsort((ids, gram, content))
+    new = np.ones(len(order), bool)
+    new[1:] = (content[order][1:] != content[order][:-1]) | (gram[order][1:] != gram[order][:-1])
     of = np.zeros(len(order), np.int64)
-    of[order] = np.cumsum(same) - 1
-    top = order[same]
-    return Records(piece[top], first[top], windows[top], ids[top], _bucket(route[top], buckets), of, (piece, first, windows, ids))
+    of[order] = np.cumsum(new) - 1
+    top = order[new]
+    return Phrases(piece[top], first[top], windows[top], ids[top], gram[top], content[top], single[top], of, (piece, first, windows, ids))
+
+
+def smaller_elsewhere(content: np.ndarray, gram: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Of phrases with equal hashes, those that do not have the smallest doc_id."""
+    order = np.lexsort((gram, content))
+    new = np.ones(len(order), bool)
+    new[1:] = (content[order][1:] != content[order][:-1]) | (gram[order][1:] != gram[order][:-1])
+    gone = np.zeros(len(order), bool)
+    gone[order] = ids[order] > np.minimum.reduceat(ids[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    return gone
+
+
+@dataclass
+class Sent:
+    """What an item sends of its dictionary phrases, sorted by bucket: whole, or as single windows."""
+
+    phrase: np.ndarray  # place among the distinct phrases
+    offset: np.ndarray  # first window, from the phrase's first
+    windows: np.ndarray
+    bucket: np.ndarray
+
+
+def dictionary(item: list[Piece], p: Phrases, gone: np.ndarray, buckets: int) -> Sent:
+    own = np.flatnonzero(~gone)
+    rep = np.where(p.hot[own], p.windows[own], 1)
+    phrase = np.repeat(own, rep)
+    offset = np.arange(rep.sum()) - np.repeat(np.cumsum(rep) - rep, rep)
+    windows = np.where(p.hot[phrase], 1, p.windows[phrase])
+    route = mix(p.gram[phrase])
+    for k, piece in enumerate(item):
+        here = np.flatnonzero((p.piece[phrase] == k) & p.hot[phrase])
+        if len(here):
+            route[here] = rolling(piece.data, LENGTH)[p.first[phrase[here]] + offset[here]]
+    bucket = _bucket(route, buckets)
+    order = np.argsort(bucket, kind="stable")
+    return Sent(phrase[order], offset[order], windows[order], bucket[order])
 
 
 def repeated_windows(lengths: np.ndarray, data: np.ndarray, doc_ids: np.ndarray) -> np.ndarray:
@@ -257,10 +292,13 @@ def repeated_windows(lengths: np.ndarray, data: np.ndarray, doc_ids: np.ndarray)
     return np.add.reduceat(gone.astype(np.uint64) << bit.astype(np.uint64), np.cumsum(windows) - windows)
 
 
-def removed_spans(item: list[Piece], records: Records, bits: np.ndarray) -> Iterator[tuple[int, int, int, int, str]]:
+def removed_spans(item: list[Piece], phrases: Phrases, gone: np.ndarray, sent: Sent, bits: np.ndarray) -> Iterator[tuple[int, int, int, int, str]]:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of the item's documents."""
-    piece, first, windows, ids = records.each
-    mine = np.where(ids > records.doc_id[records.of], (np.uint64(1) << windows.astype(np.uint64)) - np.uint64(1), bits[records.of]) if len(ids) else np.zeros(0, np.uint64)
+    piece, first, windows, ids = phrases.each
+    found = np.zeros(len(phrases.first), np.uint64)
+    np.bitwise_or.at(found, sent.phrase, bits << sent.offset.astype(np.uint64))
+    whole = (np.uint64(1) << windows.astype(np.uint64)) - np.uint64(1)
+    mine = np.where((ids > phrases.doc_id[phrases.of]) | gone[phrases.of], whole, found[phrases.of])
     for k, p in enumerate(item):
         gone = np.zeros(len(p.data) + 1, np.int32)
         here = np.flatnonzero(piece == k)
@@ -336,23 +374,39 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     dealt = items.repartition(min(n_items, 10_000))
     triggers = materialize(by(dealt.mapInArrow(send_triggers, ddl), "bucket", buckets).applyInArrow(answer_triggers, ddl), "triggers")
 
-    def work(t: pa.Table) -> tuple[str, list[Piece], Records, pa.Table]:
-        """An item from its own row (bucket -1) and the answers on its triggers (kind 1)."""
-        kind = t["kind"].to_numpy()
-        own = t.filter(pa.array(kind == 0)).to_pylist()[0]
-        a = t.filter(pa.array(kind == 1)).sort_by("bucket")
+    def answers(t: pa.Table, kind: int) -> pa.Table:
+        return t.filter(pa.array(t["kind"].to_numpy() == kind)).sort_by("bucket")
+
+    def work(t: pa.Table) -> tuple[str, list[Piece], Phrases]:
+        """An item from its own row (kind 0) and the answers on its triggers (kind 1)."""
+        own, a = answers(t, 0).to_pylist()[0], answers(t, 1)
         item = list(pieces(own["file"], own["row_group"]))
-        known = _grams(item)[0]
         counts = a["n"].to_pylist()
         shared, hot = _bits(a["a"].to_pylist(), counts), _bits(a["b"].to_pylist(), counts)
-        return own["item"], item, phrases_to_send(item, known, shared, hot, buckets), t.filter(pa.array(kind == 2)).sort_by("bucket")
+        return own["item"], item, shared_phrases(item, _grams(item)[0], shared, hot)
+
+    def send_contents(t: pa.Table) -> pa.Table:
+        name, _, p = work(t)
+        return _table_of([(name, k, e - s, p.content[s:e].tobytes(), p.gram[s:e].tobytes(), p.doc_id[s:e].tobytes()) for k, s, e in _slices(_bucket(p.content, buckets))], sent)
+
+    def answer_contents(t: pa.Table) -> pa.Table:
+        content, gram = (np.frombuffer(b"".join(t[c].to_pylist()), np.uint64) for c in "ab")
+        gone = smaller_elsewhere(content, gram, np.frombuffer(b"".join(t["c"].to_pylist()), np.int64))
+        ends = np.cumsum(t["n"].to_numpy()).tolist()
+        return _table_of([(i, k, n, np.packbits(gone[e - n : e]).tobytes(), None, None) for i, k, n, e in zip(t["item"].to_pylist(), t["bucket"].to_pylist(), t["n"].to_pylist(), ends)], sent)
+
+    def parsed(t: pa.Table) -> tuple[str, list[Piece], Phrases, np.ndarray, Sent]:
+        name, item, p = work(t)
+        a = answers(t, 2)
+        gone = _bits(a["a"].to_pylist(), a["n"].to_pylist())
+        return name, item, p, gone, dictionary(item, p, gone, buckets)
 
     def send_phrases(t: pa.Table) -> pa.Table:
-        name, item, r, _ = work(t)
-        rows = []
-        for k, s, e in _slices(r.bucket):
-            body = b"".join(item[p].data[f : f + w + LENGTH - 1].tobytes() for p, f, w in zip(r.piece[s:e].tolist(), r.first[s:e].tolist(), r.windows[s:e].tolist()))
-            rows.append((name, k, e - s, (r.windows[s:e] + LENGTH - 1).astype(np.uint8).tobytes(), body, r.doc_id[s:e].tobytes()))
+        name, item, p, _, d = parsed(t)
+        at, rows = p.first[d.phrase] + d.offset, []
+        for k, s, e in _slices(d.bucket):
+            body = b"".join(item[i].data[f : f + w + LENGTH - 1].tobytes() for i, f, w in zip(p.piece[d.phrase[s:e]].tolist(), at[s:e].tolist(), d.windows[s:e].tolist()))
+            rows.append((name, k, e - s, (d.windows[s:e] + LENGTH - 1).astype(np.uint8).tobytes(), body, p.doc_id[d.phrase[s:e]].tobytes()))
         return _table_of(rows, sent)
 
     def answer_phrases(t: pa.Table) -> pa.Table:
@@ -362,19 +416,23 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         return _table_of([(i, k, n, bits[e - n : e].tobytes(), None, None) for i, k, n, e in zip(t["item"].to_pylist(), t["bucket"].to_pylist(), t["n"].to_pylist(), ends)], sent)
 
     def finish(t: pa.Table) -> pa.Table:
-        _, item, records, answers = work(t)
-        bits = np.frombuffer(b"".join(answers["a"].to_pylist()), np.uint64)
-        rows = [(None if i == _LAST else i, *rest) for i, *rest in removed_spans(item, records, bits)]
+        _, item, p, gone, d = parsed(t)
+        bits = np.frombuffer(b"".join(answers(t, 3)["a"].to_pylist()), np.uint64)
+        rows = [(None if i == _LAST else i, *rest) for i, *rest in removed_spans(item, p, gone, d, bits)]
         return _table_of(rows, result)
 
     result = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
     empty = F.lit(None).cast("binary")
     own = items.select("item", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("bucket"), F.lit(0).cast("long").alias("n"), empty.alias("a"), empty.alias("b"), "file", "row_group")
     tail = [F.lit(None).cast("string").alias("file"), F.lit(None).cast("long").alias("row_group")]
-    first = own.unionByName(triggers.select("item", F.lit(1).alias("kind"), "bucket", "n", "a", "b", *tail))
-    phrases = by(first, "item", n_items).applyInArrow(send_phrases, ddl)
-    answers = materialize(by(phrases, "bucket", buckets).applyInArrow(answer_phrases, ddl), "phrases")
-    both = first.unionByName(answers.select("item", F.lit(2).alias("kind"), "bucket", "n", "a", empty.alias("b"), *tail))
+    told = lambda df, kind: df.select("item", F.lit(kind).alias("kind"), "bucket", "n", "a", "b", *tail)
+    one = own.unionByName(told(triggers, 1))
+    contents = by(one, "item", n_items).applyInArrow(send_contents, ddl)
+    contents = materialize(by(contents, "bucket", buckets).applyInArrow(answer_contents, ddl), "contents")
+    two = one.unionByName(told(contents, 2))
+    phrases = by(two, "item", n_items).applyInArrow(send_phrases, ddl)
+    phrases = materialize(by(phrases, "bucket", buckets).applyInArrow(answer_phrases, ddl), "phrases")
+    both = two.unionByName(told(phrases, 3))
     return by(both, "item", n_items).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

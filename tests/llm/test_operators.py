@@ -168,7 +168,8 @@ def test_repeats(edge_docs, no_docs, edge_rows):
 
 def test_repeats_on_documents_with_hot_triggers(spark, monkeypatch):
     """Small items, buckets and bounds: triggers cross items and most are hot."""
-    monkeypatch.setattr(repeats, "HOT", 2)
+    monkeypatch.setattr(repeats, "HOT_ITEMS", 2)
+    monkeypatch.setattr(repeats, "HOT_PHRASES", 2)
     monkeypatch.setattr(repeats, "BUCKET_BYTES", 1 << 14)
     d = spark.read.parquet(f"{SF}/documents.parquet").where("n_chars < 2500").select("doc_id", "text")
     want = Counter(brute.repeats([(r["doc_id"], r["text"]) for r in d.collect()]))

@@ -41,7 +41,10 @@ def counting(bars: DataFrame, lengths: Sequence[int] = LENGTHS, max_lag: int = 6
 
 
 def post_shock(returns: DataFrame, u_max: int = 300, edges: Sequence[int] = (0, 8, 16, 32, 64, 128, 256), max_lag: int = 40, draws: int = 50, resamples: int = 200, seed: int = 7, quantile: float = 0.995, distance: int = 384, before: int = 200, pooled: bool = True) -> dict[str, DataFrame]:
-    """Relaxation after shocks by series and pooled: mean, power law, correlation by age, its Spearman trend, bootstrap and random-event null."""
+    """Relaxation after shocks by series and pooled: mean, power law, correlation by age, its Spearman trend, bootstrap and random-event null.
+
+    The two ensembles, on which all results rest, are persisted: ``unpersist`` them through ``field`` and ``null_field``.
+    """
     base = vol.ewma_vol(returns)
     shocks = events.separate(events.shock_candidates(base, quantile, u_max, before), distance)
 
@@ -49,7 +52,7 @@ def post_shock(returns: DataFrame, u_max: int = 300, edges: Sequence[int] = (0,
         return surface.truncated_sum(events.age_correlation(field, edges, max_lag), ["series", "age_bin"])
 
     field = events.post_shock_field(base, shocks, u_max)
-    field = events.pool(field) if pooled else field
+    field = (events.pool(field) if pooled else field).persist()
     tau = by_age(field)
     weights = nulls.bootstrap_weights(field, resamples, seed)
     boot_tau = surface.truncated_sum(events.resampled_age_correlation(field, weights, edges, max_lag), ["series", "draw", "age_bin"])
@@ -63,12 +66,13 @@ def post_shock(returns: DataFrame, u_max: int = 300, edges: Sequence[int] = (0,
     if pooled:  # a draw's pool holds the random events of all series
         shock = F.col("shock") * 1_000_003 + F.pmod(F.xxhash64("series"), F.lit(1_000_003))
         null_field = null_field.unionByName(null_field.select(F.concat(F.lit("POOL#"), F.substring_index("series", "#", -1)).alias("series"), shock.alias("shock"), "u", "w"))
+    null_field = null_field.persist()
     null_tau = by_age(null_field)
     null = nulls.of_series(events.spearman(null_tau, ["series"], "age_bin", "tau"))
     seen = events.spearman(tau, ["series"], "age_bin", "tau")
     both = seen.select("series", F.lit(0).cast("long").alias("draw"), "spearman").unionByName(null.select("series", "draw", "spearman"))
     return {
-        "shocks": shocks, "mean": events.ensemble_mean(field), "omori": fits.omori(events.ensemble_mean(field)), "omori_late": fits.omori(events.ensemble_mean(field), 5),
+        "field": field, "null_field": null_field, "shocks": shocks, "mean": events.ensemble_mean(field), "omori": fits.omori(events.ensemble_mean(field)), "omori_late": fits.omori(events.ensemble_mean(field), 5),
         "tau": tau, "spearman": seen, "spearman_bootstrap": nulls.summarise(boot, ["series"], "spearman", 11), "omori_bootstrap": nulls.summarise(boot_p, ["series"], "p", 11),
         "tau_bootstrap": nulls.summarise(boot_tau, ["series", "age_bin"], "tau", 11), "spearman_null": nulls.summarise(both, ["series"], "spearman"),
     }

@@ -39,7 +39,7 @@ def matrix(training: DataFrame, features: Callable[[str, int], list[float]]) ->
 
     got = training.mapInArrow(batches, "doc_id string, x array<double>, y int, fold int").toArrow().sort_by("doc_id")
     y = got["y"].to_numpy().astype(float)
-    x = np.array(got["x"].to_pylist(), float).reshape(len(y), -1 if len(y) else 1)
+    x = got["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1 if len(y) else 1)
     return x, y, got["fold"].to_numpy()
 
 

@@ -68,6 +68,18 @@ def brute_components(values):
     return {v: find(v) for v in values}
 
 
+def test_manhattan_distance_of_bit_counts(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    values = [int(v) for v in rng.integers(-(1 << 63), (1 << 63) - 1, 200)] + [0, -1, 1 << 62, -(1 << 63)]
+    pairs = list(zip(values, values[1:]))
+    counts = lambda v: [((v >> s) & 3).bit_count() for s in range(0, 64, 2)]
+    got = spark.createDataFrame(pairs, "u long, v long").select("u", "v", simhash.manhattan(F.col("u"), F.col("v")).alias("d")).collect()
+    for r in got:
+        assert r["d"] == sum(abs(a - b) for a, b in zip(counts(r["u"]), counts(r["v"]))) <= ((r["u"] ^ r["v"]) % (1 << 64)).bit_count()
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(300).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     got = components.components(edges)

@@ -69,46 +69,46 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return slim.mapInArrow(batches, f"doc_id {id_type}, fp long")
 
 
-def _segments() -> list[int]:
-    return list(range(0, 64, SEGMENT_BITS))
+_LOW = 0x5555555555555555
 
 
-def bit_counts(fp: Column) -> list[Column]:
-    """The point of a fingerprint: the bit count of each segment."""
-    mask = (1 << SEGMENT_BITS) - 1
-    return [F.bit_count(F.shiftrightunsigned(fp, s).bitwiseAND(F.lit(mask))) for s in _segments()]
+def point(fp: Column) -> Column:
+    """The bit counts of the 32 segments in one long: 0, 1, 2 as 00, 01, 11, so that the Manhattan distance is a bit count."""
+    pair = F.shiftrightunsigned(fp, 1)
+    some, both = fp.bitwiseOR(pair).bitwiseAND(F.lit(_LOW)), fp.bitwiseAND(pair).bitwiseAND(F.lit(_LOW))
+    return some.bitwiseOR(F.shiftleft(both, 1))
+
+
+def manhattan(a: Column, b: Column) -> Column:
+    return F.bit_count(point(a).bitwiseXOR(point(b)))
+
+
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
 
 
 def cells(fps: DataFrame) -> DataFrame:
-    """(cell, fp): the grid cells of each point, one for each choice of axis groups that may stay equal."""
+    """(choice, cell, fp): the grid cells of each point, one for each choice of axis groups that may stay equal."""
     n = 64 // SEGMENT_BITS
     groups = [range(g * n // GROUPS, (g + 1) * n // GROUPS) for g in range(GROUPS)]
-    counts = bit_counts(F.col("fp"))
-    keys = []
-    for k, kept in enumerate(itertools.combinations(groups, GROUPS - DISTANCE)):
-        # two bits hold a segment's count of 0..2, so a cell's coordinates fit one long; its choice goes on top
-        axes = list(itertools.chain(*kept))
-        packed = F.lit(0).cast("long")
-        for a in axes:
-            packed = F.shiftleft(packed, 2).bitwiseOR(counts[a].cast("long"))
-        keys.append(packed.bitwiseOR(F.lit(k << 48)))
-    return fps.select("fp", F.explode(F.array(*keys)).alias("cell"))
+    masks = [sum(3 << SEGMENT_BITS * axis for axis in itertools.chain(*kept)) for kept in itertools.combinations(groups, GROUPS - DISTANCE)]
+    rows = fps.select("fp", point(F.col("fp")).alias("point"), F.posexplode(F.array(*[F.lit(_signed(m)).cast("long") for m in masks])).alias("choice", "mask"))
+    return rows.select("choice", F.col("point").bitwiseAND(F.col("mask")).alias("cell"), "fp")
 
 
 def links(fps: DataFrame) -> DataFrame:
     """(u, v): links between distinct fingerprints ``fps`` (fp) that connect all pairs within the distance."""
     placed = cells(fps)
-    crowd = placed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialize(placed.join(crowd, "cell"), "cells")
+    crowd = placed.groupBy("choice", "cell").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialize(placed.join(crowd, ["choice", "cell"]), "cells")
 
-    few = shared.where(F.col("n") <= CELL_PAIRS).groupBy("cell").agg(F.collect_list("fp").alias("fps"))  # CELL_PAIRS at most
+    few = shared.where(F.col("n") <= CELL_PAIRS).groupBy("choice", "cell").agg(F.collect_list("fp").alias("fps"))  # CELL_PAIRS at most
     pair = few.select("fps", F.posexplode("fps").alias("i", "u"))
     pair = pair.select("u", F.explode(F.slice("fps", F.col("i") + 2, F.lit(CELL_PAIRS))).alias("v"))
-    apart = sum((F.abs(a - b) for a, b in zip(bit_counts(F.col("u")), bit_counts(F.col("v")))), F.lit(0))
-    near = pair.where(apart <= DISTANCE).where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= DISTANCE)
+    near = pair.where(manhattan(F.col("u"), F.col("v")) <= DISTANCE).where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= DISTANCE)
 
     many = shared.where(F.col("n") > CELL_PAIRS).select("fp").distinct()
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(np.uint64(1 << b).astype(np.int64).item()) for b in range(64)])
+    flips = F.array(*[F.lit(_signed(f)).cast("long") for f in (0, *(1 << b for b in range(64)))])
     by_mid = many.select("fp", F.explode(flips).alias("bit")).groupBy(F.col("fp").bitwiseXOR(F.col("bit")).alias("mid"))
     stars = by_mid.agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)  # 65 at most
     stars = stars.select(F.array_min("fps").alias("u"), F.explode("fps").alias("v")).where("u != v")

@@ -1,14 +1,16 @@
 """Balanced label propagation: documents of equal text gather in few shards of equal row counts.
 
 Documents with the same text are linked. All of them look alike to the propagation, so its state is
-the table (class, shard, documents): a class of any size has at most one row a shard. Each round,
-every class aims at the shard that holds most of it among those with room, requests to a shard are
-admitted in order up to its quota, and unlinked documents fill what is left. No round changes any
-shard's row count, so counts stay at most one apart.
+the table (class, shard, documents): a class of any size has at most one row a shard. At the start the
+linked classes lie one after another over equal shares of the shards, so that at most one class is cut
+at each boundary, and the room that unlinked documents leave is the same everywhere. Each round, every class aims at the shard that holds most of it among
+those with room, requests to a shard are admitted in order up to its quota, and unlinked documents
+fill what is left. No round changes any shard's row count, so counts stay at most one apart.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,7 +19,6 @@ from pyspark.sql import functions as F
 from tideflow.llm._shared import bucket_count, drop_scratch, hash_bucket, materialize, order_hash, running_total, table
 
 SHARDS = 40
-MAX_ROUNDS = 16
 
 
 def _quotas(rows: int, shards: int) -> list[int]:
@@ -34,10 +35,21 @@ def _at(values: list[int], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), index + 1)
 
 
-def propagate(state: DataFrame, quotas: list[int], max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """Label propagation of (key, h, shard, n) under ``quotas``, until no move is admitted."""
+def _shard_of(position: Column, ends: list[int]) -> Column:
+    """The shard whose range holds ``position``; ``ends`` are the ranges' ends."""
+    shard = F.lit(len(ends) - 1)
+    for s in reversed(range(len(ends) - 1)):
+        shard = F.when(position < ends[s], s).otherwise(shard)
+    return shard.cast("int")
+
+
+def propagate(state: DataFrame, quotas: list[int], max_rounds: int | None = None) -> DataFrame:
+    """Label propagation of (key, h, shard, n) under ``quotas``, until no move is admitted.
+
+    Rows only go where their class has as many or more, so the sum of squares of n grows with every move and the rounds end.
+    """
     shards = len(quotas)
-    for k in range(max_rounds):
+    for k in itertools.count() if max_rounds is None else range(max_rounds):
         load = _by_shard(state, "n", shards)
         room = [q - n for q, n in zip(quotas, load)]
         # the class's neighbours: how many of it each shard holds; ties by a hash, so that classes spread
@@ -59,7 +71,7 @@ def propagate(state: DataFrame, quotas: list[int], max_rounds: int = MAX_ROUNDS)
     return state
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = SHARDS, max_rounds: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row.
 
     ``size`` is the UTF-8 length plus 16. A null text counts as empty and is linked with empty ones.
@@ -79,10 +91,14 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, max_rounds: int = MAX
     parts = materialize(parts, "parts")
     classes = parts.groupBy("key").agg(F.sum("n").alias("c")).withColumn("h", order_hash(F.hex("key")))
 
-    linked = running_total(classes.where("c > 1"), [], "h", "c", buckets, [F.col("key")])
-    at = F.sequence(F.lit(0).cast("long"), F.least("c", F.lit(shards)) - 1)
-    dealt = linked.select("key", "h", "c", "before", F.explode(at).alias("i"))
-    dealt = dealt.select("key", "h", ((F.col("before") + F.col("i")) % shards).cast("int").alias("shard"), (F.floor(F.col("c") / shards) + (F.col("i") < F.col("c") % shards).cast("long")).alias("n"))
+    linked = materialize(running_total(classes.where("c > 1"), [], "h", "c", buckets, [F.col("key")]), "linked")
+    shares = _quotas(linked.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0], shards)
+    ends = list(itertools.accumulate(shares))
+    upto = F.col("before") + F.col("c")
+    dealt = linked.withColumn("shard", F.explode(F.sequence(_shard_of(F.col("before"), ends), _shard_of(upto - 1, ends))))
+    end = _at(ends, F.col("shard"))
+    part = F.least(upto, end) - F.greatest(F.col("before"), end - _at(shares, F.col("shard")))
+    dealt = dealt.select("key", "h", "shard", part.alias("n")).where("n > 0")
     state = propagate(materialize(dealt, "state"), quotas, max_rounds)
 
     # slots: classes one after another in each shard, unlinked documents behind them
@@ -91,11 +107,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, max_rounds: int = MAX
     runs = placed.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("shard", "n", "before"))).alias("runs"))  # a run a shard
     single = running_total(classes.where("c = 1"), [], "h", "c", buckets, [F.col("key")])
     room = [q - n for q, n in zip(quotas, load)]
-    ends = [sum(room[: s + 1]) for s in range(shards)]
-    shard = F.lit(shards - 1)
-    for s in reversed(range(shards - 1)):
-        shard = F.when(F.col("before") < ends[s], s).otherwise(shard)
-    single = single.withColumn("shard", shard.cast("int"))
+    ends = list(itertools.accumulate(room))
+    single = single.withColumn("shard", _shard_of(F.col("before"), ends))
     slot = _at(load, F.col("shard")) + F.col("before") - _at([e - r for e, r in zip(ends, room)], F.col("shard"))
     single = single.select("key", F.array(F.struct("shard", F.lit(1).cast("long").alias("n"), slot.alias("before"))).alias("runs"))
 

@@ -500,6 +500,16 @@ def bootstrap_omori(spark, d):
     return m.where("u <= 5")
 
 
+@_query
+def bootstrap_ensemble(spark, d):
+    return nulls.bootstrap_mean(_field(spark, d), DRAWS, SEED)
+
+
+@_query
+def bootstrap_omori_fit(spark, d):
+    return nulls.of_series(fits.omori(nulls.as_series(nulls.bootstrap_mean(_field(spark, d), DRAWS, SEED))))
+
+
 @_query
 def random_event_null(spark, d):
     n = _shocks(spark, d).groupBy("series").agg(F.count("*").alias("n"))

@@ -1,22 +1,25 @@
 """Removal of repeated 50-byte strings by prefix-free parsing.
 
-A rolling hash over 16-byte grams sets triggers: in every 50-byte window the gram with the smallest
-hash, so a window has its trigger wherever it occurs. The windows of one trigger form a phrase, and
-phrases overlap by 49 bytes: every window lies in exactly one phrase, and whether two windows are
-equal is decided by phrase bytes alone. The parse is a document's sequence of phrases; the
-dictionary holds distinct phrases with the smallest doc_id that has them. Only equality of 50-byte
-suffix prefixes matters here, so the dictionary's suffixes are ordered by hash, checked on the bytes,
-and not lexicographically; the parse carries the outcome back to the documents.
-
-Four scans, none of which shuffles text:
-1. every item (a Parquet row group of texts) sends its distinct trigger hashes, packed, by hash range;
-   the range's task answers which ones other documents have too;
-2. items send the 128-bit hash of each distinct phrase of a shared trigger; the answer tells whether
-   a smaller doc_id has the whole phrase. What is left is the dictionary: each phrase once;
-3. dictionary phrases are sent, packed, by trigger; the trigger's task orders their suffixes and
-   answers which windows a smaller doc_id has. Triggers found in very many places send single
-   windows, by window hash, so that no task gathers all phrases of a common gram;
-4. items turn answers into removed spans and digests of what is left.
+A rolling hash over 16-byte grams sets triggers: in every 50-byte window the leftmost gram with the
+smallest hash, so a window has its trigger wherever it occurs. The parse of a text is its sequence
+of triggers. A phrase spells out what the windows of one trigger hold: the bytes before it, which are
+the dictionary's, and those from it on, which are the parse's continuation.
+
+Two suffix orders settle which windows are equal, on bytes alone. The dictionary's phrases are sorted
+by their suffixes that end at the trigger, the parse's suffixes by what they spell from the trigger
+on, each with the lengths that neighbours have in common. A text's suffix that starts ``a`` bytes
+before a trigger ranks by its dictionary suffix of ``a`` bytes first and by its parse suffix second;
+in this corpus order all suffixes with the same 50 bytes lie together, and those whose doc_id is not
+the smallest of their run are repeats.
+
+1. Items (some megabytes of whole texts, or one longer text) send each distinct trigger once; a window
+   over the trigger's hash tells which ones other documents have too.
+2. Items send each distinct phrase of a shared trigger once. Tasks get them sorted by trigger, put
+   them in corpus order and answer, for each phrase, which of its windows are repeats.
+3. Items turn the answers into removed spans and digests of what is left.
+
+Every row that is sent stands for a distinct trigger or phrase of an item, so their number grows in
+proportion to the text. Texts are written once and not shuffled.
 """
 
 from __future__ import annotations
@@ -28,28 +31,27 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, GroupedData, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideflow.llm._shared import materialize, scratch_path, table
+from tideflow.llm._shared import materialize, ordered_rank, scratch_path, table
 from tideflow.llm.warc import open_store
 
 LENGTH = 50
 GRAM = 16
-#: Parquet bytes of an item; its text is about twice as long.
+#: Bytes of text of an item, unless a single text is longer.
 ITEM_BYTES = 4 << 20
-#: Text bytes a bucket of either exchange stands for.
-BUCKET_BYTES = 8 << 20
-#: A trigger with phrases in more items, or more phrases in one item, sends single windows. Below, the
-#: distinct phrases of a trigger, 84 bytes at most each, fit one task with room to spare.
-HOT_ITEMS, HOT_PHRASES = 2048, 512
+#: A trigger with more phrases than this sends single windows, which Spark groups by their bytes, so that
+#: no task gathers all contexts of a common gram. The answers are the same.
+HOT_PHRASES = 2048
+#: Phrases that a task puts in order at a time; those of one trigger stay together.
+CHUNK = 100_000
 _PIECE = 1 << 20
+#: Bits of a trigger's sort key that hold its place in a piece; the rest are the upper bits of its hash.
+_PLACE = 24
 _MULT = 0x9E3779B97F4A7C15
 _LAST = np.iinfo(np.int64).max
-
-
-def _table() -> np.ndarray:
-    return np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BEFORE = LENGTH - GRAM
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -57,15 +59,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, out=out)
-
-
 def rolling(data: np.ndarray, length: int) -> np.ndarray:
     """Hash of every ``length``-byte string of ``data``, built from those of half the length."""
-    cur, size, out, done = _table()[data], 1, None, 0
+    table = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    cur, size, out, done = table[data], 1, None, 0
     while True:
         if length & size:
             part = cur[done:]
@@ -88,239 +85,215 @@ def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
 
 
 @dataclass
-class Piece:
-    """Some texts back to back: phrase i has the windows that start at first[i]..last[i], and trigger hash gram[i]."""
+class Parse:
+    """An item's texts back to back; phrase i has the windows that start at first[i]..last[i] and its trigger, gram[i], at trigger[i]."""
 
     data: np.ndarray
     ends: np.ndarray
-    doc_ids: np.ndarray
     gram: np.ndarray
+    trigger: np.ndarray
     first: np.ndarray
     last: np.ndarray
-    doc: np.ndarray
+    rank: np.ndarray  # of the phrase's document
+
+
+def parse(data: np.ndarray, ends: np.ndarray, ranks: np.ndarray) -> Parse:
+    """The phrases of texts that end at ``ends``. A trigger depends on its window alone, wherever pieces are cut."""
+    found: list[list[np.ndarray]] = [[], [], [], []]
+    for base in range(0, len(data) - LENGTH + 1, _PIECE):
+        part = data[base : base + _PIECE + LENGTH - 1]
+        h = rolling(part, GRAM)
+        place = np.uint64(_PLACE)
+        key = (h >> place << place) | np.arange(len(h), dtype=np.uint64)
+        at = (sliding_min(key, LENGTH - GRAM + 1) & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
+        whole = np.ones(len(at), bool)  # windows that do not cross into the next text
+        for e in (ends[np.searchsorted(ends, base, "right") : np.searchsorted(ends, base + len(part), "left")] - base).tolist():
+            whole[max(0, e - LENGTH + 1) : e] = False
+        starts = np.flatnonzero(whole)
+        if not len(starts):
+            continue
+        owner = at[starts]
+        new = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (starts[1:] != starts[:-1] + 1))))
+        last = starts[np.append(new[1:] - 1, len(starts) - 1)]
+        for c, v in zip(found, (mix(h[owner[new]] + np.uint64(_MULT)), owner[new] + base, starts[new] + base, last + base)):
+            c.append(v)
+    gram, trigger, first, last = (np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(found, (np.uint64, np.int64, np.int64, np.int64)))
+    return Parse(data, ends, gram.view(np.int64), trigger, first, last, ranks[np.searchsorted(ends, first, side="right")] if len(first) else first)
 
 
-def parse(texts: list[bytes], doc_ids: list[int], length: int = LENGTH, gram: int = GRAM) -> Piece:
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
-    none = np.zeros(0, np.int64)
-    ids = np.array(doc_ids, np.int64)
-    if len(data) < length:
-        return Piece(data, ends, ids, none.astype(np.uint64), none, none, none)
-    h = rolling(data, gram)
-    low = max(24, int(len(h)).bit_length())
-    key = (h >> np.uint64(low) << np.uint64(low)) | np.arange(len(h), dtype=np.uint64)
-    at = (sliding_min(key, length - gram + 1) & np.uint64((1 << low) - 1)).astype(np.int64)
-    whole = np.ones(len(at), bool)  # windows that do not cross into the next text
-    for e in ends[:-1].tolist():
-        whole[max(0, e - length + 1) : e] = False
-    starts = np.flatnonzero(whole[: len(at)])
-    if not len(starts):
-        return Piece(data, ends, ids, none.astype(np.uint64), none, none, none)
-    owner = at[starts]
-    new = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (starts[1:] != starts[:-1] + 1))))
-    first, last = starts[new], starts[np.concatenate((new[1:] - 1, [len(starts) - 1]))]
-    doc = np.searchsorted(ends, first, side="right")
-    # smallest hashes crowd at the low end: mixed once more they fill all buckets alike
-    return Piece(data, ends, ids, mix(h[owner[new]] + np.uint64(_MULT)), first, last, doc)
-
-
-def pieces(path: str, group: int) -> Iterator[Piece]:
-    """The texts of an item, about ``_PIECE`` bytes at a time (a longer text alone)."""
-    fs, name = open_store(path)
+def load(file: str, group: int, start: int, count: int) -> tuple[pa.Array, Parse]:
+    """doc_ids and parse of an item: ``count`` rows of a row group from ``start`` on."""
+    fs, name = open_store(file)
+    ids, texts, ranks, seen = [], [], [], 0
     with fs.open_input_file(name) as f:
-        t = pq.ParquetFile(f).read_row_group(group, columns=["doc_id", "text"])
-    texts, ids, size = [], [], 0
-    for i, text in zip(t["doc_id"].to_pylist(), t["text"]):
-        text = text.as_py() or b""
-        texts.append(text), ids.append(_LAST if i is None else i)
-        size += len(text)
-        if size >= _PIECE:
-            yield parse(texts, ids)
-            texts, ids, size = [], [], 0
-    if texts:
-        yield parse(texts, ids)
-
-
-def _grams(item: list[Piece]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct trigger hashes of an item in order; whether several doc_ids have each; whether very many phrases do."""
-    g = np.concatenate([p.gram for p in item]) if item else np.zeros(0, np.uint64)
-    ids = np.concatenate([p.doc_ids[p.doc] for p in item]) if item else np.zeros(0, np.int64)
-    if not len(g):
-        return g, np.zeros(0, bool), np.zeros(0, bool)
-    order = np.argsort(g, kind="stable")
-    g, ids = g[order], ids[order]
-    at = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
-    counts = np.diff(np.append(at, len(g)))
-    return g[at], np.minimum.reduceat(ids, at) != np.maximum.reduceat(ids, at), counts > HOT_PHRASES
+        for b in pq.ParquetFile(f).iter_batches(batch_size=512, row_groups=[group], columns=["doc_id", "rank", "text"]):
+            part = b.slice(max(0, start - seen), max(0, min(count, start + count - seen)))
+            seen += b.num_rows
+            if part.num_rows:
+                ids.append(part.column(0))
+                ranks.append(part.column(1).to_numpy())
+                texts += part.column(2).to_pylist()
+            if seen >= start + count:
+                break
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    return pa.concat_arrays(ids), parse(np.frombuffer(b"".join(texts), np.uint8), ends, np.concatenate(ranks))
 
 
-def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+def triggers(p: Parse) -> tuple[np.ndarray, np.ndarray]:
+    """An item's distinct triggers and, for each, twice its phrases, plus one if several documents have it."""
+    if not len(p.gram):
+        return p.gram, np.zeros(0, np.int32)
+    order = np.argsort(p.gram, kind="stable")
+    g, ranks = p.gram[order], p.rank[order]
+    at = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+    several = np.minimum.reduceat(ranks, at) != np.maximum.reduceat(ranks, at)
+    return g[at], (2 * np.diff(np.append(at, len(g))) + several).astype(np.int32)
 
 
-def _slices(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(bucket, start, end) of each run of a sorted array."""
-    if len(bucket):
-        at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-        yield from zip(bucket[at].tolist(), at.tolist(), [*at[1:].tolist(), len(bucket)])
+@dataclass
+class Dictionary:
+    """Distinct phrases of an item's shared triggers: their bytes, triggers, trigger offsets and smallest ranks."""
 
+    phrases: list[bytes]
+    gram: np.ndarray
+    before: np.ndarray
+    rank: np.ndarray
+    at: np.ndarray  # of every occurrence: its place among the item's phrases
+    of: np.ndarray  # and among the distinct ones
 
-def _bits(blobs: list[bytes], counts: list[int]) -> np.ndarray:
-    parts = [np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool) for b, n in zip(blobs, counts)]
-    return np.concatenate(parts) if parts else np.zeros(0, bool)
 
+def dictionary(p: Parse, shared: np.ndarray) -> Dictionary:
+    at = np.flatnonzero(np.isin(p.gram, shared))
+    body, place = p.data.tobytes(), {}
+    of = np.fromiter((place.setdefault(body[f:e], len(place)) for f, e in zip(p.first[at].tolist(), (p.last[at] + LENGTH).tolist())), np.int64, len(at))
+    _, head = np.unique(of, return_index=True)
+    rank = np.full(len(place), _LAST)
+    np.minimum.at(rank, of, p.rank[at])
+    return Dictionary(list(place), p.gram[at[head]], (p.trigger - p.first)[at[head]], rank, at, of)
 
-def shared_triggers(blobs: list[bytes], several: list[bytes], many: list[bytes]) -> list[tuple[bytes, bytes]]:
-    """For each item's sorted hashes (6 bytes each): bitmaps of those that other doc_ids may have too, and of the hot ones."""
-    counts = [len(b) // 6 for b in blobs]
-    raw = np.zeros((sum(counts), 8), np.uint8)
-    raw[:, 2:] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 6)
-    h = raw.reshape(-1).view(np.uint64)
-    order = np.argsort(h, kind="stable")
-    at = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
-    n = np.diff(np.append(at, len(h)))
-    shared = (n > 1) | np.logical_or.reduceat(_bits(several, counts)[order], at)
-    hot = (n > HOT_ITEMS) | np.logical_or.reduceat(_bits(many, counts)[order], at)
-    back = np.zeros(len(h), np.int64)
-    back[order] = np.repeat(np.arange(len(at)), n)
-    ends = np.cumsum(counts)
-    return [(np.packbits(shared[back[e - c : e]]).tobytes(), np.packbits(hot[back[e - c : e]]).tobytes()) for e, c in zip(ends, counts)]
 
+def _words(rows: np.ndarray) -> list[np.ndarray]:
+    """Rows of bytes as big-endian words, last word first: the keys that sort them with ``lexsort``."""
+    wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    wide[:, : rows.shape[1]] = rows
+    return list(wide.view(">u8").astype(np.uint64).T[::-1])
 
-@dataclass
-class Phrases:
-    """An item's distinct phrases of shared triggers, each with its smallest doc_id, sorted by content hash."""
 
-    piece: np.ndarray
-    first: np.ndarray
-    windows: np.ndarray
-    doc_id: np.ndarray
-    gram: np.ndarray
-    content: np.ndarray
-    hot: np.ndarray
-    of: np.ndarray  # for every phrase looked at: its place among the distinct ones
-    each: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # and its piece, first window, windows, doc_id
-
-
-def shared_phrases(item: list[Piece], known: np.ndarray, shared: np.ndarray, hot: np.ndarray) -> Phrases:
-    cols: list[list[np.ndarray]] = [[], [], [], [], [], [], []]
-    for k, p in enumerate(item):
-        place = np.searchsorted(known, p.gram)
-        take = np.flatnonzero(shared[place]) if len(p.gram) else np.zeros(0, np.int64)
-        first, windows = p.first[take], p.last[take] - p.first[take] + 1
-        # content hash: a polynomial over the phrase's bytes, from prefix sums, moved to the phrase's start
-        sums = np.zeros(len(p.data) + 1, np.uint64)
-        np.cumsum(_table()[p.data] * _powers(_MULT, len(p.data)), out=sums[1:])
-        stop = first + windows + LENGTH - 1
-        content = mix((sums[stop] - sums[first]) * _powers(pow(_MULT, -1, 1 << 64), len(p.data))[first])
-        content = mix(content + windows.astype(np.uint64) * np.uint64(_MULT))
-        for c, v in zip(cols, (np.full(len(first), k), first, windows, p.doc_ids[p.doc[take]], p.gram[take], content, hot[place[take]])):
-            c.append(v)
-    kinds = (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64, bool)
-    piece, first, windows, ids, gram, content, single = (np.concatenate(c).astype(t) if c else np.zeros(0, t) for c, t in zip(cols, kinds))
-    order = np.lexsort((ids, gram, content))
-    new = np.ones(len(order), bool)
-    new[1:] = (content[order][1:] != content[order][:-1]) | (gram[order][1:] != gram[order][:-1])
-    of = np.zeros(len(order), np.int64)
-    of[order] = np.cumsum(new) - 1
-    top = order[new]
-    return Phrases(piece[top], first[top], windows[top], ids[top], gram[top], content[top], single[top], of, (piece, first, windows, ids))
-
-
-def smaller_elsewhere(content: np.ndarray, gram: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Of phrases with equal hashes, those that do not have the smallest doc_id."""
-    order = np.lexsort((gram, content))
-    new = np.ones(len(order), bool)
-    new[1:] = (content[order][1:] != content[order][:-1]) | (gram[order][1:] != gram[order][:-1])
-    gone = np.zeros(len(order), bool)
-    gone[order] = ids[order] > np.minimum.reduceat(ids[order], np.flatnonzero(new))[np.cumsum(new) - 1]
-    return gone
+def suffix_order(rows: np.ndarray, lengths: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' order (by group, bytes, length), and the bytes that each has in common with the one before; -1 at a new group."""
+    order = np.lexsort([lengths, *_words(rows), groups])
+    same = rows[order[1:]] == rows[order[:-1]]
+    common = np.where(same.all(axis=1), rows.shape[1], same.argmin(axis=1))
+    common = np.minimum(common, np.minimum(lengths[order[1:]], lengths[order[:-1]]))
+    return order, np.concatenate(([-1], np.where(groups[order[1:]] == groups[order[:-1]], common, -1)))
 
 
-@dataclass
-class Sent:
-    """What an item sends of its dictionary phrases, sorted by bucket: whole, or as single windows."""
-
-    phrase: np.ndarray  # place among the distinct phrases
-    offset: np.ndarray  # first window, from the phrase's first
-    windows: np.ndarray
-    bucket: np.ndarray
-
-
-def dictionary(item: list[Piece], p: Phrases, gone: np.ndarray, buckets: int) -> Sent:
-    own = np.flatnonzero(~gone)
-    rep = np.where(p.hot[own], p.windows[own], 1)
-    phrase = np.repeat(own, rep)
-    offset = np.arange(rep.sum()) - np.repeat(np.cumsum(rep) - rep, rep)
-    windows = np.where(p.hot[phrase], 1, p.windows[phrase])
-    route = mix(p.gram[phrase])
-    for k, piece in enumerate(item):
-        here = np.flatnonzero((p.piece[phrase] == k) & p.hot[phrase])
-        if len(here):
-            route[here] = rolling(piece.data, LENGTH)[p.first[phrase[here]] + offset[here]]
-    bucket = _bucket(route, buckets)
-    order = np.argsort(bucket, kind="stable")
-    return Sent(phrase[order], offset[order], windows[order], bucket[order])
-
-
-def repeated_windows(lengths: np.ndarray, data: np.ndarray, doc_ids: np.ndarray) -> np.ndarray:
-    """For each phrase the bits of its windows that a smaller doc_id has too.
-
-    Windows are sorted by hash and every equality is checked on the bytes; if one fails, by the bytes.
+def repeated_windows(data: np.ndarray, offsets: np.ndarray, gram: np.ndarray, before: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """For each phrase the bits of its windows that a phrase of a smaller rank has too.
+
+    ``data`` holds the phrases between ``offsets``; ``before`` is the trigger's place in each.
     """
-    ends = np.cumsum(lengths)
-    windows = lengths - LENGTH + 1
-    at = np.repeat(ends - lengths - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
-    ids = np.repeat(doc_ids, windows)
-    h = rolling(data, LENGTH)[at]
-    order = np.argsort(h, kind="stable")
-    new = np.concatenate(([True], h[order][1:] != h[order][:-1]))
-    group = np.cumsum(new) - 1
-    heads = order[new]
-    lead = heads[group]
-    view = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
-    pairs = np.flatnonzero(~new)
-    if any((view[at[order[c]]] != view[at[lead[c]]]).any() for c in np.array_split(pairs, len(pairs) // 200_000 + 1) if len(c)):
-        _, inverse = np.unique(view[at].copy().view(f"V{LENGTH}").ravel(), return_inverse=True)
-        order = np.argsort(inverse, kind="stable")
-        new = np.concatenate(([True], inverse[order][1:] != inverse[order][:-1]))
-        group = np.cumsum(new) - 1
-    least = np.minimum.reduceat(ids[order], np.flatnonzero(new))
-    gone = np.zeros(len(at), bool)
-    gone[order] = ids[order] > least[group]
-    bit = np.arange(len(at)) - np.repeat(np.cumsum(windows) - windows, windows)
-    return np.add.reduceat(gone.astype(np.uint64) << bit.astype(np.uint64), np.cumsum(windows) - windows)
-
-
-def removed_spans(item: list[Piece], phrases: Phrases, gone: np.ndarray, sent: Sent, bits: np.ndarray) -> Iterator[tuple[int, int, int, int, str]]:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of the item's documents."""
-    piece, first, windows, ids = phrases.each
-    found = np.zeros(len(phrases.first), np.uint64)
-    np.bitwise_or.at(found, sent.phrase, bits << sent.offset.astype(np.uint64))
+    n = len(gram)
+    at, size = offsets[:-1] + before, np.diff(offsets)
+    after = size - before
+    back, forth = np.arange(_BEFORE), np.arange(LENGTH)
+    left = np.where(back < before[:, None], data[np.maximum(at[:, None] - 1 - back, 0)], np.uint8(0))
+    right = np.where(forth < after[:, None], data[np.minimum(at[:, None] + forth, len(data) - 1)], np.uint8(0))
+    d_order, d_common = suffix_order(left, before, gram)
+    p_order, p_common = suffix_order(right, after, gram)
+    bits, d_run, p_run = np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    least = before - (size - LENGTH)  # windows start this many bytes before the trigger at least
+    for a in range(_BEFORE + 1):
+        here = np.flatnonzero((before >= a) & (least <= a))
+        if not len(here):
+            continue
+        # equal dictionary suffixes of a bytes, and equal parse suffixes of the other bytes, are runs
+        d_run[d_order] = np.cumsum(d_common < a)
+        p_run[p_order] = np.cumsum(p_common < LENGTH - a)
+        place = d_run[here] * (n + 1) + p_run[here]
+        order = np.argsort(place, kind="stable")
+        new = np.concatenate(([True], place[order][1:] != place[order][:-1]))
+        low = np.minimum.reduceat(rank[here][order], np.flatnonzero(new))[np.cumsum(new) - 1]
+        gone = here[order[rank[here][order] > low]]
+        bits[gone] |= np.uint64(1) << (before[gone] - a).astype(np.uint64)
+    return bits
+
+
+def by_trigger(it: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of some ``CHUNK`` rows from batches sorted by h; the rows of one h stay together."""
+    held: list[pa.RecordBatch] = []
+    for b in it:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= CHUNK:
+            t = pa.Table.from_batches(held)
+            h = t["h"].to_numpy()
+            cut = int(np.searchsorted(h, h[-1]))
+            if cut:
+                yield t.slice(0, cut)
+            held = t.slice(cut).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def removed_spans(p: Parse, d: Dictionary, k: np.ndarray, bits: np.ndarray) -> Iterator[tuple[int, int, int, str]]:
+    """(n_bytes, n_removed, n_spans, kept_sha256) of the item's documents, from the answers on its distinct phrases ``k``."""
+    found = np.zeros(len(d.phrases), np.uint64)
+    np.bitwise_or.at(found, k, bits)
+    first, windows = p.first[d.at], p.last[d.at] - p.first[d.at] + 1
     whole = (np.uint64(1) << windows.astype(np.uint64)) - np.uint64(1)
-    mine = np.where((ids > phrases.doc_id[phrases.of]) | gone[phrases.of], whole, found[phrases.of])
-    for k, p in enumerate(item):
-        gone = np.zeros(len(p.data) + 1, np.int32)
-        here = np.flatnonzero(piece == k)
-        w, f, m = windows[here], first[here], mine[here]
+    mine = np.where(p.rank[d.at] > d.rank[d.of], whole, found[d.of])
+    gone = np.zeros(len(p.data) + 1, np.int8)  # at most LENGTH windows cover a byte
+    for at in range(0, len(mine), _PIECE >> 4):
+        f, w, m = first[at : at + (_PIECE >> 4)], windows[at : at + (_PIECE >> 4)], mine[at : at + (_PIECE >> 4)]
         step = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
-        at = (np.repeat(f, w) + step)[(np.repeat(m, w) >> step.astype(np.uint64) & np.uint64(1)).astype(bool)]
-        gone[at] += 1
-        gone[at + LENGTH] -= 1  # windows start at one place only once, so no index repeats within a line
-        cover = np.cumsum(gone[:-1]) > 0
-        begin = 0
-        for i, end in zip(p.doc_ids.tolist(), p.ends.tolist()):
-            c = cover[begin:end]
-            n = int(c.sum())
-            spans = int(c[:1].sum() + (c[1:] & ~c[:-1]).sum()) if n else 0
-            kept = p.data[begin:end][~c] if n else p.data[begin:end]
-            yield i, end - begin, n, spans, hashlib.sha256(kept.tobytes()).hexdigest()
-            begin = end
-
+        start = (np.repeat(f, w) + step)[(np.repeat(m, w) >> step.astype(np.uint64) & np.uint64(1)).astype(bool)]
+        gone[start] += 1  # windows start at one place only once, so no index repeats
+        gone[start + LENGTH] -= 1
+    cover = np.cumsum(gone[:-1], dtype=np.int8) > 0
+    begin = 0
+    for end in p.ends.tolist():
+        c = cover[begin:end]
+        n = int(c.sum())
+        spans = int(c[:1].sum() + (c[1:] & ~c[:-1]).sum()) if n else 0
+        kept = p.data[begin:end][~c] if n else p.data[begin:end]
+        yield end - begin, n, spans, hashlib.sha256(kept.tobytes()).hexdigest()
+        begin = end
+
+
+def _ranked(docs: DataFrame) -> DataFrame:
+    """doc_id, rank (long, in the order of doc_id; null ids last), text (binary)."""
+    text = F.coalesce("text", F.lit("")).cast("binary").alias("text")
+    if docs.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("rank"), text)
+    ids = ordered_rank(docs.select("doc_id").where("doc_id IS NOT NULL").distinct(), [F.col("doc_id")], "ids")
+    return docs.select("doc_id", text).join(ids, "doc_id", "left").select("doc_id", F.coalesce("rank", F.lit(_LAST)).alias("rank"), "text")
+
+
+def _items(spark: SparkSession, path: str) -> DataFrame:
+    """item, file, row_group, start, count: the written texts in items of ``ITEM_BYTES``; a row group is cut by the lengths of its texts."""
+
+    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for file in b.column(0).to_pylist():
+                rows, (fs, name) = [], open_store(file)
+                with fs.open_input_file(name) as f:
+                    source = pq.ParquetFile(f)
+                    for g in range(source.num_row_groups):
+                        sizes = source.read_row_group(g, columns=["size"])["size"].to_numpy()
+                        start, held = 0, 0
+                        for i, n in enumerate(sizes.tolist()):
+                            if held and held + n > ITEM_BYTES:
+                                rows.append((file, g, start, i - start))
+                                start, held = i, 0
+                            held += n
+                        if len(sizes):
+                            rows.append((file, g, start, len(sizes) - start))
+                if rows:
+                    yield pa.RecordBatch.from_pylist([dict(zip(("file", "row_group", "start", "count"), r)) for r in rows])
 
-def _table_of(rows: list[tuple], schema: pa.Schema) -> pa.Table:
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema) if rows else schema.empty_table()
+    files = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("file")).distinct()
+    cuts = files.mapInArrow(cut, "file string, row_group long, start long, count long")
+    return materialize(cuts.withColumn("item", F.monotonically_increasing_id()), "items")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -328,113 +301,83 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     A null text is empty; texts shorter than a window lose nothing. Only rows with a smaller doc_id
     count: rows that share a doc_id never remove each other's bytes. Null doc_ids come after all
-    others. An empty table gives no rows. Other columns are ignored. A task holds one item and works
-    on a piece of it at a time, at some 80 bytes of memory for each byte of the piece, which is a
-    megabyte or the longest text.
+    others (an id of 2^63 - 1 counts as null). doc_ids of any type that can be ordered are taken. An
+    empty table gives no rows. Other columns are ignored. A task holds one item: some megabytes of
+    text or a single longer one, at some 30 bytes of memory for each of its bytes.
     """
     spark = docs.sparkSession
     path = scratch_path(spark, "texts")
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    slim = _ranked(docs).withColumn("size", F.octet_length("text").cast("long"))
     slim.write.option("compression", "zstd").option("parquet.block.size", ITEM_BYTES).parquet(path)
-    files = spark.read.parquet(path).inputFiles()
-
-    def groups(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            for file in b.column(0).to_pylist():
-                fs, name = open_store(file)
-                with fs.open_input_file(name) as f:
-                    meta = pq.ParquetFile(f).metadata
-                    rows = [(f"{file}#{g}", file, g, meta.row_group(g).total_byte_size) for g in range(meta.num_row_groups)]
-                if rows:
-                    yield pa.RecordBatch.from_pylist([dict(zip(("item", "file", "row_group", "bytes"), r)) for r in rows])
-
-    listed = spark.createDataFrame([(f,) for f in files], "file string").repartition(min(max(1, len(files)), 10_000))
-    items = materialize(listed.mapInArrow(groups, "item string, file string, row_group long, bytes long"), "items")
-    size = items.agg(F.sum("bytes"), F.count("*")).first()
-    buckets, n_items = max(8, -(-(size[0] or 0) // BUCKET_BYTES)), max(1, size[1])
-    sent = pa.schema([("item", pa.string()), ("bucket", pa.int64()), ("n", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
-    ddl = "item string, bucket long, n long, a binary, b binary, c binary"
-
-    def by(df: DataFrame, key: str, groups: int) -> GroupedData:
-        # a number of partitions that is set here: coalescing by size would pile up items, whose rows are few and work is long
-        return df.repartition(min(2 * groups, 20_000), key).groupBy(key)
+    items = _items(spark, path)
+    tasks = max(1, min(items.count(), 20_000))
+    where, lists = ("file", "row_group", "start", "count"), ("cold", "hot", "k", "bits")
 
     def send_triggers(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for item, file, group, _ in zip(*(c.to_pylist() for c in b.columns)):
-                g, several, many = _grams(list(pieces(file, group)))
-                packed = g.view(np.uint8).reshape(-1, 8)[:, 2:]
-                rows = [(item, k, e - s, packed[s:e].tobytes(), np.packbits(several[s:e]).tobytes(), np.packbits(many[s:e]).tobytes()) for k, s, e in _slices(_bucket(g, buckets))]
-                if rows:
-                    yield from _table_of(rows, sent).to_batches()
-
-    def answer_triggers(t: pa.Table) -> pa.Table:
-        a = shared_triggers(t["a"].to_pylist(), t["b"].to_pylist(), t["c"].to_pylist())
-        return _table_of([(i, k, n, s, h, None) for i, k, n, (s, h) in zip(t["item"].to_pylist(), t["bucket"].to_pylist(), t["n"].to_pylist(), a)], sent)
-
-    dealt = items.repartition(min(n_items, 10_000))
-    triggers = materialize(by(dealt.mapInArrow(send_triggers, ddl), "bucket", buckets).applyInArrow(answer_triggers, ddl), "triggers")
-
-    def answers(t: pa.Table, kind: int) -> pa.Table:
-        return t.filter(pa.array(t["kind"].to_numpy() == kind)).sort_by("bucket")
-
-    def work(t: pa.Table) -> tuple[str, list[Piece], Phrases]:
-        """An item from its own row (kind 0) and the answers on its triggers (kind 1)."""
-        own, a = answers(t, 0).to_pylist()[0], answers(t, 1)
-        item = list(pieces(own["file"], own["row_group"]))
-        counts = a["n"].to_pylist()
-        shared, hot = _bits(a["a"].to_pylist(), counts), _bits(a["b"].to_pylist(), counts)
-        return own["item"], item, shared_phrases(item, _grams(item)[0], shared, hot)
-
-    def send_contents(t: pa.Table) -> pa.Table:
-        name, _, p = work(t)
-        return _table_of([(name, k, e - s, p.content[s:e].tobytes(), p.gram[s:e].tobytes(), p.doc_id[s:e].tobytes()) for k, s, e in _slices(_bucket(p.content, buckets))], sent)
-
-    def answer_contents(t: pa.Table) -> pa.Table:
-        content, gram = (np.frombuffer(b"".join(t[c].to_pylist()), np.uint64) for c in "ab")
-        gone = smaller_elsewhere(content, gram, np.frombuffer(b"".join(t["c"].to_pylist()), np.int64))
-        ends = np.cumsum(t["n"].to_numpy()).tolist()
-        return _table_of([(i, k, n, np.packbits(gone[e - n : e]).tobytes(), None, None) for i, k, n, e in zip(t["item"].to_pylist(), t["bucket"].to_pylist(), t["n"].to_pylist(), ends)], sent)
-
-    def parsed(t: pa.Table) -> tuple[str, list[Piece], Phrases, np.ndarray, Sent]:
-        name, item, p = work(t)
-        a = answers(t, 2)
-        gone = _bits(a["a"].to_pylist(), a["n"].to_pylist())
-        return name, item, p, gone, dictionary(item, p, gone, buckets)
-
-    def send_phrases(t: pa.Table) -> pa.Table:
-        name, item, p, _, d = parsed(t)
-        at, rows = p.first[d.phrase] + d.offset, []
-        for k, s, e in _slices(d.bucket):
-            body = b"".join(item[i].data[f : f + w + LENGTH - 1].tobytes() for i, f, w in zip(p.piece[d.phrase[s:e]].tolist(), at[s:e].tolist(), d.windows[s:e].tolist()))
-            rows.append((name, k, e - s, (d.windows[s:e] + LENGTH - 1).astype(np.uint8).tobytes(), body, p.doc_id[d.phrase[s:e]].tobytes()))
-        return _table_of(rows, sent)
-
-    def answer_phrases(t: pa.Table) -> pa.Table:
-        lengths = np.frombuffer(b"".join(t["a"].to_pylist()), np.uint8).astype(np.int64)
-        bits = repeated_windows(lengths, np.frombuffer(b"".join(t["b"].to_pylist()), np.uint8), np.frombuffer(b"".join(t["c"].to_pylist()), np.int64))
-        ends = np.cumsum(t["n"].to_numpy()).tolist()
-        return _table_of([(i, k, n, bits[e - n : e].tobytes(), None, None) for i, k, n, e in zip(t["item"].to_pylist(), t["bucket"].to_pylist(), t["n"].to_pylist(), ends)], sent)
-
-    def finish(t: pa.Table) -> pa.Table:
-        _, item, p, gone, d = parsed(t)
-        bits = np.frombuffer(b"".join(answers(t, 3)["a"].to_pylist()), np.uint64)
-        rows = [(None if i == _LAST else i, *rest) for i, *rest in removed_spans(item, p, gone, d, bits)]
-        return _table_of(rows, result)
-
-    result = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
-    empty = F.lit(None).cast("binary")
-    own = items.select("item", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("bucket"), F.lit(0).cast("long").alias("n"), empty.alias("a"), empty.alias("b"), "file", "row_group")
-    tail = [F.lit(None).cast("string").alias("file"), F.lit(None).cast("long").alias("row_group")]
-    told = lambda df, kind: df.select("item", F.lit(kind).alias("kind"), "bucket", "n", "a", "b", *tail)
-    one = own.unionByName(told(triggers, 1))
-    contents = by(one, "item", n_items).applyInArrow(send_contents, ddl)
-    contents = materialize(by(contents, "bucket", buckets).applyInArrow(answer_contents, ddl), "contents")
-    two = one.unionByName(told(contents, 2))
-    phrases = by(two, "item", n_items).applyInArrow(send_phrases, ddl)
-    phrases = materialize(by(phrases, "bucket", buckets).applyInArrow(answer_phrases, ddl), "phrases")
-    both = two.unionByName(told(phrases, 3))
-    return by(both, "item", n_items).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+            for r in b.to_pylist():
+                h, n = triggers(load(*(r[c] for c in where))[1])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), r["item"])), pa.array(n)], ["h", "item", "n"])
+
+    sent = items.repartition(tasks).mapInArrow(send_triggers, "h long, item long, n int")
+    same = Window.partitionBy("h")
+    seen = sent.select("h", "item", "n", F.count("*").over(same).alias("items"), F.sum(F.shiftright("n", 1)).over(same).alias("phrases"))
+    seen = seen.where((F.col("items") > 1) | (F.col("n").bitwiseAND(F.lit(1)) == 1))
+    hot = F.col("phrases") > HOT_PHRASES
+    shared = seen.groupBy("item").agg(F.collect_list(F.when(~hot, F.col("h"))).alias("cold"), F.collect_list(F.when(hot, F.col("h"))).alias("hot"))
+    work = materialize(items.join(shared, "item"), "shared")
+
+    def opened(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, pa.Array, Parse, Dictionary]]:
+        """Each item with its lists as arrays, and what is made of it."""
+        for b in it:
+            for i in range(b.num_rows):
+                r = {c: x[i].values.to_numpy() if x[i].is_valid else np.zeros(0, np.int64) for c, x in zip(b.schema.names, b.columns) if c in lists}
+                r |= {c: x[i].as_py() for c, x in zip(b.schema.names, b.columns) if c not in lists}
+                ids, p = load(*(r[c] for c in where))
+                yield r, ids, p, dictionary(p, np.concatenate((r["cold"], r["hot"])))
+
+    def send_phrases(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """h, item, k (place among the item's distinct phrases), before, rank, phrase, of triggers that are not hot."""
+        for r, _, _, d in opened(it):
+            k = np.flatnonzero(np.isin(d.gram, r["cold"]))
+            cols = [pa.array(d.gram[k]), pa.array(np.full(len(k), r["item"])), pa.array(k), pa.array(d.before[k]), pa.array(d.rank[k]), pa.array([d.phrases[i] for i in k.tolist()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["h", "item", "k", "before", "rank", "phrase"])
+
+    def send_windows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """item, k, bit, rank, window, of hot triggers."""
+        for r, _, _, d in opened(it):
+            for ks in np.array_split(k := np.flatnonzero(np.isin(d.gram, r["hot"])), len(k) // 10_000 + 1):
+                n = [len(d.phrases[i]) - LENGTH + 1 for i in ks.tolist()]
+                windows = [d.phrases[i][j : j + LENGTH] for i, w in zip(ks.tolist(), n) for j in range(w)]
+                bit = np.uint64(1) << (np.arange(sum(n)) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint64)
+                cols = [pa.array(np.full(len(bit), r["item"])), pa.array(np.repeat(ks, n)), pa.array(bit.view(np.int64)), pa.array(np.repeat(d.rank[ks], n)), pa.array(windows, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["item", "k", "bit", "rank", "window"])
+
+    def answer(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_trigger(it):
+            phrase = pa.concat_arrays(t["phrase"].chunks)
+            offsets = np.frombuffer(phrase.buffers()[1], np.int32)[phrase.offset : phrase.offset + len(phrase) + 1].astype(np.int64)
+            bits = repeated_windows(np.frombuffer(phrase.buffers()[2], np.uint8), offsets, t["h"].to_numpy(), t["before"].to_numpy(), t["rank"].to_numpy())
+            some = np.flatnonzero(bits)
+            yield pa.RecordBatch.from_arrays([pa.array(t["item"].to_numpy()[some]), pa.array(t["k"].to_numpy()[some]), pa.array(bits[some].view(np.int64))], ["item", "k", "bits"])
+
+    dealt = work.repartition(tasks)
+    phrases = dealt.mapInArrow(send_phrases, "h long, item long, k long, before long, rank long, phrase binary")
+    answers = phrases.repartition("h").sortWithinPartitions("h").mapInArrow(answer, "item long, k long, bits long")
+    if not work.where(F.size("hot") > 0).isEmpty():
+        windows = dealt.where(F.size("hot") > 0).mapInArrow(send_windows, "item long, k long, bit long, rank long, window binary")
+        windows = windows.withColumn("low", F.min("rank").over(Window.partitionBy("window"))).where("rank > low")
+        answers = answers.unionByName(windows.groupBy("item", "k").agg(F.bit_or("bit").alias("bits")))
+    told = materialize(answers.groupBy("item").agg(F.collect_list("k").alias("k"), F.collect_list("bits").alias("bits")), "answers")
+
+    def finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r, ids, p, d in opened(it):
+            columns = zip(*removed_spans(p, d, r["k"], r["bits"].view(np.uint64)))
+            yield pa.RecordBatch.from_arrays([ids, *map(pa.array, columns)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    known = items.join(work.select("item", "cold", "hot"), "item", "left").join(told, "item", "left").repartition(tasks)
+    return known.mapInArrow(finish, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,18 +53,23 @@ def drop_scratch(df: DataFrame) -> None:
             parent.getFileSystem(spark._jsc.hadoopConfiguration()).delete(parent, True)
 
 
-#: A table with a known number of rows is broadcast up to this many, and joined by a shuffle beyond.
-MAX_BROADCAST_ROWS = 200_000
+#: A table of known size is broadcast up to so many bytes, and joined by a shuffle beyond.
+MAX_BROADCAST_BYTES = 16 << 20
+#: What a row of a few numbers takes there.
+NARROW = 80
 
 
-def bounded(df: DataFrame, rows: int) -> DataFrame:
-    """``df``, of ``rows`` narrow rows, as a side to be broadcast if it is small enough."""
-    return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df.hint("merge")
+def bounded(df: DataFrame, size: int) -> DataFrame:
+    """``df``, of some ``size`` bytes, as a side to be broadcast if it is small enough."""
+    return F.broadcast(df) if size <= MAX_BROADCAST_BYTES else df.hint("merge")
 
 
 def bucket_count(rows: int) -> int:
-    """Buckets a key: their number and the rows in each both grow with the square root of the table."""
-    return max(1, math.isqrt(max(rows, 1)))
+    """Buckets a key: their number and the rows in each both grow with the square root of the table.
+
+    They are small enough for many to meet in a task, so that tasks are even.
+    """
+    return max(1, 8 * math.isqrt(max(rows, 1)))
 
 
 def hash_bucket(h: Column, buckets: int) -> Column:

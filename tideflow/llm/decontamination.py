@@ -1,12 +1,13 @@
 """Benchmark decontamination by a positional inverted index over the training tokens (DataFrame functions only).
 
 1. Training texts become a table of token lists, written once.
-2. The benchmark's terms are counted over the whole corpus. A window in which a term never occurs can't match.
-3. The index stores the postings (term, document, position) of each window's rarest term, with the
-   terms around it, so that the lists of the other terms can be intersected at their offsets without
-   a second look at the text.
-4. Lists are intersected from the rarest term on: the second and third rarest at their offsets, then
-   the whole window (phrase matches) or the number of its terms near by (proximity matches).
+2. The index holds the postings (term, row, position) of every term of the benchmark, in every training text.
+3. Each benchmark window looks for its terms from the rarest on: the postings of the rarest, less its
+   offset, are the places where the window may start; the lists of the next terms, less theirs, are
+   intersected with them one after another, and what is left of the lists with what is left of the places.
+   All joins but the first are on (term, row, position), so a common term is split by document and place.
+4. A proximity match is a run of words that holds most of a window's distinct terms, in any order.
+   It lacks a few at most, so one of as many terms and one more must be there: the rarest are looked up.
 """
 
 from __future__ import annotations
@@ -16,11 +17,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideflow.llm._shared import bounded, materialize, table
+from tideflow.llm._shared import bounded, drop_scratch, materialize, table
 
 WINDOW = 13
+#: Proximity: at least this share of a window's distinct terms within as many words as two windows.
+SHARE, NEAR_WORDS = 0.8, 2 * WINDOW
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Words of the pieces in which proximity looks at a text, so that no row carries a long one.
+STRETCH = 256
+#: Terms whose lists are intersected one at a time; few places are left for the others.
+SINGLE_TERMS = 3
 
 
 def fold(text: Column) -> Column:
@@ -33,107 +40,141 @@ def tokens(text: Column) -> Column:
 
 
 def token_table(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash (with doc_id the document's key), n_words, tokens."""
-    words = tokens(F.col("text"))
-    out = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), words.alias("tokens"))
-    return materialize(out.select("doc_id", "text_hash", F.size("tokens").cast("long").alias("n_words"), "tokens"), "tokens")
+    """row (a number of its own), doc_id, text_hash, n_words, tokens of every document."""
+    out = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), tokens(F.col("text")).alias("tokens"))
+    return materialize(out.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text_hash", F.size("tokens").cast("long").alias("n_words"), "tokens"), "tokens")
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item_id, words, length: distinct windows of each item; an item of fewer words is one window."""
+    """item_id, words: distinct windows of each item; an item of fewer words is one window."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), tokens(F.col("text")).alias("tokens"))
-    items = items.withColumn("length", F.least(F.size("tokens"), F.lit(window))).where("length > 0")
+    items = items.where(F.size("tokens") > 0).withColumn("length", F.least(F.size("tokens"), F.lit(window)))
     starts = F.sequence(F.lit(1), F.size("tokens") - F.col("length") + 1)
-    return items.select("item_id", "length", F.explode(F.transform(starts, lambda i: F.slice("tokens", i, F.col("length")))).alias("words")).distinct()
-
-
-def term_counts(store: DataFrame, vocabulary: DataFrame, rows: int) -> DataFrame:
-    """Occurrences of the benchmark's terms in all training tokens."""
-    words = store.select(F.explode("tokens").alias("term")).join(bounded(vocabulary, rows), "term", "left_semi")
-    return words.groupBy("term").agg(F.count("*").alias("n"))
-
-
-def probes(store: DataFrame, windows: DataFrame) -> DataFrame:
-    """Windows whose terms all occur, with their terms from rarest on: (n, term, offset) in ``plan``."""
-    vocabulary = windows.select(F.explode("words").alias("term")).distinct()
-    known = vocabulary.count()
-    counts = bounded(term_counts(store, vocabulary, known), known)
-    placed = windows.select("item_id", "length", "words", F.posexplode("words").alias("offset", "term")).join(counts, "term")
-    plan = placed.groupBy("item_id", "length", "words").agg(F.array_sort(F.collect_list(F.struct("n", "term", "offset"))).alias("plan"))
-    return plan.where(F.size("plan") == F.col("length"))
-
-
-def postings(store: DataFrame, terms: DataFrame, rows: int, reach: int = WINDOW - 1) -> DataFrame:
-    """The index: term, doc_id, text_hash, pos (0-based), and the terms up to ``reach`` places around from ``around_start`` on."""
-    placed = store.select("doc_id", "text_hash", "tokens", F.posexplode("tokens").alias("pos", "term"))
-    hits = placed.join(bounded(terms, rows), "term", "left_semi")
-    start = F.greatest(F.col("pos") - reach, F.lit(0))
-    return hits.select("term", "doc_id", "text_hash", "pos", start.alias("around_start"), F.slice("tokens", start + 1, F.lit(2 * reach + 1)).alias("around"))
-
-
-def _candidates(index: DataFrame, plans: DataFrame, rows: int) -> DataFrame:
-    first = plans.withColumn("term", F.col("plan")[0]["term"]).withColumn("offset", F.col("plan")[0]["offset"])
-    met = index.join(bounded(first, rows), "term").withColumn("start", F.col("pos") - F.col("offset"))
-    return met.withColumn("at", F.col("start") - F.col("around_start"))
-
-
-def phrase_matches(index: DataFrame, plans: DataFrame, rows: int) -> DataFrame:
-    """doc_id, text_hash, item_id, start, length of every exact occurrence of a window."""
-    met = _candidates(index, plans, rows).where("at >= 0")
-    for k in (1, 2):  # the next rarest terms, at their offsets from the candidate's start
-        there = F.get("around", F.col("at") + F.get("plan", F.lit(k))["offset"])
-        met = met.where((F.size("plan") <= k) | (there == F.get("plan", F.lit(k))["term"]))
-    met = met.where(F.slice("around", F.col("at") + 1, F.col("length")) == F.col("words"))
-    return met.select("doc_id", "text_hash", "item_id", "start", "length")
-
-
-def proximity_matches(index: DataFrame, plans: DataFrame, rows: int, share: float = 0.8) -> DataFrame:
-    """doc_id, text_hash, item_id, pos, n_near: places of a window's rarest term with ``share`` of its distinct terms around."""
-    met = _candidates(index, plans, rows)
-    near = F.size(F.array_intersect("words", "around"))
-    met = met.withColumn("n_near", near).where(F.col("n_near") >= F.ceil(F.lit(share) * F.size(F.array_distinct("words"))))
-    return met.groupBy("doc_id", "text_hash", "item_id", "pos").agg(F.max("n_near").alias("n_near"))
-
-
-def document_hits(matches: DataFrame) -> DataFrame:
-    """Per document key: n_hit words inside any match, and the items matched. A document's matches are bounded by its length."""
+    return items.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("tokens", i, F.col("length")))).alias("words")).distinct()
+
+
+def vocabulary(windows: DataFrame) -> tuple[DataFrame, int]:
+    """The distinct terms of the windows, and the bytes they take."""
+    terms = materialize(windows.select(F.explode("words").alias("term")).distinct(), "terms")
+    return terms, terms.agg(F.coalesce(F.sum(F.octet_length("term") + 32), F.lit(0))).first()[0]
+
+
+def postings(store: DataFrame, terms: DataFrame, size: int) -> DataFrame:
+    """The index: term, row, pos (0-based) of every occurrence of the ``terms``."""
+    placed = store.select("row", F.posexplode("tokens").alias("pos", "term"))
+    return materialize(placed.join(bounded(terms, size), "term", "left_semi").select("term", "row", "pos"), "postings")
+
+
+def plan(windows: DataFrame, index: DataFrame, size: int) -> DataFrame:
+    """window, words, terms: distinct windows with their (n, term, offset) from the rarest on; n is 0 for a term that never occurs."""
+    counts = bounded(index.groupBy("term").agg(F.count("*").alias("n")), size)
+    numbered = materialize(windows.select("words").distinct().withColumn("window", F.monotonically_increasing_id()), "windows")
+    placed = numbered.select("window", "words", F.posexplode("words").alias("offset", "term")).join(counts, "term", "left")
+    lists = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "offset")))
+    return materialize(placed.groupBy("window", "words").agg(lists.alias("terms")), "plans")
+
+
+def phrase_matches(index: DataFrame, plans: DataFrame) -> DataFrame:
+    """row, window, start, length of every exact occurrence of a window."""
+    known = plans.where(F.col("terms")[0]["n"] > 0)
+    size = known.agg(F.coalesce(F.sum(F.octet_length(F.concat_ws("", "words")) + 32), F.lit(0))).first()[0]
+    length = F.size("terms")
+
+    def nth(k: int) -> DataFrame:
+        """The k-th rarest term of each window; the last again for windows of fewer terms."""
+        t = F.element_at("terms", F.least(F.lit(k + 1), length))
+        return bounded(known.select("window", t["term"].alias("term"), t["offset"].alias("offset")), size)
+
+    places = index.join(nth(0), "term").select("window", "row", (F.col("pos") - F.col("offset")).alias("start")).where("start >= 0")
+    for k in range(1, SINGLE_TERMS):
+        wanted = places.join(nth(k), "window").withColumn("pos", F.col("start") + F.col("offset"))
+        lists = index.join(nth(k).select("term").distinct(), "term", "left_semi")
+        places = materialize(wanted.join(lists, ["term", "row", "pos"], "left_semi").select("window", "row", "start"), f"places{k}")
+    rest = F.slice("terms", F.least(F.lit(SINGLE_TERMS + 1), length), length)
+    others = bounded(known.select("window", length.alias("length"), F.size(rest).alias("n_rest"), rest.alias("rest")), size)
+    wanted = places.join(others, "window").select("window", "row", "start", "length", "n_rest", F.inline("rest"))
+    wanted = wanted.withColumn("pos", F.col("start") + F.col("offset"))
+    met = wanted.join(index, ["term", "row", "pos"]).groupBy("row", "window", "start", "length", "n_rest").agg(F.count("*").alias("met"))
+    return met.where("met = n_rest").select("row", "window", "start", "length")
+
+
+def stretches(store: DataFrame, reach: int) -> DataFrame:
+    """row, lead, part: texts in pieces of ``STRETCH`` words with ``reach`` more on either side, of which ``lead`` come first."""
+    first = lambda c: F.greatest(c * STRETCH - reach, F.lit(0))
+    piece = lambda c: F.struct((c * STRETCH - first(c)).alias("lead"), F.slice("tokens", first(c) + 1, c * STRETCH - first(c) + STRETCH + reach).alias("part"))
+    cut = F.transform(F.sequence(F.lit(0), F.expr(f"(size(tokens) - 1) div {STRETCH}").cast("int")), piece)
+    return store.where(F.size("tokens") > 0).select("row", F.explode(cut).alias("piece")).select("row", "piece.lead", "piece.part")
+
+
+def proximity_matches(store: DataFrame, plans: DataFrame, share: float = SHARE, words: int = NEAR_WORDS) -> DataFrame:
+    """(row, window), each once: texts in which some run of ``words`` words holds ``share`` of a window's distinct terms."""
+    distinct = F.array_distinct("words")
+    need = F.ceil(F.lit(share) * F.size(distinct)).cast("int")
+    rarest = F.array_distinct(F.transform("terms", lambda t: t["term"]))
+    probes = plans.select("window", distinct.alias("wanted"), need.alias("need"), F.explode(F.slice(rarest, F.lit(1), F.size(distinct) - need + 1)).alias("term"))
+    size = plans.agg(F.coalesce(F.sum((F.octet_length(F.concat_ws("", "words")) + 400) * (F.size(distinct) - need + 1)), F.lit(0))).first()[0]
+    # a run with the term lies around it: enough terms there first, then in one run
+    placed = stretches(store, words - 1).select("row", "lead", "part", F.posexplode("part").alias("pos", "term"))
+    placed = placed.where((F.col("pos") >= F.col("lead")) & (F.col("pos") < F.col("lead") + STRETCH))
+    start = F.greatest(F.col("pos") - words + 1, F.lit(0))
+    around = F.slice("part", start + 1, F.col("pos") - start + words)
+    near = placed.join(bounded(probes, size).withColumnRenamed("term", "probe"), (F.col("term") == F.col("probe")) & (F.size(F.array_intersect("wanted", around)) >= F.col("need")))
+    near = near.select("row", "window", "wanted", "need", around.alias("around"))
+    run = lambda i: F.size(F.array_intersect("wanted", F.slice("around", i, F.lit(words)))) >= F.col("need")
+    starts = F.sequence(F.lit(1), F.greatest(F.size("around") - words + 1, F.lit(1)))
+    return near.where(F.exists(starts, run)).select("row", "window").distinct()
+
+
+def document_hits(matches: DataFrame, owners: DataFrame) -> DataFrame:
+    """row, n_hit (words inside any match), items (matched). A document's matches are bounded by its length and the windows."""
     span = F.struct("start", (F.col("start") + F.col("length")).alias("end"))
-    by_doc = matches.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(span)).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
+    spans = matches.groupBy("row").agg(F.array_sort(F.collect_set(span)).alias("spans"))
+    items = matches.select("row", "window").distinct().join(owners, "window").groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     begin = F.struct(F.lit(0).cast("long").alias("hit"), F.lit(0).alias("upto"))
 
     def cover(acc: Column, s: Column) -> Column:
         more = F.greatest(s["end"] - F.greatest(acc["upto"], s["start"]), F.lit(0))
         return F.struct((acc["hit"] + more).cast("long").alias("hit"), F.greatest(acc["upto"], s["end"]).alias("upto"))
 
-    return by_doc.select("doc_id", "text_hash", F.aggregate("spans", begin, cover)["hit"].alias("n_hit"), "items")
+    return spans.select("row", F.aggregate("spans", begin, cover)["hit"].alias("n_hit")).join(items, "row")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, text_hash, n_words, n_hit, n_items, items_sha256, contaminated for every row.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: bool = True) -> DataFrame:
+    """doc_id, text_hash, n_words, n_hit, n_items, items_sha256, contaminated and, unless left out, n_near for every row.
 
-    Null and empty texts have no words and are clean; items without words have no window; repeated
-    rows each get the same answer; null ids take part like others (an item's counts as empty text);
-    an empty table on either side gives no hits. Other columns are ignored.
+    ``n_near`` counts the items with a proximity match, exact or not. Null and empty texts have no words
+    and are clean; items without words have no window; repeated rows each get the same answer; null ids
+    take part like others (an item's counts as empty text); an empty table on either side gives no
+    hits. Other columns are ignored.
     """
     store = token_table(docs)
-    windows = materialize(benchmark_windows(benchmark, window), "windows")
-    plans = materialize(probes(store, windows), "plans")
-    terms = plans.select(F.col("plan")[0]["term"].alias("term")).distinct()
-    index = materialize(postings(store, terms, terms.count(), window - 1), "postings")
-    hits = document_hits(phrase_matches(index, plans, plans.count()))
-    hits = hits.withColumnsRenamed({"doc_id": "_doc_id", "text_hash": "_text_hash"})
-    keys = store.select("doc_id", "text_hash", "n_words")
-    out = keys.join(hits, keys.doc_id.eqNullSafe(hits._doc_id) & (keys.text_hash == hits._text_hash), "left")
+    windows = materialize(benchmark_windows(benchmark, window), "items")
+    terms, size = vocabulary(windows)
+    index = postings(store, terms, size)
+    plans = plan(windows, index, size)
+    owners = materialize(windows.join(plans.select("window", "words"), "words").select("window", "item_id"), "owners")
+    hits = document_hits(phrase_matches(index, plans), owners)
+    out = store.drop("tokens").join(materialize(hits, "hits"), "row", "left")
+    drop_scratch(index)
+    columns = ["doc_id", "text_hash", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    if near:
+        close = proximity_matches(store, plans).join(owners, "window").groupBy("row").agg(F.count_distinct("item_id").alias("n_near"))
+        out = out.join(materialize(close, "near"), "row", "left").withColumn("n_near", F.coalesce("n_near", F.lit(0).cast("long")))
+        columns.append("n_near")
     n_hit, items = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
-    return out.select(
-        "doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
-    )
+    return out.withColumns({
+        "n_hit": n_hit, "n_items": F.size(items).cast("long"), "items_sha256": F.sha2(F.concat_ws(",", items), 256),
+        "contaminated": (n_hit > 0) & (20 * n_hit >= F.col("n_words")),
+    }).select(*columns)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns."""
-    bad = decontaminate(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct()
+    """The rows of ``docs`` that are not contaminated, with all their columns.
+
+    Null and empty texts and rows with a null doc_id are judged like others and stay if clean; of repeated rows all stay or
+    none; columns may have any name but ``_bad_id`` and ``_bad_hash``; an empty table on either side removes nothing.
+    """
+    bad = decontaminate(docs, benchmark, window, near=False).where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct()
     same = docs["doc_id"].eqNullSafe(bad["_bad_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["_bad_hash"])
     return docs.join(bad, same, "left_anti")
 
@@ -152,10 +193,19 @@ dw AS (SELECT doc_id, l, i, array_to_string(list_slice(w, i, i + l - 1), ' ') AS
        FROM (SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM d, ls WHERE len(w) >= l)),
 m AS (SELECT doc_id, i, dw.l AS l, item_id FROM dw JOIN bw ON dw.l = bw.l AND dw.g = bw.g),
 h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + l)) AS p FROM m) GROUP BY doc_id),
-it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM m GROUP BY doc_id)
+it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM m GROUP BY doc_id),
+-- proximity: a run of 26 words lies in two blocks of 26; those with enough distinct terms are looked at run by run
+win AS (SELECT row_number() OVER () AS wid, ds, ceil(0.8 * len(ds))::INT AS need FROM (SELECT DISTINCT list_sort(list_distinct(string_split(g, ' '))) AS ds FROM bw)),
+own AS (SELECT DISTINCT item_id, wid FROM (SELECT item_id, list_sort(list_distinct(string_split(g, ' '))) AS ds FROM bw) JOIN win USING (ds)),
+tok AS (SELECT doc_id, i, w[i] AS term FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+blk AS (SELECT DISTINCT doc_id, term, unnest([i // 26, i // 26 - 1]) AS b FROM tok),
+cand AS (SELECT doc_id, wid, b FROM blk JOIN (SELECT wid, need, unnest(ds) AS term FROM win) USING (term) GROUP BY doc_id, wid, b, need HAVING count(*) >= need),
+runs AS (SELECT doc_id, wid, unnest(range(greatest(26 * b, 1), 26 * b + 27)) AS s FROM cand),
+nr AS (SELECT DISTINCT doc_id, wid FROM runs JOIN d USING (doc_id) JOIN win USING (wid) WHERE len(list_distinct(list_intersect(list_slice(w, s, s + 25), ds))) >= need),
+nn AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM nr JOIN own USING (wid) GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN nn USING (doc_id)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_decontamination": op7_decontamination}

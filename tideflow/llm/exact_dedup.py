@@ -2,8 +2,8 @@
 
 Documents are split by the successive bytes of their normalised text. A level compares one block of
 bytes: groups of one leave, groups whose text has ended are classes of equal texts, the rest goes to
-the next level without the bytes already compared. Blocks widen from level to level, so a text of n
-bytes takes about log(n) levels. Equality is decided on the bytes themselves; no digest takes part.
+the next level without the bytes already compared. Blocks widen from level to level, up to
+``MAX_BLOCK``, so most texts take a few levels. Equality is decided on the bytes themselves; no digest takes part.
 """
 
 from __future__ import annotations
@@ -13,10 +13,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideflow.llm._shared import bounded, drop_scratch, materialize, table
+from tideflow.llm._shared import NARROW, bounded, drop_scratch, materialize, table
 
 FIRST_BLOCK = 64
 WIDENING = 16
+#: Bytes of a block at most: what a group's key may hold.
+MAX_BLOCK = 1 << 18
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
@@ -35,11 +37,11 @@ def duplicate_classes(texts: DataFrame, first_block: int = FIRST_BLOCK, widening
     keys = texts.select("rid", "doc_id", F.octet_length("body").alias("gid"), F.expr(f"substring(body, 1, {first_block})").alias("block"))
     # written apart, so that the join deals out both sides itself and can split a group with very many rows
     groups = materialize(keys.groupBy("gid", "block").agg(keep, F.count("*").alias("n")).where("n > 1"), "groups0")
-    alive = keys.select("rid", "gid", "block").join(bounded(groups, groups.count()), ["gid", "block"]).select("rid", "gid", "keep", "n")
+    alive = keys.select("rid", "gid", "block").join(bounded(groups, groups.agg(F.coalesce(F.sum(F.octet_length("block") + NARROW), F.lit(0))).first()[0]), ["gid", "block"]).select("rid", "gid", "keep", "n")
     alive = materialize(alive, "alive0")
     found = [alive.where(F.col("gid") <= first_block).drop("gid")]
     longer = alive.where(F.col("gid") > first_block)
-    rest = texts.join(bounded(longer, longer.count()), "rid")
+    rest = texts.join(bounded(longer, longer.count() * NARROW), "rid")
     rest = rest.select("rid", "doc_id", F.col("keep.rid").alias("gid"), F.expr(f"substring(body, {first_block + 1})").alias("body"))
     rest, width, level = materialize(rest, "rest0"), first_block * widening, 1
     while not rest.isEmpty():
@@ -51,7 +53,7 @@ def duplicate_classes(texts: DataFrame, first_block: int = FIRST_BLOCK, widening
         found.append(materialize(split.where("ended").select("rid", "keep", "n"), f"ended{level}"))
         drop_scratch(rest)
         rest = split.where("NOT ended").select("rid", "doc_id", F.col("keep.rid").alias("gid"), "body")
-        width, level = width * widening, level + 1
+        width, level = min(width * widening, MAX_BLOCK), level + 1
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

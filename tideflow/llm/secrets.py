@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideflow.llm._shared import bounded, materialize, table
+from tideflow.llm._shared import NARROW, bounded, materialize, table
 
 
 @dataclass(frozen=True)
@@ -163,7 +163,7 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = BASE_RULES + MORE_RULES) -> Da
     if queries:
         index = materialize(build_index(base, sorted({t for q in queries.values() for c in q for s in c for t in s})), "postings")
         hits = materialize(candidates(index, queries), "candidates")
-        hits = bounded(hits, hits.count())
+        hits = bounded(hits, hits.count() * NARROW)
         keyed = base.withColumn("text_hash", _key())
         base = keyed.join(hits, keyed.doc_id.eqNullSafe(hits._doc_id) & (keyed.text_hash == hits._text_hash), "left")
     else:

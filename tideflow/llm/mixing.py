@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideflow.llm._shared import bucket_count, materialize, order_hash, ordered_rank, running_total, table
+from tideflow.llm._shared import NARROW, bounded, bucket_count, materialize, order_hash, ordered_rank, running_total, table
 
 Schedule = Sequence[tuple[float, float]]
 
@@ -84,18 +84,13 @@ def assign(docs: DataFrame, curriculum: Sequence[Schedule] = CURRICULUM, max_rep
     times of the document's passes. The document in which the target is reached gives only its
     first words. Null sources are a source of their own; null and empty texts have size 0 and are
     never taken; repeated rows are counted each; an empty table gives no rows. Columns of ``docs``
-    outside ``carry`` are ignored, and names beginning with ``_mix_`` are reserved.
+    outside ``carry`` are ignored.
     """
-    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("crc"))
+    slim = docs.select(*[F.col(c).alias(f"_mix_{c}") for c in carry], "doc_id", "source", word_count(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("crc"))
     slim = materialize(slim, "sizes")
     targets = source_targets(slim, curriculum, max_repeats)
-    rows = slim.count()
-    if set(carry) <= {"doc_id"}:
-        base = slim.select(*[F.col(c).alias(f"_mix_{c}") for c in carry], "doc_id", "source", "size", "crc")
-    else:
-        base = docs.select(*[F.col(c).alias(f"_mix_{c}") for c in carry], "doc_id", "source", word_count(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("crc"))
-    base = base.withColumn("source_key", source_key(F.col("source"))).withColumn("h", order_hash(F.col("doc_id")))
-    line = running_total(base, ["source_key"], "h", "size", bucket_count(rows), [F.col("doc_id"), F.col("crc")])
+    base = slim.withColumn("source_key", source_key(F.col("source"))).withColumn("h", order_hash(F.col("doc_id")))
+    line = running_total(base, ["source_key"], "h", "size", bucket_count(slim.count()), [F.col("doc_id"), F.col("crc")])
     line = line.join(targets, "source_key")
     demand = F.round("target").cast("long")
     size, whole = F.col("size"), F.greatest(F.col("source_size"), F.lit(1))
@@ -120,17 +115,24 @@ def training_order(docs: DataFrame, curriculum: Sequence[Schedule] = CURRICULUM,
 
     Rows carry whole texts: the document in which a source's target is reached is met once more if
     the target covers at least half of it, so each source comes within half a document of its target.
+    Null and empty texts have no words and are never met; null sources are a source, null doc_ids
+    documents like others, and repeated rows documents of their own; columns may have any name; an
+    empty table gives no rows. Positions are worked out on rows without texts, and texts take one
+    shuffle, into the order, unless the table of positions is too large to be broadcast.
     """
-    taken = assign(docs, curriculum, max_repeats, docs.columns)
+    numbered = materialize(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("row")), "numbered")
+    taken = assign(numbered.select("rid", "row.doc_id", "row.source", "row.text"), curriculum, max_repeats, ("rid",))
     copies = F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
-    met = taken.select(*docs.columns, F.explode(F.slice("positions", 1, copies)).alias("_mix_position"))
-    return met.orderBy("_mix_position", order_hash(F.col("doc_id"))).drop("_mix_position")
+    met = materialize(taken.select("rid", F.slice("positions", 1, copies).alias("positions")).where(F.size("positions") > 0), "met")
+    passes = numbered.join(bounded(met, met.count() * NARROW), "rid").select("row", F.explode("positions").alias("position"))
+    return passes.orderBy("position", order_hash(F.col("row.doc_id"))).select("row.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     met = assign(table(spark, sf_dir, "documents"))
-    in_order = met.orderBy(F.try_element_at("positions", F.lit(1)).asc_nulls_last(), "doc_id")
-    return in_order.select("doc_id", "size", "source_size", "target", "taken")
+    passes = [F.try_element_at("positions", F.lit(k + 1)).alias(f"position_{k + 1}") for k in range(MAX_REPEATS)]
+    out = met.select("doc_id", "size", "source_size", "target", "taken", *passes)
+    return out.orderBy(F.col("position_1").asc_nulls_last(), "doc_id")
 
 
 OP2_SQL = r"""
@@ -144,13 +146,16 @@ a AS (SELECT *, sum(source_size) OVER () AS total, coalesce(sum(3.0::DOUBLE * so
              sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS left_w FROM r),
 c AS (SELECT min(k) FILTER (WHERE w * ((total - capped) / left_w::DOUBLE) <= 3.0::DOUBLE * source_size) AS first_free FROM a),
 l AS (SELECT (a.total - a.capped) / a.left_w::DOUBLE AS level FROM a, c WHERE a.k = c.first_free),
-t AS (SELECT source, source_size, CASE WHEN w * level > 3.0::DOUBLE * source_size THEN 3.0::DOUBLE * source_size ELSE w * level END AS target FROM r, l),
-o AS (SELECT d.doc_id, d.size, t.source_size, t.target, round(t.target)::BIGINT AS demand,
+t AS (SELECT source, source_size, w, CASE WHEN w * level > 3.0::DOUBLE * source_size THEN 3.0::DOUBLE * source_size ELSE w * level END AS target FROM r, l),
+o AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.w, round(t.target)::BIGINT AS demand,
              coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target::DOUBLE AS target,
-       ((demand // greatest(source_size, 1)) * size + least(greatest(demand % greatest(source_size, 1) - before, 0), size))::BIGINT AS taken
-FROM o
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+k AS (SELECT doc_id, size, source_size, target::DOUBLE AS target, w, before,
+        ((demand // greatest(source_size, 1)) * size + least(greatest(demand % greatest(source_size, 1) - before, 0), size))::BIGINT AS taken FROM o),
+p AS (SELECT *, [CASE WHEN ceil(taken / greatest(size, 1)::DOUBLE) > e THEN (e::DOUBLE * source_size + before) / greatest(target, 1.0::DOUBLE) END FOR e IN [0, 1, 2]] AS share FROM k),
+-- the weight at time t of the classes is 1.5 - t, 2 and 1.5 + 3 t, and its integral up to t is their share of 1, 2 and 3
+q AS (SELECT *, [CASE w WHEN 1 THEN 2 * s / (1.5 + sqrt(greatest(2.25 - 2 * s, 0))) WHEN 2 THEN s ELSE 6 * s / (1.5 + sqrt(2.25 + 18 * s)) END FOR s IN share] AS met FROM p)
+SELECT doc_id, size, source_size, target, taken, met[1] AS position_1, met[2] AS position_2, met[3] AS position_3 FROM q
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_mixing": op2_mixing}

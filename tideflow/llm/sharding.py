@@ -13,10 +13,11 @@ from __future__ import annotations
 import itertools
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideflow.llm._shared import bucket_count, drop_scratch, hash_bucket, materialize, order_hash, running_total, table
+from tideflow.llm._shared import NARROW, bounded, bucket_count, drop_scratch, hash_bucket, materialize, order_hash, running_total, table
 
 SHARDS = 40
 
@@ -79,9 +80,52 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, max_rounds: int | Non
     an empty table gives no rows. Rows with a null doc_id are placed like others. Other columns are
     ignored. ``slot`` counts from 0 in each shard without gaps; documents of a class lie together.
     """
+    found = _place(_slim(docs), shards, max_rounds)
+    return found.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def in_file_order(docs: DataFrame) -> DataFrame:
+    """rank, row: the rows of ``docs`` as structs and their 0-based places in the files, which Spark writes in the order of a sort."""
+    try:
+        docs.select("_metadata.row_index").schema
+    except AnalysisException:  # no plain table of files yet
+        docs = materialize(docs, "ordered")
+    listed = docs.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    sizes = materialize(listed.groupBy("file").agg(F.count("*").alias("rows")), "files")  # a row a file
+    before = Window.orderBy(F.length("file"), "file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("file", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
+    return listed.join(bounded(starts, sizes.count() * 4 * NARROW), "file").select((F.col("start") + F.col("at")).alias("rank"), "row")
+
+
+def shard_corpus(docs: DataFrame, shards: int = SHARDS, max_rounds: int | None = None) -> DataFrame:
+    """The corpus in shards: every column of ``docs`` with rank (its place in ``docs``), shard and slot.
+
+    Shards are those of ``shard_documents``; within a shard, slots keep the order of ``docs``, so a corpus
+    sorted by training position stays sorted, and repeated passes of a document differ in rank and
+    slot. Null and empty texts, null doc_ids and repeated rows are placed like others; columns of ``docs``
+    with the added names are dropped for them; an empty table gives no rows.
+    """
+    ordered = in_file_order(docs)
+    slim = _slim(ordered.select("row.doc_id", "row.text", "rank"), ("rank",))
+    placed = materialize(_place(slim, shards, max_rounds).select("rank", "shard", "size", F.lit(1).cast("long").alias("one")), "placed")
+    rows = placed.count()
+    # ranks are spread over the hash's range, so buckets are even
+    scaled = placed.withColumn("h", (F.col("rank") * F.lit((1 << 60) // max(rows, 1))).cast("long"))
+    slots = running_total(scaled, ["shard"], "h", "one", bucket_count(rows), out="slot")
+    slots = materialize(slots.select("rank", "shard", "slot"), "slots")
+    kept = [F.col(f"row.{c}").alias(c) for c in docs.columns if c.lower() not in ("rank", "shard", "slot")]
+    return ordered.join(bounded(slots, rows * NARROW), "rank").select(*kept, "rank", "shard", "slot")
+
+
+def _slim(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Of each document what its place depends on, and the ``carry`` columns."""
     text = F.coalesce("text", F.lit(""))
-    slim = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("key"))
-    slim = materialize(slim.withColumn("h", order_hash(F.col("doc_id"))), "documents")
+    slim = docs.select(*carry, "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("key"))
+    return materialize(slim.withColumn("h", order_hash(F.col("doc_id"))), "documents")
+
+
+def _place(slim: DataFrame, shards: int, max_rounds: int | None) -> DataFrame:
+    """``slim`` with law, shard and slot."""
     rows = slim.count()
     buckets = bucket_count(rows)
     quotas = _quotas(rows, shards)
@@ -116,18 +160,18 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, max_rounds: int | Non
     base = parts.withColumn("base", F.coalesce(F.sum("n").over(by_class), F.lit(0))).drop("n").join(runs.unionByName(single), "key")
     inside = Window.partitionBy("key", "bucket").orderBy("h", "doc_id", "size")
     ranked = slim.withColumn("bucket", hash_bucket(F.col("h"), buckets)).join(base, ["key", "bucket"])
-    ranked = ranked.withColumn("rank", F.col("base") + F.row_number().over(inside) - 1)
+    ranked = ranked.withColumn("nth", F.col("base") + F.row_number().over(inside) - 1)
     # the run that holds the rank: (shard, its slot base, ranks before it)
     start = F.struct(F.lit(-1).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(0).cast("long").alias("seen"))
 
     def step(acc: Column, run: Column) -> Column:
-        here = (acc["shard"] < 0) & (F.col("rank") < acc["seen"] + run["n"])
-        return F.when(here, F.struct(run["shard"].alias("shard"), (run["before"] + F.col("rank") - acc["seen"]).alias("slot"), acc["seen"].alias("seen"))).otherwise(
+        here = (acc["shard"] < 0) & (F.col("nth") < acc["seen"] + run["n"])
+        return F.when(here, F.struct(run["shard"].alias("shard"), (run["before"] + F.col("nth") - acc["seen"]).alias("slot"), acc["seen"].alias("seen"))).otherwise(
             F.struct(acc["shard"].alias("shard"), acc["slot"].alias("slot"), (acc["seen"] + run["n"]).alias("seen"))
         )
 
     found = ranked.withColumn("at", F.aggregate("runs", start, step))
-    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("at.shard").alias("shard"), F.col("at.slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return found.select(*slim.columns, F.lit("rows").alias("law"), F.col("at.shard").alias("shard"), F.col("at.slot").alias("slot"))
 
 
 def cut_edges(sharded: DataFrame) -> DataFrame:

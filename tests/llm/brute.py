@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -68,8 +69,8 @@ def targets(sizes):
 
 
 def repeats(rows, n=50):
-    last = max((i for i, _ in rows if i is not None), default=0) + 1
-    data = [(last if i is None else i, (t or "").encode()) for i, t in rows]
+    order = {v: k for k, v in enumerate(sorted({i for i, _ in rows if i is not None}))}  # null ids last
+    data = [(order.get(i, len(order)), (t or "").encode()) for i, t in rows]
     least = {}
     for i, t in data:
         for j in range(len(t) - n + 1):
@@ -108,6 +109,19 @@ def contamination(rows, items, n=13):
     return out
 
 
+def near(rows, items, n=13, share=0.8, run=26):
+    windows = set()
+    for item_id, text in items:
+        w = tokens(text)
+        windows |= {(item_id, tuple(w[i : i + n])) for i in range(max(1, len(w) - n + 1) if w else 0)}
+    out = []
+    for doc_id, text in rows:
+        w = tokens(text)
+        runs = [set(w[i : i + run]) for i in range(max(1, len(w) - run + 1))]
+        out.append((doc_id, len({i for i, g in windows if any(len(set(g) & r) >= math.ceil(share * len(set(g))) for r in runs)})))
+    return out
+
+
 def warc(pages):
     groups = defaultdict(list)
     for page_id, _, html in pages:

@@ -46,7 +46,7 @@ def test_crowded_cells_lose_no_link(spark, monkeypatch):
     df = spark.createDataFrame([(v,) for v in fps], "fp long")
     order = sorted(fps)
     want = brute_components(order)
-    for most in (2, 16, 1000):
+    for most in (2, 5, 16, 1000):  # split by the finer grid and dealt out by midpoint, in part or not at all
         monkeypatch.setattr(simhash, "CELL_PAIRS", most)
         got = {r["node"]: r["root"] for r in components.components(simhash.links(df)).collect()}
         assert {v: got.get(v, v) for v in order} == want
@@ -87,14 +87,6 @@ def test_components_of_a_long_chain(spark):
     assert components.components(edges.limit(0)).count() == 0
 
 
-def test_keep_one(edge_docs, edge_rows, pairs):
-    stays = simhash.keep_one(edge_docs)
-    assert stays.columns == edge_docs.columns
-    want = {c for _, _, c in brute.simhash(pairs) if c is not None}
-    got = [r["doc_id"] for r in stays.where("doc_id IS NOT NULL").collect()]
-    assert sorted(got) == sorted(want)
-
-
 def test_mixing(spark, edge_docs, edge_rows, no_docs):
     got = mixing.assign(edge_docs, carry=("doc_id", "source", "text")).collect()
     assert len(got) == len(edge_rows)
@@ -110,6 +102,13 @@ def test_mixing(spark, edge_docs, edge_rows, no_docs):
     for s in sizes:
         assert abs(taken[s] - want[s]) <= 1
     assert mixing.assign(no_docs).count() == 0 and mixing.training_order(no_docs).count() == 0
+    order = mixing.training_order(edge_docs)
+    assert order.columns == edge_docs.columns
+    passes = Counter(r["doc_id"] for r in order.collect())
+    want = Counter()
+    for r in got:
+        want[r["doc_id"]] += int(r["taken"] / max(r["size"], 1) + 0.5)
+    assert passes == +want
     again = mixing.assign(edge_docs.repartition(3)).select("doc_id", "size", "taken")
     assert rows(again, "doc_id", "size", "taken") == Counter((r["doc_id"], r["size"], r["taken"]) for r in got)
 
@@ -171,21 +170,93 @@ def test_sharding_gathers_copies(spark):
     assert cut["cut"] <= 0.1 * cut["linked"]
 
 
-def test_repeats(edge_docs, no_docs, edge_rows):
-    small = [(r[0], r[1]) for r in edge_rows if r[0] not in (10, 11)]
-    got = repeats.remove_repeats(edge_docs.where("doc_id IS NULL OR doc_id NOT IN (10, 11)"))
-    assert rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == Counter(brute.repeats(small))
+def test_sharded_corpus_keeps_the_order(spark, edge_docs, no_docs, edge_rows):
+    d = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 300).alias("text"), F.lit(1).alias("shard")).orderBy(F.col("doc_id").desc())
+    got = sharding.shard_corpus(d, 7).collect()
+    check_shards(got, 500, 7)
+    assert all(r["rank"] == 499 - r["doc_id"] for r in got)
+    for s in range(7):
+        own = sorted((r["slot"], r["rank"]) for r in got if r["shard"] == s)
+        assert [r for _, r in own] == sorted(r for _, r in own)
+    awkward = sharding.shard_corpus(edge_docs, 7)
+    assert Counter(r["doc_id"] for r in awkward.collect()) == Counter(r[0] for r in edge_rows)
+    assert sharding.shard_corpus(no_docs).count() == 0
+
+
+REPEATS = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def test_repeats(edge_docs, no_docs, pairs):
+    assert rows(repeats.remove_repeats(edge_docs), *REPEATS) == Counter(brute.repeats(pairs))
     assert repeats.remove_repeats(no_docs).count() == 0
 
 
-def test_repeats_on_documents_with_hot_triggers(spark, monkeypatch):
-    """Small items, buckets and bounds: triggers cross items and most are hot."""
-    monkeypatch.setattr(repeats, "HOT_ITEMS", 2)
-    monkeypatch.setattr(repeats, "HOT_PHRASES", 2)
-    monkeypatch.setattr(repeats, "BUCKET_BYTES", 1 << 14)
+def test_repeats_of_other_ids(spark, pairs):
+    """Ids that are strings: their order counts."""
+    named = [(None if i is None else f"id{i:05d}", t) for i, t in pairs if i not in (10, 11)]
+    d = spark.createDataFrame(named, "doc_id string, text string").repartition(3)
+    assert rows(repeats.remove_repeats(d), *REPEATS) == Counter(brute.repeats(named))
+
+
+@pytest.mark.parametrize("hot", [1, 3, 10_000])
+def test_repeats_with_small_items_and_hot_triggers(spark, monkeypatch, hot):
+    """Small items, pieces and chunks: triggers cross items, and some, most or none are hot."""
+    monkeypatch.setattr(repeats, "HOT_PHRASES", hot)
+    monkeypatch.setattr(repeats, "ITEM_BYTES", 1 << 14)
+    monkeypatch.setattr(repeats, "CHUNK", 64)
     d = spark.read.parquet(f"{SF}/documents.parquet").where("n_chars < 2500").select("doc_id", "text")
     want = Counter(brute.repeats([(r["doc_id"], r["text"]) for r in d.collect()]))
-    assert rows(repeats.remove_repeats(d.repartition(6)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+    assert rows(repeats.remove_repeats(d.repartition(6)), *REPEATS) == want
+
+
+def test_phrases_do_not_depend_on_pieces(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 100, 5000).astype(np.uint8)
+    ends = np.array([0, 10, 1500, 1500, 3200, 5000])
+    windows = {}
+    for piece in (1 << 20, 997, 60):
+        monkeypatch.setattr(repeats, "_PIECE", piece)
+        p = repeats.parse(data, ends, np.arange(6))
+        windows[piece] = sorted((w, t, g) for f, l, t, g in zip(p.first.tolist(), p.last.tolist(), p.trigger.tolist(), p.gram.tolist()) for w in range(f, l + 1))
+    assert windows[997] == windows[60] == windows[1 << 20]
+    inside = [i for a, b in zip([0, *ends], ends) for i in range(a, b - 49)]
+    assert [w for w, _, _ in windows[60]] == inside
+
+
+def test_windows_in_corpus_order_equal_all_pairs():
+    """Bytes with zeros and few letters, so that phrases differ by little and in length."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    texts = [bytes(rng.choice([0, 97], 400, p=[0.3, 0.7]).astype(np.uint8)) for _ in range(6)]
+    texts += [t[:200] + b"x" + t[200:] for t in texts[:4]]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    p = repeats.parse(data, np.cumsum([len(t) for t in texts]), np.arange(10))
+    body = [data[f : e + 50].tobytes() for f, e in zip(p.first, p.last)]
+    order = np.argsort(p.gram, kind="stable")
+    offsets = np.concatenate(([0], np.cumsum([len(body[i]) for i in order])))
+    bits = repeats.repeated_windows(np.frombuffer(b"".join(body[i] for i in order), np.uint8), offsets, p.gram[order], (p.trigger - p.first)[order], p.rank[order])
+    low = {}
+    for i in order:
+        for j in range(len(body[i]) - 49):
+            low[body[i][j : j + 50]] = min(low.get(body[i][j : j + 50], 99), p.rank[i])
+    for k, i in enumerate(order):
+        assert int(bits[k]) == sum(1 << j for j in range(len(body[i]) - 49) if low[body[i][j : j + 50]] < p.rank[i])
+
+
+def test_repeats_of_very_many_equal_texts_and_a_very_long_one(spark):
+    """100 000 equal texts in one file are cut into items by their bytes; a text of over 16 MB repeats a short one at its end."""
+    d = spark.range(100_000).select("id", F.lit("one text that all of these many documents share, to its last byte").alias("text")).withColumnRenamed("id", "doc_id").coalesce(1)
+    got = {(r["n_removed"], r["n_spans"]): r["count"] for r in repeats.remove_repeats(d).groupBy("n_removed", "n_spans").count().collect()}
+    n = len("one text that all of these many documents share, to its last byte")
+    assert got == {(0, 0): 1, (n, 1): 99_999}
+    passage = "a passage of more than fifty bytes that only the short document and the end of the long one hold"
+    long = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(1_600_000)), lambda i: F.hex(F.xxhash64(i)).substr(1, 10)), F.lit(passage))
+    d = spark.range(2).select("id", F.when(F.col("id") == 0, F.lit(passage)).otherwise(long).alias("text")).withColumnRenamed("id", "doc_id")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in repeats.remove_repeats(d).collect()}
+    assert got[1][0] > 16 << 20 and got[1][1:] == (len(passage), 1) and got[0][1] == 0
 
 
 def test_decontamination(spark, edge_docs, no_docs, pairs):
@@ -200,15 +271,21 @@ def test_decontamination(spark, edge_docs, no_docs, pairs):
     assert Counter(r["doc_id"] for r in clean.collect()) == want and clean.columns == edge_docs.columns
 
 
-def test_proximity_matches(spark):
+def test_proximity_matches(spark, edge_docs, pairs):
     words = [f"term{i}" for i in range(13)]
-    docs = spark.createDataFrame([(1, " ".join(reversed(words))), (2, "term1 term2 elsewhere")], "doc_id long, text string")
-    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
-    store, windows = decontamination.token_table(docs), decontamination.benchmark_windows(bench)
-    plans = decontamination.probes(store, windows)
-    index = decontamination.postings(store, plans.select(F.col("plan")[0]["term"].alias("term")), 1)
-    assert decontamination.phrase_matches(index, plans, 1).count() == 0
-    assert [r["doc_id"] for r in decontamination.proximity_matches(index, plans, 1).collect()] == [1]
+    texts = [
+        " ".join(reversed(words)), "term1 term2 elsewhere", " ".join(words), " ".join(words[:11]), " ".join(words[:10]), " ".join(w + " other" for w in words),
+        " ".join(w + " other word" for w in words), " ".join(words[2:] + ["filler"] * 20 + words[:2]), "x " * 40 + " ".join(words[3:] + words[:1]) + " y" * 40, None, "",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = [(1, " ".join(words)), (2, "term3 term4"), (3, "nowhere nothing never"), (4, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = Counter((r["doc_id"], r["n_near"]) for r in decontamination.decontaminate(docs, bench).collect())
+    assert got == Counter(brute.near(list(enumerate(texts)), items))
+    items = [(1, pairs[6][1]), (2, pairs[13][1]), (5, "one near text of many")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = Counter((r["doc_id"], r["n_near"]) for r in decontamination.decontaminate(edge_docs, bench).collect())
+    assert got == Counter(brute.near(pairs, items))
 
 
 def test_warc(spark):

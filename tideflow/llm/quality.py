@@ -70,7 +70,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, with all their columns."""
+    """The rows of ``docs`` that are not rejected, with all their columns.
+
+    Null texts are judged as empty ones, rows with a null doc_id and repeated rows like others; columns
+    may have any name; without labels, or with labels of one class, all rows get one judgement; an
+    empty table gives no rows.
+    """
     return keep_rows(docs, fit(docs, labels, max_rows), THRESHOLD)
 
 

@@ -9,9 +9,10 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,13 +21,10 @@ from tideflow.llm._shared import materialize, table
 from tideflow.llm.labelled import MAX_TRAIN_ROWS, matrix, score_all, training_texts
 
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
-#: Lexicon entries kept, by evidence.
-MAX_ENTRIES = 4000
 #: Characters of the word beginnings that may be entries.
 STEMS = (4, 5, 6)
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinen ihr euch euer sie tu te toi ton ta tes vous votre vos usted ustedes ti tus vosotros".split())
-_LEET_FROM, _LEET_TO = "013457@$!|", "oieastasii"
-_LEET = str.maketrans(_LEET_FROM, _LEET_TO)
+_LEET = str.maketrans("013457@$!|", "oieastasii")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -42,23 +40,30 @@ def entries(word: str) -> list[str]:
     return ["=" + word, *(word[:k] for k in STEMS if len(word) >= k)]
 
 
+def text_entries(text: str) -> set[str]:
+    """The distinct entries of a text; learning and scoring cut words alike."""
+    return {e for raw in set(text.lower().split()) if len(word := plain(raw)) > 1 for e in entries(word)}
+
+
 def learn_lexicon(training: DataFrame) -> list[tuple[str, list[int], list[int]]]:
-    """(entry, toxic documents by fold, other documents by fold); counts of documents, ``MAX_ENTRIES`` at most.
+    """(entry, toxic documents by fold, other documents by fold) of the entries that support and odds let through.
 
-    Counted by Spark over distinct (document, entry) pairs of the bounded training sample.
+    Each document of the bounded training sample counts once for an entry; Spark counts. What is let
+    through is bounded by the sample, whose documents must have an entry three times at least.
     """
-    words = training.select("y", "fold", F.explode(F.array_distinct(F.split(F.lower("text"), r"[\s]+"))).alias("raw"), "doc_id")
-    core = F.regexp_replace("raw", r"^[.,;:!?\"'()\[\]{}…*#%&-]+|[.,;:!?\"'()\[\]{}…*#%&-]+$", "")
-    core = F.when(core.rlike(r"^\p{L}*$"), core).otherwise(F.regexp_replace(F.translate(core, _LEET_FROM, _LEET_TO), r"[^\p{L}]+", ""))
-    words = words.withColumn("word", core).where(F.length("word") > 1)
-    found = F.array(F.concat(F.lit("="), "word"), *[F.when(F.length("word") >= k, F.substring("word", 1, k)) for k in STEMS])
-    one = words.select("doc_id", "y", "fold", F.explode(F.array_compact(found)).alias("entry")).distinct()
-    cells = [F.count_if((F.col("y") == y) & (F.col("fold") == f)).alias(f"c{y}{f}") for y in (0, 1) for f in range(3)]
-    counts = one.groupBy("entry").agg(*cells)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for text, y, fold in zip(*(c.to_pylist() for c in b.columns)):
+                found = sorted(text_entries(text))
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([3 * y + fold] * len(found), pa.int32())], ["entry", "cell"])
+
+    one = training.select("text", "y", "fold").mapInArrow(batches, "entry string, cell int")
+    counts = one.groupBy("entry").agg(*[F.count_if(F.col("cell") == 3 * y + f).alias(f"c{y}{f}") for y in (0, 1) for f in range(3)])
     sizes = training.groupBy().agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n")).first()
     pos, neg = F.col("c10") + F.col("c11") + F.col("c12"), F.col("c00") + F.col("c01") + F.col("c02")
     odds = F.log((pos + 0.5) / (sizes["p"] + 1.0)) - F.log((neg + 0.5) / (sizes["n"] + 1.0))
-    best = counts.where((pos >= 3) & (odds > 2.0)).withColumn("weight", odds * F.sqrt(pos)).orderBy(F.desc("weight"), "entry").limit(MAX_ENTRIES)
+    best = counts.where((pos >= 3) & (odds > 2.0)).orderBy("entry")
     return [(r["entry"], [r[f"c1{f}"] for f in range(3)], [r[f"c0{f}"] for f in range(3)]) for r in best.collect()]
 
 

@@ -22,6 +22,8 @@ from tideflow.llm._shared import materialize, scratch_path, table
 #: A task starts a new file when the current one has this many bytes.
 FILE_BYTES = 64 << 20
 SPLIT_BYTES = 8 << 20
+#: Reading tasks at most; beyond, a task reads many splits.
+MAX_TASKS = 20_000
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1"
 _CHUNK = 1 << 18
@@ -114,7 +116,7 @@ def write_archives(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
             yield pa.RecordBatch.from_pylist([{"file": f"{folder}/{n}", "bytes": s, "records": c} for n, s, c in done])
 
     # whole archives rather than a small one for every shuffle partition
-    tasks = max(pages.sparkSession.sparkContext.defaultParallelism * 4, -(-total // FILE_BYTES))
+    tasks = min(MAX_TASKS, max(pages.sparkSession.sparkContext.defaultParallelism * 4, -(-total // FILE_BYTES)))
     return materialize(marked.coalesce(tasks).mapInArrow(write, "file string, bytes long, records long"), "manifest")
 
 
@@ -183,7 +185,7 @@ def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, payloads:
 
     ddl = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * payloads
     n = splits.count()
-    return splits.repartition(max(1, n)).mapInArrow(read, ddl)
+    return splits.repartition(max(1, min(n, MAX_TASKS))).mapInArrow(read, ddl)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

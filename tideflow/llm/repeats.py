@@ -40,10 +40,10 @@ from tideflow.llm.warc import open_store
 LENGTH = 50
 GRAM = 16
 #: Bytes of text of an item, unless a single text is longer.
-ITEM_BYTES = 4 << 20
+ITEM_BYTES = 8 << 20
 #: A trigger with more phrases than this sends single windows, which Spark groups by their bytes, so that
-#: no task gathers all contexts of a common gram. The answers are the same.
-HOT_PHRASES = 2048
+#: no task gathers all contexts of a common gram (some 10 MB of them). The answers are the same.
+HOT_PHRASES = 1 << 17
 #: Phrases that a task puts in order at a time; those of one trigger stay together.
 CHUNK = 100_000
 _PIECE = 1 << 20
@@ -337,11 +337,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 yield r, ids, p, dictionary(p, np.concatenate((r["cold"], r["hot"])))
 
     def send_phrases(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """h, item, k (place among the item's distinct phrases), before, rank, phrase, of triggers that are not hot."""
+        """item, k (place among the item's distinct phrases, and the trigger's in the phrase), rank, phrase, of triggers that are not hot."""
         for r, _, _, d in opened(it):
             k = np.flatnonzero(np.isin(d.gram, r["cold"]))
-            cols = [pa.array(d.gram[k]), pa.array(np.full(len(k), r["item"])), pa.array(k), pa.array(d.before[k]), pa.array(d.rank[k]), pa.array([d.phrases[i] for i in k.tolist()], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["h", "item", "k", "before", "rank", "phrase"])
+            cols = [pa.array(np.full(len(k), r["item"])), pa.array(k * LENGTH + d.before[k]), pa.array(d.rank[k]), pa.array([d.phrases[i] for i in k.tolist()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["item", "k", "rank", "phrase"])
 
     def send_windows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """item, k, bit, rank, window, of hot triggers."""
@@ -357,13 +357,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         for t in by_trigger(it):
             phrase = pa.concat_arrays(t["phrase"].chunks)
             offsets = np.frombuffer(phrase.buffers()[1], np.int32)[phrase.offset : phrase.offset + len(phrase) + 1].astype(np.int64)
-            bits = repeated_windows(np.frombuffer(phrase.buffers()[2], np.uint8), offsets, t["h"].to_numpy(), t["before"].to_numpy(), t["rank"].to_numpy())
+            k = t["k"].to_numpy()
+            bits = repeated_windows(np.frombuffer(phrase.buffers()[2], np.uint8), offsets, t["h"].to_numpy(), k % LENGTH, t["rank"].to_numpy())
             some = np.flatnonzero(bits)
-            yield pa.RecordBatch.from_arrays([pa.array(t["item"].to_numpy()[some]), pa.array(t["k"].to_numpy()[some]), pa.array(bits[some].view(np.int64))], ["item", "k", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(t["item"].to_numpy()[some]), pa.array(k[some] // LENGTH), pa.array(bits[some].view(np.int64))], ["item", "k", "bits"])
 
     dealt = work.repartition(tasks)
-    phrases = dealt.mapInArrow(send_phrases, "h long, item long, k long, before long, rank long, phrase binary")
-    answers = phrases.repartition("h").sortWithinPartitions("h").mapInArrow(answer, "item long, k long, bits long")
+    phrases = dealt.mapInArrow(send_phrases, "item long, k long, rank long, phrase binary")
+    trigger = F.xxhash64(F.substring("phrase", F.col("k") % LENGTH + 1, F.lit(GRAM)))  # worked out on either side, not sent
+    answers = phrases.repartition(trigger).withColumn("h", trigger).sortWithinPartitions("h").mapInArrow(answer, "item long, k long, bits long")
     if not work.where(F.size("hot") > 0).isEmpty():
         windows = dealt.where(F.size("hot") > 0).mapInArrow(send_windows, "item long, k long, bit long, rank long, window binary")
         windows = windows.withColumn("low", F.min("rank").over(Window.partitionBy("window"))).where("rank > low")

@@ -111,18 +111,23 @@ def proximity_matches(store: DataFrame, plans: DataFrame, share: float = SHARE,
     distinct = F.array_distinct("words")
     need = F.ceil(F.lit(share) * F.size(distinct)).cast("int")
     rarest = F.array_distinct(F.transform("terms", lambda t: t["term"]))
-    probes = plans.select("window", distinct.alias("wanted"), need.alias("need"), F.explode(F.slice(rarest, F.lit(1), F.size(distinct) - need + 1)).alias("term"))
-    size = plans.agg(F.coalesce(F.sum((F.octet_length(F.concat_ws("", "words")) + 400) * (F.size(distinct) - need + 1)), F.lit(0))).first()[0]
-    # a run with the term lies around it: enough terms there first, then in one run
-    placed = stretches(store, words - 1).select("row", "lead", "part", F.posexplode("part").alias("pos", "term"))
+    probes = plans.select("window", distinct.alias("wanted"), F.transform(distinct, lambda w: F.xxhash64(w)).alias("wanted_hashes"), need.alias("need"), F.explode(F.slice(rarest, F.lit(1), F.size(distinct) - need + 1)).alias("term"))
+    size = plans.agg(F.coalesce(F.sum((F.octet_length(F.concat_ws("", "words")) + 600) * (F.size(distinct) - need + 1)), F.lit(0))).first()[0]
+    pieces = stretches(store, words - 1).withColumn("part_hashes", hashes("part"))
+    placed = pieces.select("row", "lead", "part", "part_hashes", F.posexplode("part").alias("pos", "term"))
     placed = placed.where((F.col("pos") >= F.col("lead")) & (F.col("pos") < F.col("lead") + STRETCH))
     start = F.greatest(F.col("pos") - words + 1, F.lit(0))
-    around = F.slice("part", start + 1, F.col("pos") - start + words)
-    near = placed.join(bounded(probes, size).withColumnRenamed("term", "probe"), (F.col("term") == F.col("probe")) & (F.size(F.array_intersect("wanted", around)) >= F.col("need")))
-    near = near.select("row", "window", "wanted", "need", around.alias("around"))
-    run = lambda i: F.size(F.array_intersect("wanted", F.slice("around", i, F.lit(words)))) >= F.col("need")
-    starts = F.sequence(F.lit(1), F.greatest(F.size("around") - words + 1, F.lit(1)))
-    return near.where(F.exists(starts, run)).select("row", "window").distinct()
+    around = lambda c: F.slice(c, start + 1, F.col("pos") - start + words)
+    # a run with the term lies around it: enough terms there, by their hashes, and only then a look at each run
+    enough = F.size(F.array_intersect("wanted_hashes", around("part_hashes"))) >= F.col("need")
+    run = lambda i: F.size(F.array_intersect("wanted", F.slice(around("part"), i, F.lit(words)))) >= F.col("need")
+    starts = F.sequence(F.lit(1), F.greatest(F.size(around("part")) - words + 1, F.lit(1)))
+    met = (F.col("term") == F.col("probe")) & F.when(enough, F.exists(starts, run)).otherwise(F.lit(False))
+    return placed.join(bounded(probes, size).withColumnRenamed("term", "probe"), met).select("row", "window").distinct()
+
+
+def hashes(words: str) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
 def document_hits(matches: DataFrame, owners: DataFrame) -> DataFrame:

@@ -326,6 +326,25 @@ def test_secrets(edge_docs, no_docs, pairs):
     assert secrets.scan(no_docs).count() == 0
 
 
+def test_spans_of_further_kinds_and_of_very_many_matches(spark, edge_docs, pairs):
+    """Against loops: the added kinds on the awkward sample, and a text with thousands of matches."""
+    import re
+
+    many = " ".join(f"token={i:08d}x" for i in range(3000))
+    extra = [(900, "ghp_" + "a1" * 20 + " xoxb-1234567890-ab -----BEGIN RSA PRIVATE KEY----- é ghx_" + "b" * 40), (901, many), (902, "aghp_ghp_" + "Z" * 36)]
+    d = edge_docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    got = rows(secrets.scan(d).select("doc_id", secrets._joined(F.col("found")).alias("s")), "doc_id", "s")
+    want = Counter()
+    for doc_id, text in [*pairs, *extra]:
+        found = []
+        for rank, r in enumerate(secrets.BASE_RULES + secrets.MORE_RULES):
+            for m in re.finditer(r.pattern, text or "", re.I if r.any_case else 0):
+                if len(m[r.group]) >= r.min_length:
+                    found.append((m.start(), rank, r.kind, m.end()))
+        want[doc_id, ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(found))] += 1
+    assert got == want
+
+
 def test_trigram_queries():
     q = secrets.trigram_query(secrets.BASE_RULES[0].pattern)
     assert len(q) == 1 and {frozenset({"tok", "oke", "ken"}), frozenset({"sec", "ecr", "cre", "ret"}), frozenset({"api", "pik", "ike", "key"})} <= set(q[0])

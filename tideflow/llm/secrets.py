@@ -49,6 +49,7 @@ MORE_RULES = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
 _MOST_STRINGS = 64
+_RUN = 256
 #: A conjunction of clauses; each clause is a choice of trigram sets.
 Query = list[list[frozenset[str]]]
 
@@ -114,6 +115,7 @@ def trigram_query(pattern: str) -> Query:
 def build_index(docs: DataFrame, trigrams: Sequence[str]) -> DataFrame:
     """Postings (trigram, doc_id, text_hash) of the trigrams asked for, over lower-cased texts."""
     low = docs.select("doc_id", _key().alias("text_hash"), F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    # a byte search for each trigram is cheaper than one regex pass for all of them
     held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams]))
     return low.select("doc_id", "text_hash", F.explode(held).alias("trigram"))
 
@@ -139,15 +141,19 @@ def spans(text: Column, rule: Rule, order: int) -> Column:
     whole, group = F.regexp_extract_all(text, regex, F.lit(0)), F.regexp_extract_all(text, regex, F.lit(rule.group))
     found = F.arrays_zip(F.split(text, rule.regex, -1).alias("gap"), whole.alias("whole"), group.alias("group"))
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
+    full = F.array().cast("array<array<struct<start:int,rank:int,kind:string,end:int>>>")
 
     def step(acc: Column, m: Column) -> Column:
+        """Spans are appended to a short array, and full ones put aside, so that no long one is copied for each match."""
         start = acc["pos"] + F.length(m["gap"])
         end = start + F.length(m["whole"])
         span = F.array(F.struct(start.alias("start"), F.lit(order).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end")))
-        ok = F.coalesce(F.length(m["group"]) >= rule.min_length, F.lit(False))
-        return F.struct(end.alias("pos"), F.when(ok, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+        ok, turn = F.coalesce(F.length(m["group"]) >= rule.min_length, F.lit(False)), F.size(acc["spans"]) >= _RUN
+        kept = F.when(~ok, acc["spans"]).when(turn, span).otherwise(F.concat(acc["spans"], span))
+        return F.struct(end.alias("pos"), kept.alias("spans"), F.when(ok & turn, F.concat(acc["full"], F.array(acc["spans"]))).otherwise(acc["full"]).alias("full"))
 
-    got = F.aggregate(found, F.struct(F.lit(0).alias("pos"), none.alias("spans")), step)["spans"]
+    done = lambda acc: F.concat(F.flatten(acc["full"]), acc["spans"])
+    got = F.aggregate(found, F.struct(F.lit(0).alias("pos"), none.alias("spans"), full.alias("full")), step, done)
     return F.when(text.rlike(rule.regex), got).otherwise(none)
 
 

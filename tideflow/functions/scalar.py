@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,16 +56,21 @@ def qlike(rv: Column, sigma: Column) -> Column:
 
 
 def erfc(x: Column) -> Column:
-    """Complementary error function for x >= 0, to about 1e-7 (rational form 7.1.26 of Abramowitz and Stegun)."""
-    t = 1 / (1 + 0.3275911 * x)
-    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    return poly * F.exp(-x * x)
+    """Complementary error function for x >= 0, to double precision: the series of erf below 2.5, a continued fraction above."""
+    small, large = F.least(x, F.lit(2.5)), F.greatest(x, F.lit(2.5))
+    fold = lambda terms, step: F.aggregate(F.sequence(F.lit(terms), F.lit(1), F.lit(-1)), F.lit(1.0), step)
+    # erf(x) = 2 x exp(-x^2) / sqrt(pi) * (1 + 2 x^2 / 3 (1 + 2 x^2 / 5 (1 + ...)))
+    series = fold(60, lambda acc, k: 1 + acc * 2 * small * small / (2 * k + 1))
+    near = 1 - 2 / math.sqrt(math.pi) * small * F.exp(-small * small) * series
+    # erfc(x) = exp(-x^2) / (x sqrt(pi)) / (1 + 1/(2x^2) / (1 + 2/(2x^2) / (1 + ...)))
+    fraction = fold(80, lambda acc, k: 1 + k / (2 * large * large) / acc)
+    return F.when(x < 2.5, near).otherwise(F.exp(-large * large) / (large * math.sqrt(math.pi)) / fraction)
 
 
 def phase_bin(hour: Column, n_bins: int) -> Column:
-    if 24 % n_bins:
-        raise ValueError("n_bins must divide 24")
-    return F.floor(hour / (24 // n_bins)).cast("int")
+    """The hour's bin of 24 // n_bins hours; NULL for the hours left over where n_bins does not divide 24."""
+    b = F.floor(hour / (24 // n_bins)).cast("int")
+    return F.when(b < n_bins, b)
 
 
 def phase_label(b: Column, n_bins: int) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideflow.functions.scalar import finite, log, ratio
+from tideflow.functions.series import whole
 from tideflow.functions.stats import grid, k_statistics, ols
 from tideflow.operators.flow import compact
 
@@ -58,8 +59,13 @@ def fano_slope(table: DataFrame) -> DataFrame:
 def tranches(df: DataFrame, length: int, pieces: int = 4, min_blocks: int = MIN_BLOCKS) -> DataFrame:
     """Variance of block sums in consecutive pieces of each series; earlier pieces are the longer ones."""
     x = compact(df)
-    x = x.withColumn("piece", F.ntile(pieces).over(Window.partitionBy("series").orderBy("idx")))
-    at = F.row_number().over(Window.partitionBy("series", "piece").orderBy("idx")) - 1
+    # pieces of n // pieces rows, the first n % pieces of them one longer
+    x = whole(x, n=F.count("*")).withColumn("least", F.expr(f"n div {pieces}"))
+    longer = (F.col("least") + 1) * (F.col("n") % pieces)
+    late = F.col("idx") - longer
+    piece = F.when(late < 0, F.expr("idx div (least + 1)")).otherwise(F.col("n") % pieces + F.floor(F.try_divide(late, F.col("least"))))
+    at = F.when(late < 0, F.col("idx") % (F.col("least") + 1)).otherwise(late % F.greatest(F.col("least"), F.lit(1)))
+    x = x.withColumn("piece", (piece + 1).cast("int"))
     b = x.withColumn("block", F.floor(at / length)).groupBy("series", "piece", "block").agg(F.sum("x").alias("q"), F.count("*").alias("c")).where(F.col("c") == length)
     s = b.groupBy("series", "piece").agg(F.count("*").alias("n"), F.var_samp("q").alias("var_q"))
     return s.where(F.col("n") >= min_blocks)

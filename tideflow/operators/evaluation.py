@@ -6,24 +6,19 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql.window import WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideflow.functions import numerics
 from tideflow.functions.scalar import erfc, finite, log, log_loss, logistic, qlike, ratio
-from tideflow.operators.flow import in_order
+from tideflow.functions.series import blocks, cut, in_block, whole
+from tideflow.operators.flow import compact
 from tideflow.operators.vol import realized_vol_forward
 
 
-def _whole() -> WindowSpec:
-    return Window.partitionBy("series")
-
-
 def split(df: DataFrame, train: float = 0.6) -> DataFrame:
     """Adds n, cut and oos: whether the row lies at or after floor(train * n) of its series."""
-    n = F.max("idx").over(_whole()) + 1
-    return df.withColumn("n", n).withColumn("cut", F.floor(F.col("n") * train)).withColumn("oos", F.col("idx") >= F.col("cut"))
+    return whole(df, n=F.max("idx") + 1).withColumn("cut", F.floor(F.col("n") * train)).withColumn("oos", F.col("idx") >= F.col("cut"))
 
 
 def embargo(df: DataFrame, horizon: int, train: float = 0.6) -> DataFrame:
@@ -53,10 +48,10 @@ def diebold_mariano(df: DataFrame, horizon: int, least: int = 30) -> DataFrame:
     Long-run variance with Bartlett weights over ``horizon`` - 1 lags of the rows where both losses exist.
     """
     d = df.select("series", "idx", (F.col("la") - F.col("lb")).alias("d")).where("d IS NOT NULL")
-    d = d.select("series", "idx", "d", F.avg("d").over(_whole()).alias("m"), F.count("*").over(_whole()).alias("n"))
-    c = d.withColumn("c", F.col("d") - F.col("m"))
+    d = whole(compact(d, "d"), m=F.avg("d"), n=F.count("*"))
+    c = blocks(d.withColumn("c", F.col("d") - F.col("m")), before=horizon)
     lags = range(1, horizon)
-    c = c.select("series", "m", "n", "c", *[(F.col("c") * F.lag("c", k).over(in_order())).alias(f"g{k}") for k in lags])
+    c = c.select("series", "m", "n", "c", "_home", *[(F.col("c") * F.lag("c", k).over(in_block())).alias(f"g{k}") for k in lags]).where("_home")
     g = c.groupBy("series", "m", "n").agg(F.sum(F.col("c") * F.col("c")).alias("g0"), *[F.sum(f"g{k}").alias(f"g{k}") for k in lags])
     n = F.col("n")
     g0 = F.col("g0") / n
@@ -78,10 +73,10 @@ def standardise(df: DataFrame, value: str = "v", lo: float = 0.01, hi: float = 0
     v = finite(F.col(value))
     d = df.withColumn("_l", log(v)).withColumn("_zero", v == 0)
     tr = lambda c: F.when(F.col("train"), F.col(c))
-    d = d.withColumn("_q", F.percentile(tr("_l"), [lo, hi]).over(_whole()))
+    d = whole(d, _q=F.percentile(tr("_l"), [lo, hi]))
     clipped = F.when(F.col("_zero"), F.col("_q")[0]).otherwise(F.greatest(F.least(F.col("_l"), F.col("_q")[1]), F.col("_q")[0]))
     d = d.withColumn("_c", F.when(F.col("_zero") | F.col("_l").isNotNull(), clipped))
-    d = d.withColumns({"_m": F.avg(tr("_c")).over(_whole()), "_s": F.stddev_pop(tr("_c")).over(_whole()), "_n": F.count(tr("_c")).over(_whole())})
+    d = whole(d, _m=F.avg(tr("_c")), _s=F.stddev_pop(tr("_c")), _n=F.count(tr("_c")))
     return d.withColumn("x", F.when((F.col("_n") >= least) & (F.col("_s") > 0), (F.col("_c") - F.col("_m")) / F.col("_s"))).drop("_l", "_zero", "_q", "_c", "_m", "_s", "_n")
 
 
@@ -90,7 +85,7 @@ def transition_target(base: DataFrame, horizon: int, train: float = 0.6, quantil
     d = embargo(base.join(realized_vol_forward(base, horizon), ["series", "idx"]), horizon, train)
     d = d.withColumn("ratio", F.when(F.col("sigma") > 0, ratio(F.col("rv"), F.col("sigma"))))
     known = F.when(F.col("train"), F.col("ratio"))
-    d = d.withColumns({"theta": F.percentile(known, F.lit(quantile)).over(_whole()), "_n": F.count(known).over(_whole())})
+    d = whole(d, theta=F.percentile(known, F.lit(quantile)), _n=F.count(known))
     d = d.withColumn("theta", F.when(F.col("_n") >= least, F.col("theta")))
     return d.select("series", "idx", (F.col("ratio") > F.col("theta")).cast("int").alias("s"), "ratio", "theta")
 
@@ -122,7 +117,7 @@ def feature_contrast(base: DataFrame, feature: DataFrame, horizon: int, train: f
     s1 = F.exp(F.col("b1")[0] + F.col("b1")[1] * F.col("ls"))
     s2 = F.exp(F.col("b2")[0] + F.col("b2")[1] * F.col("ls") + F.col("b2")[2] * F.col("x"))
     q = {"raw": F.col("sigma"), "recal": s1, "full": s2}
-    o = o.select("series", "idx", "n_train", "b2", "x", "y", *[qlike(F.col("rv"), v).alias(f"q_{k}") for k, v in q.items()])
+    o = cut(o.select("series", "idx", "n_train", "b2", "x", "y", *[qlike(F.col("rv"), v).alias(f"q_{k}") for k, v in q.items()]))
     s = o.groupBy("series", "n_train", F.col("b2")[2].alias("coef_x")).agg(F.count("*").alias("n_oos"), *[F.avg(f"q_{k}").alias(f"qlike_{k}") for k in q], F.when(F.count("*") > 50, F.corr("x", "y")).alias("corr_x"))
     dm = lambda a, b, n: diebold_mariano(o.select("series", "idx", F.col(a).alias("la"), F.col(b).alias("lb")), horizon).select("series", F.col("dm").alias(n))
     return s.join(dm("q_raw", "q_recal", "dm_context"), "series", "left").join(dm("q_recal", "q_full", "dm_decisive"), "series", "left")
@@ -140,18 +135,34 @@ def transition_contrast(base: DataFrame, feature: DataFrame, horizon: int, train
         if len(y) < least_train or y.min() == y.max():
             return pd.DataFrame({"series": [], "b1": [], "b2": [], "n_train": []})
         one = np.ones(len(y))
-        return pd.DataFrame([{"series": pdf["series"].iloc[0], "b1": numerics.logistic_fit(np.stack([one, ls], 1), y), "b2": numerics.logistic_fit(np.stack([one, ls, x], 1), y), "n_train": len(y)}])
+        b1, b2 = numerics.logistic_fit(np.stack([one, ls], 1), y), numerics.logistic_fit(np.stack([one, ls, x], 1), y)
+        if b1 is None or b2 is None:
+            return pd.DataFrame({"series": [], "b1": [], "b2": [], "n_train": []})
+        return pd.DataFrame([{"series": pdf["series"].iloc[0], "b1": b1, "b2": b2, "n_train": len(y)}])
 
     b = d.where("train").groupBy("series").applyInPandas(fit, "series string, b1 array<double>, b2 array<double>, n_train long")
     o = d.where("oos").join(b, "series")
     p1 = logistic(F.col("b1")[0] + F.col("b1")[1] * F.col("ls"))
     p2 = logistic(F.col("b2")[0] + F.col("b2")[1] * F.col("ls") + F.col("b2")[2] * F.col("x"))
-    o = o.select("series", "idx", "s", "n_train", F.col("b2")[2].alias("coef_x"), log_loss(p1, F.col("s")).alias("la"), log_loss(p2, F.col("s")).alias("lb"))
+    o = cut(o.select("series", "idx", "s", "n_train", F.col("b2")[2].alias("coef_x"), log_loss(p1, F.col("s")).alias("la"), log_loss(p2, F.col("s")).alias("lb")))
     s = o.groupBy("series", "n_train", "coef_x").agg(F.count("*").alias("n_oos"), F.avg("la").alias("loss_base"), F.avg("lb").alias("loss_full"), F.count_distinct("s").alias("classes"))
     s = s.where((F.col("n_oos") >= least_eval) & (F.col("classes") == 2)).drop("classes")
     return s.join(diebold_mariano(o, horizon).select("series", "dm", "p"), "series", "left")
 
 
+def within(table: DataFrame, value: Column, bound: float, share: float, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, hits, n, verdict: whether at least ``share`` of the values present lie within the bound, either side of 0."""
+    s = table.groupBy(*keys).agg(F.count_if(F.abs(value) < bound).alias("hits"), F.count(value).alias("n"))
+    return s.withColumn("verdict", (F.col("n") > 0) & (F.col("hits") >= F.col("n") * share))
+
+
+def above_null(draws: DataFrame, keys: Sequence[str], value: str, quantile: float = 0.975) -> DataFrame:
+    """keys, observed, limit, verdict: whether draw 0 lies above a quantile of the other draws."""
+    null, seen = F.when(F.col("draw") > 0, F.col(value)), F.when(F.col("draw") == 0, F.col(value))
+    s = draws.groupBy(*keys).agg(F.max(seen).alias("observed"), F.percentile(null, F.lit(quantile)).alias("limit"))
+    return s.withColumn("verdict", F.coalesce(F.col("observed") > F.col("limit"), F.lit(False)))
+
+
 def replicated(table: DataFrame, p: Column, keys: Sequence[str], level: float = 0.05, share: float = 0.75) -> DataFrame:
     """keys, hits, n, verdict: whether at least ``share`` of the rows have p below ``level``."""
     s = table.groupBy(*keys).agg(F.count_if(p < level).alias("hits"), F.count("*").alias("n"))

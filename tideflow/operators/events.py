@@ -55,6 +55,12 @@ def ensemble_mean(field: DataFrame, keys: Sequence[str] = ("series",)) -> DataFr
     return field.groupBy(*keys, "u").agg(F.avg("w").alias("m"), F.stddev_samp("w").alias("sd"), F.count("w").alias("n"))
 
 
+def thinned(mean: DataFrame, limit: int = 300) -> DataFrame:
+    """A curve (series, u, ...) by every (n // limit)-th of its n points, the first included."""
+    n = mean.groupBy("series").agg(F.min("u").alias("_low"), F.greatest(F.expr(f"count(*) div {limit}"), F.lit(1)).alias("step"))
+    return mean.join(n, "series").where((F.col("u") - F.col("_low")) % F.col("step") == 0).drop("_low")
+
+
 def pool(field: DataFrame, name: str = "POOL") -> DataFrame:
     """Shocks of all series as one more series."""
     return field.unionByName(field.select(F.lit(name).alias("series"), (F.col("shock") * 1000003 + F.pmod(F.xxhash64("series"), F.lit(1000003))).alias("shock"), "u", "w"))

@@ -7,6 +7,7 @@ from pyspark.sql.window import WindowSpec
 from pyspark.sql import functions as F
 
 from tideflow.functions.scalar import finite, flow_imbalance, log
+from tideflow.functions.series import BLOCK, blocks, in_block, number
 
 
 def in_order() -> WindowSpec:
@@ -20,9 +21,9 @@ def imbalance(bars: DataFrame, normalize: str = "volume") -> DataFrame:
 
 def log_returns(bars: DataFrame) -> DataFrame:
     """series, idx, r with r[i] = ln close[i+1] - ln close[i]; one row fewer than bars."""
-    nxt = F.lead(log(F.col("close"))).over(in_order())
-    r = bars.select("series", "idx", (nxt - log(F.col("close"))).alias("r"), F.lead("idx").over(in_order()).alias("_next"))
-    return r.where("_next IS NOT NULL").drop("_next")
+    b = blocks(bars.select("series", "idx", log(F.col("close")).alias("_p")), after=1)
+    b = b.select("series", "idx", "_home", (F.lead("_p").over(in_block()) - F.col("_p")).alias("r"), F.lead("idx").over(in_block()).alias("_next"))
+    return b.where("_home AND _next IS NOT NULL").select("series", "idx", "r")
 
 
 def price_and_flow(bars: DataFrame, normalize: str = "volume") -> DataFrame:
@@ -33,7 +34,7 @@ def price_and_flow(bars: DataFrame, normalize: str = "volume") -> DataFrame:
 def compact(df: DataFrame, value: str = "x") -> DataFrame:
     """Drops missing values and numbers what is left anew."""
     kept = df.withColumn(value, finite(F.col(value))).where(F.col(value).isNotNull())
-    return kept.withColumn("idx", (F.row_number().over(in_order()) - 1).cast("long"))
+    return number(kept.withColumnRenamed("idx", "_at"), ["series"], F.floor(F.col("_at") / BLOCK), [F.col("_at")]).drop("_at")
 
 
 def align_to_returns(features: DataFrame, bars: DataFrame) -> DataFrame:

@@ -9,26 +9,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
-from pyspark.sql.window import WindowSpec
 from pyspark.sql import functions as F
 
 from tideflow.functions.scalar import finite, log, ratio
+from tideflow.functions.series import BLOCK, blocks, in_block
 from tideflow.functions.stats import grid, ols
 
 MIN_PAIRS = 30
-BLOCK = 1 << 16
-
-
-def _in_block() -> WindowSpec:
-    return Window.partitionBy("series", "_block").orderBy("idx")
-
-
-def _blocks(df: DataFrame, max_lag: int, block: int) -> DataFrame:
-    """Adds _block and _home: rows near a block's start are repeated, as guests, in the block before."""
-    own = F.floor(F.col("idx") / block)
-    guest = F.when((F.col("idx") % block < max_lag) & (own > 0), own - 1)
-    spread = df.withColumn("_own", own).withColumn("_block", F.explode(F.array_compact(F.array(own, guest))))
-    return spread.withColumn("_home", F.col("_block") == F.col("_own")).drop("_own")
 
 
 def _by_lag(df: DataFrame, keys: Sequence[str], lags: int, columns: Sequence[str]) -> DataFrame:
@@ -45,8 +32,8 @@ def _centred(df: DataFrame, value: str) -> DataFrame:
 def response_function(pf: DataFrame, max_lag: int = 60, block: int = BLOCK) -> DataFrame:
     """series, lag, r, pairs: mean((p[t+lag] - p[t]) * ec[t]) / mean(ec^2); needs more than 30 pairs. pf: series, idx, p, e."""
     d = _centred(pf.select("series", "idx", finite(F.col("p")).alias("p"), finite(F.col("e")).alias("e")), "e")
-    d = _blocks(d, max_lag, block)
-    prod = d.select("series", "_v", "_home", *[((F.lead("p", k).over(_in_block()) - F.col("p")) * F.col("_c")).alias(f"y_{k}") for k in range(1, max_lag + 1)]).where("_home")
+    d = blocks(d, after=max_lag, block=block)
+    prod = d.select("series", "_v", "_home", *[((F.lead("p", k).over(in_block()) - F.col("p")) * F.col("_c")).alias(f"y_{k}") for k in range(1, max_lag + 1)]).where("_home")
     agg = prod.groupBy("series", "_v").agg(*[f(f"y_{k}").alias(f"{n}_{k}") for k in range(1, max_lag + 1) for f, n in ((F.avg, "y"), (F.count, "pairs"))])
     ok = (F.col("pairs") > MIN_PAIRS) & (F.col("_v") > 0)
     return _by_lag(agg, ["series", "_v"], max_lag, ["y", "pairs"]).select("series", "lag", F.when(ok, ratio(F.col("y"), F.col("_v"))).alias("r"), "pairs")
@@ -54,8 +41,8 @@ def response_function(pf: DataFrame, max_lag: int = 60, block: int = BLOCK) -> D
 
 def flow_autocorrelation(df: DataFrame, max_lag: int = 60, value: str = "e", block: int = BLOCK) -> DataFrame:
     """series, lag, c, pairs: mean over pairs of the centred product / mean(ec^2), with the full-sample mean."""
-    d = _blocks(_centred(df.select("series", "idx", finite(F.col(value)).alias("e")), "e"), max_lag, block)
-    prod = d.select("series", "_v", "_home", *[(F.col("_c") * F.lead("_c", k).over(_in_block())).alias(f"y_{k}") for k in range(1, max_lag + 1)]).where("_home")
+    d = blocks(_centred(df.select("series", "idx", finite(F.col(value)).alias("e")), "e"), after=max_lag, block=block)
+    prod = d.select("series", "_v", "_home", *[(F.col("_c") * F.lead("_c", k).over(in_block())).alias(f"y_{k}") for k in range(1, max_lag + 1)]).where("_home")
     agg = prod.groupBy("series", "_v").agg(*[f(f"y_{k}").alias(f"{n}_{k}") for k in range(1, max_lag + 1) for f, n in ((F.avg, "y"), (F.count, "pairs"))])
     ok = (F.col("pairs") > MIN_PAIRS) & (F.col("_v") > 0)
     return _by_lag(agg, ["series", "_v"], max_lag, ["y", "pairs"]).select("series", "lag", F.when(ok, ratio(F.col("y"), F.col("_v"))).alias("c"), "pairs")
@@ -63,8 +50,8 @@ def flow_autocorrelation(df: DataFrame, max_lag: int = 60, value: str = "e", blo
 
 def correlation_sums(df: DataFrame, a: str, b: str, max_lag: int, block: int = BLOCK) -> DataFrame:
     """series, lag, s: the plain sums of a[t] * b[t + lag], lag = 0..max_lag."""
-    d = _blocks(df.select("series", "idx", finite(F.col(a)).alias("a"), finite(F.col(b)).alias("b")), max_lag, block)
-    prod = d.select("series", "_home", *[(F.col("a") * (F.lead("b", k).over(_in_block()) if k else F.col("b"))).alias(f"s_{k}") for k in range(max_lag + 1)]).where("_home")
+    d = blocks(df.select("series", "idx", finite(F.col(a)).alias("a"), finite(F.col(b)).alias("b")), after=max_lag, block=block)
+    prod = d.select("series", "_home", *[(F.col("a") * (F.lead("b", k).over(in_block()) if k else F.col("b"))).alias(f"s_{k}") for k in range(max_lag + 1)]).where("_home")
     sums = prod.groupBy("series").agg(*[F.sum(f"s_{k}").alias(f"s_{k}") for k in range(max_lag + 1)])
     rows = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"s_{k}").alias("s")) for k in range(max_lag + 1)])
     return sums.select("series", F.explode(rows).alias("_r")).select("series", "_r.*")

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideflow.functions.scalar import draw_int, draw_key, finite
+from tideflow.functions.series import number
+from tideflow.operators.blocks import nu_blocks
 
 
 def _draws(df: DataFrame, draws: int) -> DataFrame:
@@ -25,10 +27,11 @@ def sign_flip(df: DataFrame, draws: int, seed: int, value: str = "x") -> DataFra
 
 def permutation(df: DataFrame, draws: int, seed: int, value: str = "x") -> DataFrame:
     """series, draw, idx, x: values in random order; keeps the marginal, kills memory."""
-    key = F.when(F.col("draw") == 0, F.lpad(F.col("idx").cast("string"), 20, "0")).otherwise(draw_key(F.lit(seed), F.col("draw"), F.col("idx")))
-    d = _draws(df.select("series", "idx", finite(F.col(value)).alias("x")), draws)
-    row = F.row_number().over(Window.partitionBy("series", "draw").orderBy(key, "idx"))
-    return d.select("series", "draw", (row - 1).cast("long").alias("idx"), "x")
+    key = F.when(F.col("draw") == 0, F.lpad(F.hex("idx"), 16, "0")).otherwise(draw_key(F.lit(seed), F.col("draw"), F.col("idx")))
+    d = _draws(df.select("series", "idx", finite(F.col(value)).alias("x")), draws).withColumn("_key", key)
+    # keys are spread evenly over their first digits; those of draw 0 are places, cut into blocks
+    bucket = F.when(F.col("draw") == 0, F.substring("_key", 1, 12)).otherwise(F.substring("_key", 1, 3))
+    return number(d, ["series", "draw"], bucket, [F.col("_key"), F.col("idx")], "_row").select("series", "draw", F.col("_row").alias("idx"), "x")
 
 
 def as_series(drawn: DataFrame) -> DataFrame:
@@ -120,6 +123,21 @@ def random_events(sigma: DataFrame, counts: DataFrame, draws: int, seed: int, di
     return d.groupBy("series", "draw").applyInPandas(place, "series string, draw long, idx long")
 
 
+def drift_sweep(df: DataFrame, amplitudes: Sequence[float], octaves: Sequence[int], least: float = 0.2) -> DataFrame:
+    """series, amplitude, nu, shift, moved: the block exponent under ramps of rising amplitude (0: none), and whether it has moved.
+
+    Amplitudes are a grid of cases, all measured in one pass; the first with ``moved`` ends a sweep.
+    """
+    cases = df.select("series", F.lit(0.0).alias("amplitude"), "idx", "x")
+    for a in amplitudes:
+        cases = cases.unionByName(drift(df, a).select("series", F.lit(float(a)).alias("amplitude"), "idx", "x"))
+    keyed = cases.select(F.concat_ws("\x1f", "series", F.col("amplitude").cast("string")).alias("series"), "idx", "x")
+    nu = nu_blocks(keyed, octaves).select(F.split("series", "\x1f")[0].alias("series"), F.split("series", "\x1f")[1].cast("double").alias("amplitude"), "nu")
+    clean = nu.where("amplitude = 0").select("series", F.col("nu").alias("clean"))
+    shift = F.col("nu") - F.col("clean")
+    return nu.join(clean, "series").select("series", "amplitude", "nu", shift.alias("shift"), (F.abs(shift) >= least).alias("moved"))
+
+
 def drift(df: DataFrame, amplitude: float, power: int = 1, value: str = "x") -> DataFrame:
     """Adds amplitude * t^power, t in 0..1 along each series: a positive control of trend immunity."""
     n = df.groupBy("series").agg(F.max("idx").alias("_n"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideflow.functions.scalar import draw_int, finite, phase_bin, phase_label, ratio
+from tideflow.functions.series import blocks, in_block
 from tideflow.operators.symmetry import fit_affinity, symmetry_function
 
 MIN_PER_BIN = 500
@@ -20,9 +21,9 @@ def prepare(bars: DataFrame) -> DataFrame:
     bars: series, idx, day, hour, e (flow), p (log price), raw (raw flow), volume, trades. dp is the
     next price change. Clip limits (0.99 of trades, 0.995 of |dp|, 0.99 of |raw|) need over 100 values.
     """
-    w = Window.partitionBy("series").orderBy("idx")
-    d = bars.select("series", "idx", "day", "hour", finite(F.col("e")).alias("e"), finite(F.lead("p").over(w) - F.col("p")).alias("dp"), finite(F.col("raw")).alias("raw"), finite(F.col("trades")).alias("trades"), "volume", F.lead("idx").over(w).alias("_next"))
-    d = d.where("_next IS NOT NULL").drop("_next")
+    w = in_block()
+    d = blocks(bars.select("series", "idx", "day", "hour", "e", "p", "raw", "volume", "trades"), after=1).select("_home", "series", "idx", "day", "hour", finite(F.col("e")).alias("e"), finite(F.lead("p").over(w) - F.col("p")).alias("dp"), finite(F.col("raw")).alias("raw"), finite(F.col("trades")).alias("trades"), "volume", F.lead("idx").over(w).alias("_next"))
+    d = d.where("_home AND _next IS NOT NULL").drop("_next", "_home")
     tr, dp, raw = F.when(F.col("trades") > 0, F.col("trades")), F.abs("dp"), F.abs("raw")
     lim = lambda x, q: F.when(F.count(x) > 100, F.percentile(x, F.lit(q)))
     q_bar = F.percentile(F.when((F.col("trades") > 0) & F.col("raw").isNotNull() & F.col("volume").isNotNull(), F.col("volume") / F.col("trades")), F.lit(0.5))
@@ -38,7 +39,7 @@ def prepare(bars: DataFrame) -> DataFrame:
 def observables(d: DataFrame, keys: Sequence[str], n_bins: int = 8, least: int = MIN_PER_BIN) -> DataFrame:
     """keys, bin, hours, n, bias, se_bias, activity, a1, se_a1, r1, f1; all NULL in bins of fewer than ``least`` rows."""
     keys = [*keys, "bin"]
-    d = d.withColumn("bin", phase_bin(F.col("hour"), n_bins)).where("e IS NOT NULL AND dp IS NOT NULL")
+    d = d.withColumn("bin", phase_bin(F.col("hour"), n_bins)).where("e IS NOT NULL AND dp IS NOT NULL AND bin IS NOT NULL")
     means = d.groupBy(*keys).agg(F.avg("e").alias("_m"))
     dec = F.col("e") - F.col("_m")
     act, tr = F.col("trades") > 0, (F.col("trades") > 0) & F.col("raw").isNotNull()
@@ -88,7 +89,7 @@ def additive_observables(m: DataFrame, keys: Sequence[str], n_bins: int = 8, lea
     """keys, bin, n, bias, activity, r1, f1 from ``hour_moments``: as ``observables`` gives them, for draws over sums instead of rows."""
     keys = [*keys, "bin"]
     names = ("n", "c", "cc", "d", "dc", "na", "sa", "nt", "st", "r", "rr")
-    s = m.withColumn("bin", phase_bin(F.col("hour"), n_bins)).groupBy(*keys, "_m", "q_bar").agg(*[F.sum(c).alias(c) for c in names])
+    s = m.withColumn("bin", phase_bin(F.col("hour"), n_bins)).where("bin IS NOT NULL").groupBy(*keys, "_m", "q_bar").agg(*[F.sum(c).alias(c) for c in names])
     n, c, cc, d, dc, na, sa, nt, st, r, rr = (F.col(x) for x in names)
     mean, var = c / n, cc - c * c / n
     raw_var = ratio(rr - ratio(r * r, nt), nt - 1)
@@ -99,6 +100,26 @@ def additive_observables(m: DataFrame, keys: Sequence[str], n_bins: int = 8, lea
     )
 
 
+def phase_affinity(d: DataFrame, keys: Sequence[str], n_bins: int = 8, least: int = MIN_PER_BIN) -> DataFrame:
+    """keys, bin, a1: the affinity of each bin's flow, whose value bins depend on the draw, so it is counted from rows."""
+    rows = d.where("e IS NOT NULL AND dp IS NOT NULL").select(*keys, phase_bin(F.col("hour"), n_bins).alias("phase"), F.col("e").alias("q")).where("phase IS NOT NULL")
+    enough = rows.groupBy(*keys, "phase").agg(F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
+    fit = fit_affinity(symmetry_function(rows, [*keys, "phase"]), [*keys, "phase"])
+    return fit.join(enough, [*keys, "phase"], "left_semi").select(*keys, F.col("phase").alias("bin"), F.col("a").alias("a1"))
+
+
+def rotation_null(d: DataFrame, draws: int, seed: int, n_bins: int = 8, least: int = MIN_PER_BIN) -> DataFrame:
+    """series, draw, observable, modulation of all observables, as seen (draw 0) and with the days turned.
+
+    All but a1 follow from sums by day and hour, so that draws turn those and not the rows.
+    """
+    keys = ["series", "draw"]
+    sums = additive_observables(rotate_days(hour_moments(d), draws, seed), keys, n_bins, least)
+    turned = rotate_days(d.select("series", "day", "hour", "e", "dp"), draws, seed)
+    both = sums.join(phase_affinity(turned, keys, n_bins, least), [*keys, "bin"], "left")
+    return modulation(both, keys)
+
+
 def empirical_p(table: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """keys, observed, p = (1 + #{null >= observed}) / (K + 1), K nulls; draw 0 is the observed one."""
     seen = table.where("draw = 0").select(*keys, F.col(value).alias("observed"))
@@ -109,6 +130,6 @@ def empirical_p(table: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 def gaussian_transfer(d: DataFrame, n_bins: int = 8, least: int = MIN_PER_BIN) -> DataFrame:
     """series, bin, z = (a1 - 2 mean / variance) / se_a1."""
-    s = d.withColumn("bin", phase_bin(F.col("hour"), n_bins)).where("e IS NOT NULL AND dp IS NOT NULL").groupBy("series", "bin").agg(F.avg("e").alias("m"), F.var_samp("e").alias("v"))
+    s = d.withColumn("bin", phase_bin(F.col("hour"), n_bins)).where("e IS NOT NULL AND dp IS NOT NULL AND bin IS NOT NULL").groupBy("series", "bin").agg(F.avg("e").alias("m"), F.var_samp("e").alias("v"))
     o = observables(d, ["series"], n_bins, least)
     return o.join(s, ["series", "bin"]).select("series", "bin", ratio(F.col("a1") - ratio(2 * F.col("m"), F.col("v")), F.col("se_a1")).alias("z"))

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideflow.functions.scalar import finite, ratio, volatility_field
+from tideflow.functions.series import blocks, in_block
 from tideflow.functions.stats import grid
-from tideflow.operators.flow import in_order
 
 
 def two_time_surface(returns: DataFrame, window: int = 250, max_lag: int = 40, step: int = 1, field: str = "abs") -> DataFrame:
@@ -27,15 +27,16 @@ def two_time_surface(returns: DataFrame, window: int = 250, max_lag: int = 40, s
     # values about the series' mean: the framed differences below then lose no digits
     mean = x.groupBy("series").agg(F.avg("x").alias("_m"))
     x = x.join(mean, "series").select("series", "idx", (F.col("x") - F.col("_m")).alias("x"))
-    full = in_order().rowsBetween(-(window - 1), 0)
+    x = blocks(x, before=window - 1)
+    full = in_block().rowsBetween(-(window - 1), 0)
     m = F.avg("x").over(full)
     cols = [F.count("x").over(full).alias("n"), m.alias("m"), (F.sum(F.col("x") * F.col("x")).over(full) - window * m * m).alias("d")]
     for k in range(1, max_lag + 1):
-        prod = F.sum(F.col(f"_p{k}")).over(in_order().rowsBetween(-(window - 1 - k), 0))
-        late, early = F.sum("x").over(in_order().rowsBetween(-(window - 1 - k), 0)), F.sum("x").over(in_order().rowsBetween(-(window - 1), -k))
+        prod = F.sum(F.col(f"_p{k}")).over(in_block().rowsBetween(-(window - 1 - k), 0))
+        late, early = F.sum("x").over(in_block().rowsBetween(-(window - 1 - k), 0)), F.sum("x").over(in_block().rowsBetween(-(window - 1), -k))
         cols.append((prod - m * (late + early) + (window - k) * m * m).alias(f"s_{k}"))
-    x = x.withColumns({f"_p{k}": F.col("x") * F.lag("x", k).over(in_order()) for k in range(1, max_lag + 1)})
-    s = x.select("series", "idx", *cols).where((F.col("idx") >= window - 1) & ((F.col("idx") - (window - 1)) % step == 0))
+    x = x.withColumns({f"_p{k}": F.col("x") * F.lag("x", k).over(in_block()) for k in range(1, max_lag + 1)})
+    s = x.select("series", "idx", "_home", *cols).where(F.col("_home") & (F.col("idx") >= window - 1) & ((F.col("idx") - (window - 1)) % step == 0))
     rho = lambda k: F.when((F.col("n") == window) & (F.col("d") > 0), ratio(F.col(f"s_{k}"), F.col("d")))
     rows = F.array(*[F.struct(F.lit(k).alias("lag"), rho(k).alias("rho")) for k in range(1, max_lag + 1)])
     long = s.select("series", F.col("idx").alias("t_w"), ((F.col("idx") - (window - 1)) / step).cast("long").alias("k"), F.explode(rows).alias("_r"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tideflow.functions import numerics
 from tideflow.functions.scalar import finite
-from tideflow.operators.flow import in_order
+from tideflow.functions.series import blocks, in_block
 
 
 def realized_vol_forward(returns: DataFrame, horizon: int) -> DataFrame:
@@ -19,10 +19,11 @@ def realized_vol_forward(returns: DataFrame, horizon: int) -> DataFrame:
 
     NULL in the last ``horizon`` rows and where fewer than max(2, horizon // 2) are present.
     """
-    ahead = in_order().rowsBetween(1, horizon)
+    ahead = in_block().rowsBetween(1, horizon)
     r = finite(F.col("r"))
-    s = returns.select("series", "idx", F.sqrt(F.avg(r * r).over(ahead)).alias("rv"), F.count(r).over(ahead).alias("n"), F.lead("idx", horizon).over(in_order()).alias("last"))
-    return s.select("series", "idx", F.when(F.col("last").isNotNull() & (F.col("n") >= max(2, horizon // 2)), F.col("rv")).alias("rv"))
+    d = blocks(returns.select("series", "idx", "r"), after=horizon)
+    s = d.select("series", "idx", "_home", F.sqrt(F.avg(r * r).over(ahead)).alias("rv"), F.count(r).over(ahead).alias("n"), F.lead("idx", horizon).over(in_block()).alias("last"))
+    return s.where("_home").select("series", "idx", F.when(F.col("last").isNotNull() & (F.col("n") >= max(2, horizon // 2)), F.col("rv")).alias("rv"))
 
 
 def _path(returns: DataFrame, params: DataFrame | None, step) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideflow.functions.scalar import digamma, ratio, trigamma
+from tideflow.functions.series import blocks, cut, in_block
 from tideflow.functions.stats import ols
 from tideflow.operators.flow import compact
 
@@ -38,17 +39,18 @@ def _step(x: DataFrame, length: int) -> DataFrame:
     # the first L-1 values once more behind the end close the circle; a series shorter than that goes round again
     laps = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((length - 2) / n).cast("long") + 1), lambda r: F.col("idx") + r * n)
     x = x.withColumn("idx", F.explode(F.filter(laps, lambda i: i < n + length - 1)))
-    w = Window.partitionBy("series").orderBy("idx")
+    x, w = blocks(x, after=length - 1), in_block()
     tap = [F.lead("x", m).over(w) if m else F.col("x") for m in range(length)]
     y = lambda f: sum((tap[m] * f[length - 1 - m] for m in range(1, length)), tap[0] * f[length - 1])
-    y = x.select("series", "idx", "size", y(h).alias("a"), y(g).alias("d"))
-    return y.where((F.col("idx") < F.col("size")) & (F.col("idx") % 2 == 0)).select("series", (F.col("idx") / 2).cast("long").alias("idx"), "size", "a", "d")
+    y = x.select("series", "idx", "size", "_home", y(h).alias("a"), y(g).alias("d"))
+    return y.where(F.col("_home") & (F.col("idx") < F.col("size")) & (F.col("idx") % 2 == 0)).select("series", (F.col("idx") / 2).cast("long").alias("idx"), "size", "a", "d")
 
 
 def decompose(df: DataFrame, length: int = 6, octaves: int = 16, min_rows: int = 64) -> DataFrame:
     """series, octave, d: detail coefficients with both ends trimmed, for series of at least ``min_rows`` values.
 
-    A series of n values has floor(log2(n / (2 L))) octaves; each is one window over half the rows.
+    A series of n values has floor(log2(n / (2 L))) octaves; each is one window over half the rows, taken
+    once and written to the checkpoint folder.
     """
     x = compact(df.select("series", "idx", "x"))
     s = x.groupBy("series").agg(F.count("*").alias("size"), F.avg("x").alias("_m")).where(F.col("size") >= min_rows)
@@ -57,7 +59,7 @@ def decompose(df: DataFrame, length: int = 6, octaves: int = 16, min_rows: int =
     tops = s.select("series", "top")
     cur, out = x.join(s, "series").select("series", "idx", "size", (F.col("x") - F.col("_m")).alias("x")), None
     for j in range(1, int(depth) + 1):
-        y = _step(cur, length)
+        y = cut(_step(cur, length))  # each octave starts from what the one before has written
         half = F.ceil(F.col("size") / 2).cast("long")
         trim = F.least(F.lit(length - 1), F.greatest(F.floor(half / 4), F.lit(1)))
         inside = F.when(half > 2 * trim, (F.col("idx") >= trim) & (F.col("idx") < half - trim)).otherwise(True)
@@ -100,8 +102,9 @@ def nu_wavelet(diagram: DataFrame, octaves: Sequence[int] = (3, 8)) -> DataFrame
 
 def drift_average(df: DataFrame, width: int = 1024) -> DataFrame:
     """Centred moving average of ``width`` rows, zeros beyond the ends: the slow mean of a series."""
-    w = Window.partitionBy("series").orderBy("idx").rowsBetween(-(width // 2), width - width // 2 - 1)
-    return df.select("series", "idx", (F.sum("x").over(w) / width).alias("slow"))
+    w = in_block().rowsBetween(-(width // 2), width - width // 2 - 1)
+    x = blocks(df.select("series", "idx", "x"), width // 2, width - width // 2 - 1)
+    return x.select("series", "idx", "_home", (F.sum("x").over(w) / width).alias("slow")).where("_home").drop("_home")
 
 
 def haar_identity(df: DataFrame, lengths: Sequence[int]) -> DataFrame:

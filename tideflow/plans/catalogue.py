@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideflow.functions.scalar import volatility_field
-from tideflow.operators import blocks, evaluation, events, fits, flow, lagcorr, nulls, phase, surface, symmetry, vol, wavelet
+from tideflow.functions.series import cut
+from tideflow.operators import blocks, evaluation, events, fits, flow, lagcorr, memory, nulls, phase, surface, symmetry, vol, wavelet
 from tideflow.plans import oracle
 from tideflow.sources import bars
 
@@ -24,6 +25,7 @@ SHOCKS = {"quantile": 0.97, "after": 60, "before": 50}
 DISTANCE, U_MAX = 60, 40
 AGE_EDGES, AGE_LAGS = (0, 5, 10, 20, 30), 10
 DRAWS, SEED = 20, 7
+SCALES = (8, 16, 32, 64, 128)
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -91,7 +93,7 @@ def _surface(spark, d):
 
 
 def _base(spark, d):
-    return vol.ewma_vol(_r(spark, d))
+    return cut(vol.ewma_vol(_r(spark, d)))  # a recursion in Python, which most users read several times
 
 
 def _sym(spark, d):
@@ -112,11 +114,13 @@ def _shocks(spark, d):
 
 
 def _field(spark, d):
-    return events.post_shock_field(_base(spark, d), _shocks(spark, d), U_MAX)
+    base = _base(spark, d)
+    shocks = events.separate(events.shock_candidates(base, **SHOCKS), DISTANCE)
+    return cut(events.post_shock_field(base, shocks, U_MAX))
 
 
 def _age(spark, d):
-    return events.age_correlation(_field(spark, d), AGE_EDGES, AGE_LAGS, 5)
+    return cut(events.age_correlation(_field(spark, d), AGE_EDGES, AGE_LAGS, 5))
 
 
 # bars and row-local operators
@@ -375,8 +379,7 @@ def garch_path(spark, d):
 
 @_query
 def garch_mle(spark, d):
-    g = vol.fit_garch(_r(spark, d))
-    return g.select("series", F.round("persistence", 2).alias("persistence"))
+    return vol.fit_garch(_r(spark, d))
 
 
 @_query
@@ -403,17 +406,18 @@ def qlike_rmse(spark, d):
 
 @_query
 def dm_test(spark, d):
-    rv = vol.realized_vol_forward(_r(spark, d), HORIZON)
-    g = vol.garch_path(_r(spark, d), _params(spark)).select("series", "idx", F.col("sigma").alias("sigma_g"))
-    both = _base(spark, d).join(rv, ["series", "idx"]).join(g, ["series", "idx"])
+    base = _base(spark, d)
+    rv = vol.realized_vol_forward(base, HORIZON)
+    g = vol.garch_path(base, _params(spark)).select("series", "idx", F.col("sigma").alias("sigma_g"))
+    both = base.join(rv, ["series", "idx"]).join(g, ["series", "idx"])
     q = both.select("series", "idx", evaluation.qlike(F.col("rv"), F.col("sigma")).alias("la"), evaluation.qlike(F.col("rv"), F.col("sigma_g")).alias("lb"))
     return evaluation.diebold_mariano(q, HORIZON).select("series", "n", "mean_diff", "dm")
 
 
 @_query
 def dm_pvalue(spark, d):
-    rv = vol.realized_vol_forward(_r(spark, d), HORIZON)
-    both = _base(spark, d).join(rv, ["series", "idx"])
+    base = _base(spark, d)
+    both = base.join(vol.realized_vol_forward(base, HORIZON), ["series", "idx"])
     q = both.select("series", "idx", evaluation.qlike(F.col("rv"), F.col("sigma")).alias("la"), evaluation.qlike(F.col("rv"), 1.1 * F.col("sigma")).alias("lb"))
     return evaluation.diebold_mariano(q, HORIZON).select("series", "p")
 
@@ -463,6 +467,11 @@ def ensemble_mean(spark, d):
     return events.ensemble_mean(_field(spark, d))
 
 
+@_query
+def ensemble_curve(spark, d):
+    return events.thinned(events.ensemble_mean(_field(spark, d)), 15)
+
+
 @_query
 def age_correlation(spark, d):
     return _age(spark, d)
@@ -480,41 +489,71 @@ def spearman_age(spark, d):
 
 @_query
 def omori_fit(spark, d):
-    return fits.omori(events.ensemble_mean(_field(spark, d))).select("series", "n")
+    return fits.omori(events.ensemble_mean(_field(spark, d)))
 
 
 @_query
 def kww_fit(spark, d):
-    return fits.fit_profile(surface.mean_profile(_surface(spark, d)).withColumnRenamed("rho_mean", "rho")).select("series", "converged")
+    return fits.fit_profile(surface.mean_profile(_surface(spark, d)).withColumnRenamed("rho_mean", "rho"))
 
 
 @_query
 def transient_trajectory(spark, d):
     s = surface.two_time_surface(_r(spark, d), WINDOW, SURFACE_LAGS, 100)
-    return fits.rolling_transient_fit(s).groupBy("series").agg(F.count("*").alias("windows"))
+    return fits.rolling_transient_fit(s)
+
+
+@_query
+def bootstrap_ensemble(spark, d):
+    return nulls.bootstrap_mean(_field(spark, d), DRAWS, SEED)
 
 
 @_query
 def bootstrap_omori(spark, d):
-    m = nulls.bootstrap_mean(_field(spark, d), DRAWS, SEED)
-    return m.where("u <= 5")
+    return nulls.of_series(fits.omori(nulls.as_series(nulls.bootstrap_mean(_field(spark, d), DRAWS, SEED))))
+
+
+def _tau_by_draw(spark, d):
+    field = _field(spark, d)
+    w = nulls.bootstrap_weights(field, DRAWS, SEED)
+    return surface.truncated_sum(events.resampled_age_correlation(field, w, AGE_EDGES, AGE_LAGS, 5), ["series", "draw", "age_bin"])
 
 
 @_query
-def bootstrap_ensemble(spark, d):
-    return nulls.bootstrap_mean(_field(spark, d), DRAWS, SEED)
+def bootstrap_tau(spark, d):
+    return nulls.summarise(_tau_by_draw(spark, d), ["series", "age_bin"], "tau")
 
 
 @_query
-def bootstrap_omori_fit(spark, d):
-    return nulls.of_series(fits.omori(nulls.as_series(nulls.bootstrap_mean(_field(spark, d), DRAWS, SEED))))
+def bootstrap_spearman(spark, d):
+    return nulls.summarise(events.spearman(_tau_by_draw(spark, d), ["series", "draw"], "age_bin", "tau"), ["series"], "spearman")
+
+
+@_query
+def bootstrap_omori_interval(spark, d):
+    p = nulls.of_series(fits.omori(nulls.as_series(nulls.bootstrap_mean(_field(spark, d), DRAWS, SEED))))
+    return nulls.summarise(p, ["series"], "p")
 
 
 @_query
 def random_event_null(spark, d):
+    """The ageing trend of as many random events as there were shocks, for each draw."""
+    base = _base(spark, d)
     n = _shocks(spark, d).groupBy("series").agg(F.count("*").alias("n"))
-    e = nulls.random_events(_base(spark, d), n, 5, SEED, DISTANCE, 60, 50)
-    return e.groupBy("series", "draw").agg(F.count("*").alias("n"))
+    places = nulls.random_events(base, n, 5, SEED, DISTANCE, 60, 50)
+    drawn = base.join(places.select("series", "draw").distinct(), "series")
+    field = events.post_shock_field(nulls.as_series(drawn), nulls.as_series(places), U_MAX)
+    tau = surface.truncated_sum(events.age_correlation(field, AGE_EDGES, AGE_LAGS, 5), ["series", "age_bin"])
+    return nulls.of_series(events.spearman(tau, ["series"], "age_bin", "tau"))
+
+
+@_query
+def ageing_verdict(spark, d):
+    """Does the trend after shocks lie above that after random events?"""
+    seen = events.spearman(surface.truncated_sum(_age(spark, d), ["series", "age_bin"]), ["series"], "age_bin", "tau")
+    null = _QUERIES["random_event_null"](spark, d)
+    both = seen.select("series", F.lit(0).cast("long").alias("draw"), "spearman").unionByName(null.select("series", "draw", "spearman"))
+    return evaluation.above_null(both, ["series"], "spearman")
 
 
 # phase of day
@@ -531,27 +570,31 @@ def phase_modulation(spark, d):
 
 
 def _rotated(spark, d):
-    turned = phase.rotate_days(phase.hour_moments(_phase(spark, d)), DRAWS, SEED)
-    return phase.modulation(phase.additive_observables(turned, ["series", "draw"]), ["series", "draw"])
+    return phase.rotation_null(_phase(spark, d), DRAWS, SEED)
 
 
 @_query
 def phase_rotation_null(spark, d):
-    return _rotated(spark, d).where("observable IN ('bias', 'activity', 'r1')")
+    return _rotated(spark, d)
 
 
 @_query
 def empirical_p(spark, d):
-    t = _rotated(spark, d).where("observable IN ('bias', 'r1')").withColumn("modulation", F.round("modulation", 9))
+    t = _rotated(spark, d).withColumn("modulation", F.round("modulation", 6))
     return phase.empirical_p(t, ["series", "observable"], "modulation").select("series", "observable", "p", "draws")
 
 
 @_query
 def phase_verdict(spark, d):
-    t = _rotated(spark, d).where("observable IN ('bias', 'r1')").withColumn("modulation", F.round("modulation", 9))
+    t = _rotated(spark, d).withColumn("modulation", F.round("modulation", 6))
     return evaluation.replicated(phase.empirical_p(t, ["series", "observable"], "modulation"), F.col("p"), ["observable"])
 
 
+@_query
+def transfer_verdict(spark, d):
+    return evaluation.within(phase.gaussian_transfer(_phase(spark, d)), F.col("z"), 2.0, 30 / 32)
+
+
 @_query
 def gaussian_transfer(spark, d):
     return phase.gaussian_transfer(_phase(spark, d))
@@ -582,7 +625,7 @@ def null_summary(spark, d):
 def _cells(spark, d):
     drawn = nulls.as_series(nulls.permutation(_x(spark, d), DRAWS, SEED))
     acf = nulls.of_series(lagcorr.flow_autocorrelation(drawn, 5, "x"))
-    return acf.select("draw", F.col("lag").cast("string").alias("cell"), F.round("c", 9).alias("stat"))
+    return cut(acf.select("draw", F.col("lag").cast("string").alias("cell"), F.round("c", 9).alias("stat")))
 
 
 @_query
@@ -600,6 +643,26 @@ def drift_control(spark, d):
     return blocks.nu_blocks(nulls.drift(_x(spark, d), 1.0), range(0, 7))
 
 
+@_query
+def drift_sweep(spark, d):
+    return nulls.drift_sweep(_x(spark, d), (0.3, 0.6, 1.0, 1.5, 2.0, 3.0), range(0, 7))
+
+
+@_query
+def gamma_gph(spark, d):
+    return memory.gamma_gph(_x(spark, d))
+
+
+@_query
+def fluctuation(spark, d):
+    return memory.fluctuation(_x(spark, d), SCALES)
+
+
+@_query
+def gamma_dfa(spark, d):
+    return memory.gamma_dfa(_x(spark, d), SCALES)
+
+
 # wavelets
 
 

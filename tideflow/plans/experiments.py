@@ -81,8 +81,7 @@ def post_shock(returns: DataFrame, u_max: int = 300, edges: Sequence[int] = (0,
 def phase_of_day(prepared: DataFrame, draws: int = 50, seed: int = 7, n_bins: int = 8, level: float = 0.05) -> dict[str, DataFrame]:
     """Observables by phase, their modulation, and its p against rotations of each day; verdict by replication across series."""
     obs = phase.observables(prepared, ["series"], n_bins)
-    turned = phase.observables(phase.rotate_days(prepared, draws, seed), ["series", "draw"], n_bins)
-    p = phase.empirical_p(phase.modulation(turned, ["series", "draw"]), ["series", "observable"], "modulation")
+    p = phase.empirical_p(phase.rotation_null(prepared, draws, seed, n_bins), ["series", "observable"], "modulation")
     return {"observables": obs, "modulation": phase.modulation(obs, ["series"]), "p": p, "verdict": evaluation.replicated(p, F.col("p"), ["observable"], level)}
 
 

@@ -123,7 +123,8 @@ _CTE["l1"] = f"SELECT idx, {_QL.format(s='e.sigma')} AS la, {_QL.format(s='g.sig
 _CTE["dm1"] = _dm("l1")
 _CTE["l2"] = f"SELECT idx, {_QL.format(s='e.sigma')} AS la, {_QL.format(s='(1.1 * e.sigma)')} AS lb FROM ewma e JOIN rv USING (idx)"
 _CTE["dm2"] = _dm("l2")
-_ERFC = "t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-z * z)"
+# the normal density integrated by Simpson's rule, up to 10, beyond which erfc is below 1e-44
+_ERFC = "2 / sqrt(pi()) * (10 - z) / 6000 * list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-((z + (10 - z) * i / 2000) ** 2))))"
 _CTE["cut"] = "SELECT count(*) AS n, floor(count(*) * 0.6::DOUBLE)::BIGINT AS cut FROM r"
 _CTE["tt0"] = "SELECT series, idx, rv / sigma AS ratio, idx < greatest(cut - 5, 0) AS train FROM ewma JOIN rv USING (series, idx), cut"
 _CTE["tt"] = "SELECT series, idx, ratio, (SELECT quantile_cont(ratio, 0.8) FROM tt0 WHERE train) AS theta FROM tt0"
@@ -196,8 +197,13 @@ _CTE["rot"] = f"""SELECT series, draw, e, dp, raw, trades, q_bar, (hour + CASE W
   FROM ph, range(0, 21) g(draw)"""
 _CTE["robs"] = _observables("rot", "series, draw")[2]
 _CTE["rmod"] = _MOD.format(k="series, draw", t="robs")
-_CTE["emp"] = """SELECT o.series, o.observable, (1 + count(*) FILTER (WHERE round(n.modulation, 9) >= round(o.modulation, 9)))::DOUBLE / (1 + count(n.modulation)) AS p, count(n.modulation) AS draws
-  FROM rmod o JOIN rmod n ON n.observable = o.observable AND n.draw > 0 WHERE o.draw = 0 AND o.observable IN ('bias', 'r1') GROUP BY 1, 2, o.modulation"""
+_CTE["emp"] = """SELECT o.series, o.observable, (1 + count(*) FILTER (WHERE round(n.modulation, 6) >= round(o.modulation, 6)))::DOUBLE / (1 + count(n.modulation)) AS p, count(n.modulation) AS draws
+  FROM rmod o JOIN rmod n ON n.observable = o.observable AND n.draw > 0 WHERE o.draw = 0 GROUP BY 1, 2, o.modulation"""
+
+# detrended fluctuations
+_CTE["prof"] = "SELECT idx, sum(x - m) OVER (ORDER BY idx) AS y FROM (SELECT idx, x, avg(x) OVER () AS m FROM x)"
+_CTE["dfa"] = """SELECT T, count(*) AS boxes, avg(r) AS f2 FROM (
+  SELECT T, idx // T AS box, (regr_syy(y, idx % T) - regr_sxy(y, idx % T) ** 2 / regr_sxx(y, idx % T)) / T AS r FROM prof, (VALUES (8), (16), (32), (64), (128)) g(T) GROUP BY T, box HAVING count(*) = T) GROUP BY T HAVING count(*) >= 4"""
 
 # nulls
 _CTE["flip"] = f"SELECT draw, idx, CASE WHEN draw = 0 THEN x WHEN {_U32.format(k="'7:' || draw || ':' || idx")} % 2 = 0 THEN abs(x) ELSE -abs(x) END AS x FROM x, range(0, 21) g(draw)"
@@ -335,7 +341,7 @@ _FINAL = {
     "winsor_standardize": f"SELECT series, idx, {_r('x')} FROM ws",
     "qlike_rmse": f"SELECT 'lineitem' AS series, count(q) AS n, {_r('avg(q) AS qlike', 'sqrt(avg((rv - sigma) ** 2)) AS rmse')} FROM (SELECT rv, sigma, {_QL.format(s='sigma')} AS q FROM ewma JOIN rv USING (idx))",
     "dm_test": f"SELECT series, n, {_r('m AS mean_diff', 'dm')} FROM dm1",
-    "dm_pvalue": f"SELECT series, {_r(f'{_ERFC} AS p')} FROM (SELECT *, 1 / (1 + 0.3275911::DOUBLE * z) AS t FROM (SELECT series, abs(dm) / sqrt(2.0::DOUBLE) AS z FROM dm2))",
+    "dm_pvalue": f"SELECT series, {_r(f'{_ERFC} AS p')} FROM (SELECT series, abs(dm) / sqrt(2.0::DOUBLE) AS z FROM dm2)",
     "walk_forward_folds": "SELECT 'lineitem' AS series, f AS fold, f * 250 AS train_start, f * 250 + 500 AS train_end, f * 250 + 500 AS test_start, f * 250 + 750 AS test_end FROM range(0, 1000) g(f) WHERE f * 250 + 750 <= (SELECT count(*) FROM r)",
     "transition_target": f"SELECT series, idx, (ratio > theta)::INT AS s, {_r('ratio', 'theta')} FROM tt",
     "recal_contrast": f"""SELECT 'lineitem' AS series, max(n_train) AS n_train, count(*) AS n_oos, {_r('max(b2) AS coef_x', 'avg(q0) AS qlike_raw', 'avg(q1) AS qlike_recal', 'avg(q2) AS qlike_full', 'corr(x, y) AS corr_x', 'max(fd1.dm) AS dm_context', 'max(fd2.dm) AS dm_decisive')} FROM fq, fb, fd1, fd2""",
@@ -346,10 +352,10 @@ _FINAL = {
     "age_correlation": f"SELECT series, age_bin, lag, {_r('rho')}, n_ages FROM age",
     "age_tau_c": f"SELECT series, age_bin, {_r('tau')} FROM atau",
     "spearman_age": f"SELECT series, {_r('corr(a, b) AS spearman')}, count(*) AS n FROM (SELECT series, rank() OVER (ORDER BY age_bin) AS a, rank() OVER (ORDER BY tau) AS b FROM atau WHERE tau IS NOT NULL) GROUP BY series",
-    "bootstrap_omori": f"SELECT 'lineitem' AS series, draw, u, {_r('sum(w * weight) / sum(weight) AS m')} FROM field JOIN bs USING (shock) WHERE u <= 5 GROUP BY draw, u",
+    "bootstrap_ensemble": f"SELECT 'lineitem' AS series, draw, u, {_r('sum(w * weight) / sum(weight) AS m')} FROM field JOIN bs USING (shock) GROUP BY draw, u",
     "phase_observables": f"SELECT series, bin::INT AS bin, hours, n, {_r('bias', 'se_bias', 'activity', 'a1', 'se_a1', 'r1', 'f1')} FROM obs",
     "phase_modulation": f"SELECT series, observable, {_r('modulation')} FROM mod",
-    "phase_rotation_null": f"SELECT series, draw, observable, {_r('modulation')} FROM rmod WHERE observable IN ('bias', 'activity', 'r1')",
+    "phase_rotation_null": f"SELECT series, draw, observable, {_r('modulation')} FROM rmod",
     "empirical_p": f"SELECT series, observable, {_r('p')}, draws FROM emp",
     "phase_verdict": "SELECT observable, count(*) FILTER (WHERE p < 0.05) AS hits, count(*) AS n, count(*) FILTER (WHERE p < 0.05) >= count(*) * 0.75 AS verdict FROM emp GROUP BY observable",
     "gaussian_transfer": f"SELECT o.series, bin::INT AS bin, {_r('(a1 - 2 * m / v) / se_a1 AS z')} FROM obs o JOIN (SELECT hour // 3 AS bin, avg(e) AS m, var_samp(e) AS v FROM ph GROUP BY 1) USING (bin)",
@@ -359,6 +365,18 @@ _FINAL = {
     "maxt_correction": f"SELECT cell, {_r('stat', '(1 + (SELECT count(*) FROM tops WHERE t >= stat)) / 21.0::DOUBLE AS p')} FROM cells WHERE draw = 0",
     "maxt_summary": f"SELECT {_r('avg(t) AS mean_max', 'stddev_pop(t) AS sd_max', 'quantile_cont(t, 0.95) AS q95_max')}, count(*) AS draws, (SELECT cell FROM cells WHERE draw = 0 ORDER BY stat DESC, cell LIMIT 1) AS best_cell, round((SELECT max(stat) FROM cells WHERE draw = 0), 6) AS best_stat FROM tops",
     "drift_control": f"SELECT 'lineitem' AS series, {_r('regr_slope(ln(v), ln(T)) AS nu')}, count(*) AS n FROM (SELECT T, var_samp(q) AS v FROM (SELECT T, idx // T AS block, sum(x) AS q FROM xd, tg GROUP BY 1, 2 HAVING count(*) = T) GROUP BY T)",
+    "drift_sweep": f"""SELECT 'lineitem' AS series, amplitude, {_r('nu', 'nu - (max(nu) FILTER (WHERE amplitude = 0) OVER ()) AS shift')}, abs(nu - max(nu) FILTER (WHERE amplitude = 0) OVER ()) >= 0.2 AS moved FROM (
+      SELECT amplitude, regr_slope(ln(v), ln(T)) AS nu FROM (SELECT amplitude, T, var_samp(q) AS v FROM (SELECT amplitude, T, idx // T AS block, sum(x + amplitude * idx / mx) AS q
+        FROM (SELECT idx, x, max(idx) OVER () AS mx FROM x), tg, (SELECT unnest([0.0::DOUBLE, 0.3, 0.6, 1.0, 1.5, 2.0, 3.0]) AS amplitude) GROUP BY 1, 2, 3 HAVING count(*) = T) GROUP BY 1, 2) GROUP BY 1)""",
+    "ensemble_curve": f"SELECT series, u, {_r('m', 'sd')}, n, greatest((SELECT count(*) FROM ens) // 15, 1) AS step FROM ens WHERE (u - 1) % greatest((SELECT count(*) FROM ens) // 15, 1) = 0",
+    "gamma_gph": f"""SELECT 'lineitem' AS series, {_r('-b AS d', '1 + 2 * b AS gamma', '2 * se AS se')}, n FROM (
+      SELECT regr_slope(y, g) AS b, sqrt(greatest(regr_syy(y, g) - regr_sxy(y, g) ** 2 / regr_sxx(y, g), 0) / ((count(*) - 2) * regr_sxx(y, g))) AS se, count(*) AS n FROM (
+        SELECT ln((sum(c * cos(w)) ** 2 + sum(c * sin(w)) ** 2) / (2 * pi() * any_value(n))) AS y, ln(4 * sin(pi() * k / any_value(n)) ** 2) AS g FROM (
+          SELECT k, n, c, 2 * pi() * ((k * idx) % n) / n AS w FROM (SELECT idx, x - avg(x) OVER () AS c, count(*) OVER () AS n FROM x) z, range(1, 200) r(k) WHERE k <= floor(sqrt(n))) GROUP BY k))""",
+    "fluctuation": f"SELECT 'lineitem' AS series, T, boxes, {_r('f2')} FROM dfa",
+    "gamma_dfa": f"""SELECT 'lineitem' AS series, {_r('b AS hurst', '2 - 2 * b AS gamma', '2 * se AS se')}, n FROM (
+      SELECT regr_slope(y, g) AS b, sqrt(greatest(regr_syy(y, g) - regr_sxy(y, g) ** 2 / regr_sxx(y, g), 0) / ((count(*) - 2) * regr_sxx(y, g))) AS se, count(*) AS n FROM (SELECT ln(f2) / 2 AS y, ln(T) AS g FROM dfa))""",
+    "transfer_verdict": "SELECT count(*) FILTER (WHERE abs(z) < 2) AS hits, count(z) AS n, count(z) > 0 AND count(*) FILTER (WHERE abs(z) < 2) >= count(z) * 30 / 32.0 AS verdict FROM (SELECT (a1 - 2 * m / v) / se_a1 AS z FROM obs o JOIN (SELECT hour // 3 AS bin, avg(e) AS m, var_samp(e) AS v FROM ph GROUP BY 1) USING (bin))",
     "haar_details": f"SELECT 'lineitem' AS series, 1 AS octave, {_r('d')} FROM ({_trimmed('h1', 2)})",
     "db3_details": f"SELECT 'lineitem' AS series, 1 AS octave, {_r('d')} FROM ({_trimmed('b1', 6)})",
     "haar_octave_diagram": f"SELECT series, octave, n, {_r('y', 'var')} FROM hdia",

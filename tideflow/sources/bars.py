@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideflow.functions.scalar import finite, ratio
+from tideflow.functions.series import BLOCK, number, running_sum
 
 KLINE_SCHEMA = (
     "open_time long, open double, high double, low double, close double, volume double, close_time long, "
@@ -28,8 +29,7 @@ def build_bars(ticks: DataFrame, every: str) -> DataFrame:
 
 
 def with_index(bars: DataFrame) -> DataFrame:
-    row = F.row_number().over(Window.partitionBy("series").orderBy("ts"))
-    return bars.withColumn("idx", (row - 1).cast("long"))
+    return number(bars, ["series"], F.date_trunc("MONTH", "ts"), [F.col("ts")])
 
 
 def event_ticks(events: DataFrame) -> DataFrame:
@@ -48,7 +48,7 @@ def daily_bars(lineitem: DataFrame) -> DataFrame:
         F.sum(qty).alias("volume"), F.sum(F.when(F.col("l_linestatus") == "O", qty).otherwise(0.0)).alias("tb_base"),
         F.count("*").cast("double").alias("trades"), ratio(F.sum("l_extendedprice"), F.sum(qty)).alias("open"),
     )
-    w = Window.partitionBy("series").orderBy("ts")
+    w = Window.partitionBy("series").orderBy("ts")  # a row a day, so the calendar bounds it
     days = days.withColumn("close", F.lead("open").over(w))
     days = days.withColumn("high", F.greatest("open", "close")).withColumn("low", F.least("open", "close"))
     return with_index(drop_missing(days))
@@ -57,18 +57,17 @@ def daily_bars(lineitem: DataFrame) -> DataFrame:
 def event_bars(events: DataFrame) -> DataFrame:
     """One bar an event; flow is the signed value."""
     e = event_ticks(events)
-    w = Window.partitionBy("series").orderBy("ts", "id")
     sign = F.when(F.col("is_buy"), 1.0).otherwise(-1.0)
-    return e.select(
-        "series", (F.row_number().over(w) - 1).cast("long").alias("idx"), "ts", F.hour("ts").alias("hour"), F.to_date("ts").alias("day"),
-        "volume", (sign * F.col("volume")).alias("flow"), F.lit(1.0).alias("trades"), F.sum(sign * F.col("volume")).over(w).alias("price"),
-    )
+    order, hour = [F.col("ts"), F.col("id")], F.date_trunc("HOUR", "ts")
+    e = number(e.withColumn("flow", sign * F.col("volume")), ["series"], hour, order)
+    e = running_sum(e, ["series"], F.floor(F.col("idx") / BLOCK), [F.col("idx")], F.col("flow"), "price")
+    return e.select("series", "idx", "ts", F.hour("ts").alias("hour"), F.to_date("ts").alias("day"), "volume", "flow", F.lit(1.0).alias("trades"), "price")
 
 
 def trade_clock_bars(ticks: DataFrame, trades: int) -> DataFrame:
     """Bars of a constant number of trades; an incomplete last bar is dropped."""
-    w = Window.partitionBy("series").orderBy("ts", "id")
-    t = ticks.withColumn("idx", F.floor((F.row_number().over(w) - 1) / trades).cast("long"))
+    t = number(ticks, ["series"], F.date_trunc("HOUR", "ts"), [F.col("ts"), F.col("id")], "_place")
+    t = t.withColumn("idx", F.floor(F.col("_place") / trades).cast("long"))
     bars = t.groupBy("series", "idx").agg(
         F.min("ts").alias("ts"), F.sum("volume").alias("volume"), F.sum(F.when(F.col("is_buy"), F.col("volume")).otherwise(0.0)).alias("tb_base"), F.count("*").cast("double").alias("trades")
     )

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideflow.llm import decontamination, exact_dedup, mixing, quality, repeats, secrets, sharding, simhash, toxicity, warc
+from tideflow.llm import decontamination, exact_dedup, lloyd, mixing, quality, repeats, secrets, sharding, simhash, style_tree, toxicity, turn_trie, warc
 
-_MODULES = (simhash, mixing, exact_dedup, toxicity, sharding, repeats, decontamination, quality, warc, secrets)
+_MODULES = (simhash, mixing, exact_dedup, toxicity, sharding, repeats, decontamination, quality, warc, secrets, style_tree, lloyd, turn_trie)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -155,14 +155,14 @@ def cluster_table(vectors: DataFrame, **how: int) -> DataFrame:
     centroid; an empty table gives no rows. Sums of distances beyond a long are null. Other columns are ignored.
     """
     state, centroids = delta_lloyd(vectors, **how)
-    fit = lambda c: F.expr(f"try_cast({c} AS BIGINT)")
-    sums = state.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(20,0)")).alias("s"))
-    whole = sums.agg(F.sum("s").alias("w"))
-    sha = F.lit(None).cast("string")
-    for c, row in enumerate(centroids):
-        sha = F.when(F.col("cluster") == c, hashlib.sha256(",".join(map(str, row)).encode()).hexdigest()).otherwise(sha)
-    facts = F.broadcast(sums.crossJoin(whole))  # a row a cluster
-    return state.join(facts, "cluster").select("vec_id", "cluster", "distance", fit("s").alias("cluster_inertia"), fit("w").alias("inertia"), sha.alias("centroid_sha256"))
+    sums = state.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(20,0)")).alias("s")).collect()  # a row a cluster
+    fit = lambda n: F.lit(n if n < 1 << 63 else None).cast("long")
+    inertia, sha = F.lit(None).cast("long"), F.lit(None).cast("string")
+    for r in sums:
+        c = r["cluster"]
+        inertia = F.when(F.col("cluster") == c, fit(int(r["s"]))).otherwise(inertia)
+        sha = F.when(F.col("cluster") == c, hashlib.sha256(",".join(map(str, centroids[c])).encode()).hexdigest()).otherwise(sha)
+    return state.select("vec_id", "cluster", "distance", inertia.alias("cluster_inertia"), fit(sum(int(r["s"]) for r in sums)).alias("inertia"), sha.alias("centroid_sha256"))
 
 
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,17 +84,28 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, max_rounds: int | Non
     return found.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _named(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def in_file_order(docs: DataFrame) -> DataFrame:
-    """rank, row: the rows of ``docs`` as structs and their 0-based places in the files, which Spark writes in the order of a sort."""
+    """rank, row: the rows of ``docs`` as structs and their 0-based places in the files, which Spark writes in the order of a sort.
+
+    Files go by their whole paths, since those of a partitioned table share their names between folders.
+    """
     try:
-        docs.select("_metadata.row_index").schema
+        meta = docs.metadataColumn("_metadata")
+        docs.select(meta.getField("row_index")).schema
     except AnalysisException:  # no plain table of files yet
         docs = materialize(docs, "ordered")
-    listed = docs.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+        meta = docs.metadataColumn("_metadata")
+    listed = docs.select(meta.getField("file_path").alias("file"), meta.getField("row_index").alias("at"), F.struct(*[_named(c).alias(c) for c in docs.columns]).alias("row"))
     sizes = materialize(listed.groupBy("file").agg(F.count("*").alias("rows")), "files")  # a row a file
     before = Window.orderBy(F.length("file"), "file").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("file", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
-    return listed.join(bounded(starts, sizes.count() * 4 * NARROW), "file").select((F.col("start") + F.col("at")).alias("rank"), "row")
+    # a path is no short column
+    return listed.join(bounded(starts, sizes.count() * 16 * NARROW), "file").select((F.col("start") + F.col("at")).alias("rank"), "row")
 
 
 def shard_corpus(docs: DataFrame, shards: int = SHARDS, max_rounds: int | None = None) -> DataFrame:
@@ -103,7 +114,7 @@ def shard_corpus(docs: DataFrame, shards: int = SHARDS, max_rounds: int | None =
     Shards are those of ``shard_documents``; within a shard, slots keep the order of ``docs``, so a corpus
     sorted by training position stays sorted, and repeated passes of a document differ in rank and
     slot. Null and empty texts, null doc_ids and repeated rows are placed like others; columns of ``docs``
-    with the added names are dropped for them; an empty table gives no rows.
+    with the added names stay as ``rank_before`` and the like; an empty table gives no rows.
     """
     ordered = in_file_order(docs)
     slim = _slim(ordered.select("row.doc_id", "row.text", "rank"), ("rank",))
@@ -113,7 +124,15 @@ def shard_corpus(docs: DataFrame, shards: int = SHARDS, max_rounds: int | None =
     scaled = placed.withColumn("h", (F.col("rank") * F.lit((1 << 60) // max(rows, 1))).cast("long"))
     slots = running_total(scaled, ["shard"], "h", "one", bucket_count(rows), out="slot")
     slots = materialize(slots.select("rank", "shard", "slot"), "slots")
-    kept = [F.col(f"row.{c}").alias(c) for c in docs.columns if c.lower() not in ("rank", "shard", "slot")]
+    taken = {c.lower() for c in docs.columns}
+
+    def name(c: str) -> str:
+        new = c
+        while new.lower() in ("rank", "shard", "slot") or (new != c and new.lower() in taken):
+            new += "_before"
+        return new
+
+    kept = [F.col("row").getField(c).alias(name(c)) for c in docs.columns]
     return ordered.join(bounded(slots, rows * NARROW), "rank").select(*kept, "rank", "shard", "slot")
 
 

@@ -42,7 +42,7 @@ def test_bad_arguments(spark):
     d = frame(spark, r=np.ones(60))
     for f in (
         lambda: surface.two_time_surface(d, 10, 3), lambda: surface.two_time_surface(d, 40, 20), lambda: scalar.volatility_field(F.col("r"), "x"),
-        lambda: scalar.flow_imbalance(F.col("r"), F.col("r"), "x"), lambda: scalar.phase_bin(F.col("r"), 7), lambda: wavelet.filters(3),
+        lambda: scalar.flow_imbalance(F.col("r"), F.col("r"), "x"), lambda: scalar.phase_bin(F.col("r"), 25), lambda: scalar.phase_bin(F.col("r"), 0), lambda: wavelet.filters(3),
         lambda: surface.correlation_time(surface.two_time_surface(d, 40, 3), "x"), lambda: surface.tti_breaking(surface.two_time_surface(d, 40, 3), "x"),
     ):
         with pytest.raises(ValueError):
@@ -102,3 +102,9 @@ def test_stream_ewma_keeps_state(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("stream_ewma").count() == 40
+
+
+def test_phase_bins_that_do_not_divide_the_day(spark):
+    """7 bins of 3 hours: the last three hours belong to none."""
+    got = spark.range(24).select(scalar.phase_bin(F.col("id"), 7).alias("b")).collect()
+    assert [r["b"] for r in got] == [h // 3 if h < 21 else None for h in range(24)]

@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+import reference_fits
 from pyspark.sql import functions as F
 
 from tideflow.functions import numerics, scalar
@@ -79,13 +80,13 @@ def test_logistic_score_vanishes_and_guards():
     rng = np.random.default_rng(2)
     x = np.stack([np.ones(2000), rng.normal(size=2000), rng.normal(size=2000)], 1)
     y = (rng.random(2000) < 1 / (1 + np.exp(-(x @ [0.3, -1.0, 0.5])))).astype(float)
-    b = numerics.logistic_fit(x, y)
-    assert np.abs(x.T @ (y - 1 / (1 + np.exp(-x @ b))) - numerics.RIDGE * b).max() < 1e-6
-    apart = numerics.logistic_fit(np.stack([np.ones(40), np.arange(40.0)], 1), (np.arange(40) > 19).astype(float))
+    b = reference_fits.logistic_fit(x, y)
+    assert np.abs(x.T @ (y - 1 / (1 + np.exp(-x @ b))) - reference_fits.RIDGE * b).max() < 1e-6
+    apart = reference_fits.logistic_fit(np.stack([np.ones(40), np.arange(40.0)], 1), (np.arange(40) > 19).astype(float))
     assert apart is None or np.isfinite(apart).all()
-    same = numerics.logistic_fit(np.ones((40, 2)), (np.arange(40) > 9).astype(float))
+    same = reference_fits.logistic_fit(np.ones((40, 2)), (np.arange(40) > 9).astype(float))
     assert same is None or np.isfinite(same).all()
-    assert numerics.logistic_fit(np.full((40, 1), np.nan), np.zeros(40)) is None
+    assert reference_fits.logistic_fit(np.full((40, 1), np.nan), np.zeros(40)) is None
 
 
 def test_erfc(spark):
@@ -132,3 +133,32 @@ def test_random_event_null_is_the_trend_of_each_draw(spark):
         tau = surface.truncated_sum(events.age_correlation(field, catalogue.AGE_EDGES, catalogue.AGE_LAGS, 5), ["series", "age_bin"]).toPandas()
         tau = tau.dropna()
         assert abs(got[draw] - pd.Series(tau.age_bin.to_numpy()).corr(pd.Series(tau.tau.to_numpy()), method="pearson") if len(tau) < 3 else got[draw] - pd.Series(tau.age_bin).rank().corr(pd.Series(tau.tau).rank())) < 1e-5
+
+
+def test_logistic_of_many_series_in_the_same_rounds(spark):
+    """Newton steps by aggregation against numpy; classes apart, one class, missing rows, copies of a feature."""
+    from tideflow.operators.logit import fit_logistic
+
+    rng = np.random.default_rng(8)
+    parts, want = [], {}
+    for k, n in enumerate((300, 1000, 60)):
+        x = rng.normal(size=(n, 2)) * (1, 3)
+        y = (rng.random(n) < 1 / (1 + np.exp(-(0.3 * k - 0.5 + x @ (1.2, -0.4))))).astype(float)
+        parts.append(pd.DataFrame({"series": f"s{k}", "y": y, "u": x[:, 0], "v": x[:, 1]}))
+        want[f"s{k}"] = reference_fits.logistic_fit(np.column_stack([np.ones(n), x]), y)
+    t = np.arange(40.0)
+    parts += [pd.DataFrame({"series": "apart", "y": (t > 19).astype(float), "u": t, "v": 0.0}), pd.DataFrame({"series": "one", "y": 1.0, "u": t, "v": t}), pd.DataFrame({"series": "few", "y": [0.0, 1.0], "u": 1.0, "v": 2.0})]
+    want["apart"] = reference_fits.logistic_fit(np.column_stack([np.ones(40), t, np.zeros(40)]), (t > 19).astype(float))
+    bad = pd.DataFrame({"series": "s0", "y": [1.0, np.nan, 0.0], "u": [np.nan, 1.0, np.inf], "v": 1.0})
+    d = spark.createDataFrame(pd.concat([*parts, bad]), "series string, y double, u double, v double").repartition(6)
+    got = {r["series"]: r for r in fit_logistic(d, "y", ["u", "v"], least=10).collect()}
+    assert set(got) == set(want)
+    for s, b in want.items():
+        assert np.allclose(got[s]["b"], b, rtol=1e-8 if s != "apart" else 1e-3, atol=1e-8), s
+        assert np.isfinite(got[s]["b"]).all()
+    assert got["s0"]["n"] == 300
+    one = fit_logistic(d.where("series = 's1'"), "y", ["u"]).first()
+    x = parts[1]
+    assert np.allclose(one["b"], reference_fits.logistic_fit(np.column_stack([np.ones(1000), x["u"]]), x["y"].to_numpy()), atol=1e-8)
+    with pytest.raises(ValueError):
+        fit_logistic(d, "y", ["u", "v", "u"])

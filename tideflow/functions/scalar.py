@@ -68,7 +68,9 @@ def erfc(x: Column) -> Column:
 
 
 def phase_bin(hour: Column, n_bins: int) -> Column:
-    """The hour's bin of 24 // n_bins hours; NULL for the hours left over where n_bins does not divide 24."""
+    """The hour's bin of 24 // n_bins hours; NULL for the hours left over where n_bins does not divide 24. Raises outside 1..24 bins."""
+    if not 1 <= n_bins <= 24:
+        raise ValueError("a day has 1 to 24 phase bins")
     b = F.floor(hour / (24 // n_bins)).cast("int")
     return F.when(b < n_bins, b)
 

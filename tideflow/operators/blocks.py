@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideflow.functions.quantiles import quantiles
 from tideflow.functions.scalar import finite, log, ratio
 from tideflow.functions.series import whole
 from tideflow.functions.stats import grid, k_statistics, ols
@@ -45,7 +46,7 @@ def fano(df: DataFrame, lengths: Sequence[int], min_blocks: int = MIN_BLOCKS) ->
     """Fano factor of raw flow: df has series, idx, flow, volume, trades. series, T, n, q_bar, fano, trades_per_block."""
     ok = df.select("series", "idx", *[finite(F.col(c)).alias(c) for c in ("flow", "volume", "trades")])
     ok = ok.where("flow IS NOT NULL AND volume IS NOT NULL AND trades > 0")
-    quantum = ok.groupBy("series").agg(F.percentile(F.col("volume") / F.col("trades"), F.lit(0.5)).alias("q_bar"), F.count("*").alias("rows")).where(F.col("rows") >= 4 * min_blocks)
+    quantum = quantiles(ok, ["series"], F.col("volume") / F.col("trades"), [0.5], "_q").where(F.col("_q_n") >= 4 * min_blocks).select("series", F.col("_q")[0].alias("q_bar"))
     x = compact(ok, "flow").crossJoin(grid(df.sparkSession, "T", lengths))
     b = x.groupBy("series", "T", F.floor(F.col("idx") / F.col("T")).alias("block")).agg(F.sum("flow").alias("q"), F.sum("trades").alias("tr"), F.count("*").alias("c")).where("c = T")
     s = b.groupBy("series", "T").agg(F.count("*").alias("n"), F.var_samp("q").alias("v"), F.avg("tr").alias("trades_per_block")).where(F.col("n") >= min_blocks)

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideflow.functions import numerics
+from tideflow.functions.quantiles import quantiles
 from tideflow.functions.scalar import erfc, finite, log, log_loss, logistic, qlike, ratio
 from tideflow.functions.series import blocks, cut, in_block, whole
 from tideflow.operators.flow import compact
+from tideflow.operators.logit import fit_logistic
 from tideflow.operators.vol import realized_vol_forward
 
 
@@ -61,7 +61,7 @@ def diebold_mariano(df: DataFrame, horizon: int, least: int = 30) -> DataFrame:
     lrv = F.when(lrv > 0, lrv).when(g0 > 0, g0).otherwise(1e-12)
     dm = F.col("m") / F.sqrt(lrv / n)
     s = g.select("series", "n", F.col("m").alias("mean_diff"), F.when(n >= least, dm).alias("dm"))
-    return s.withColumn("p", erfc(F.abs("dm") / np.sqrt(2)))
+    return s.withColumn("p", erfc(F.abs("dm") / math.sqrt(2)))
 
 
 def standardise(df: DataFrame, value: str = "v", lo: float = 0.01, hi: float = 0.99, least: int = 200) -> DataFrame:
@@ -73,7 +73,8 @@ def standardise(df: DataFrame, value: str = "v", lo: float = 0.01, hi: float = 0
     v = finite(F.col(value))
     d = df.withColumn("_l", log(v)).withColumn("_zero", v == 0)
     tr = lambda c: F.when(F.col("train"), F.col(c))
-    d = whole(d, _q=F.percentile(tr("_l"), [lo, hi]))
+    d = cut(d)
+    d = d.join(quantiles(d, ["series"], tr("_l"), [lo, hi], "_q").drop("_q_n"), "series", "left")
     clipped = F.when(F.col("_zero"), F.col("_q")[0]).otherwise(F.greatest(F.least(F.col("_l"), F.col("_q")[1]), F.col("_q")[0]))
     d = d.withColumn("_c", F.when(F.col("_zero") | F.col("_l").isNotNull(), clipped))
     d = whole(d, _m=F.avg(tr("_c")), _s=F.stddev_pop(tr("_c")), _n=F.count(tr("_c")))
@@ -85,8 +86,9 @@ def transition_target(base: DataFrame, horizon: int, train: float = 0.6, quantil
     d = embargo(base.join(realized_vol_forward(base, horizon), ["series", "idx"]), horizon, train)
     d = d.withColumn("ratio", F.when(F.col("sigma") > 0, ratio(F.col("rv"), F.col("sigma"))))
     known = F.when(F.col("train"), F.col("ratio"))
-    d = whole(d, theta=F.percentile(known, F.lit(quantile)), _n=F.count(known))
-    d = d.withColumn("theta", F.when(F.col("_n") >= least, F.col("theta")))
+    d = cut(d.select("series", "idx", "ratio", "train"))
+    theta = quantiles(d, ["series"], known, [quantile], "_q").where(F.col("_q_n") >= least).select("series", F.col("_q")[0].alias("theta"))
+    d = d.join(theta, "series", "left")
     return d.select("series", "idx", (F.col("ratio") > F.col("theta")).cast("int").alias("s"), "ratio", "theta")
 
 
@@ -130,17 +132,11 @@ def transition_contrast(base: DataFrame, feature: DataFrame, horizon: int, train
     d = standardise(embargo(d, horizon, train), "v", least=least_train).withColumn("ls", log(F.col("sigma")))
     d = d.where("s IS NOT NULL AND ls IS NOT NULL AND x IS NOT NULL").select("series", "idx", "s", "ls", "x", "train", "oos")
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, ls, x = (pdf[c].to_numpy(float) for c in ("s", "ls", "x"))
-        if len(y) < least_train or y.min() == y.max():
-            return pd.DataFrame({"series": [], "b1": [], "b2": [], "n_train": []})
-        one = np.ones(len(y))
-        b1, b2 = numerics.logistic_fit(np.stack([one, ls], 1), y), numerics.logistic_fit(np.stack([one, ls, x], 1), y)
-        if b1 is None or b2 is None:
-            return pd.DataFrame({"series": [], "b1": [], "b2": [], "n_train": []})
-        return pd.DataFrame([{"series": pdf["series"].iloc[0], "b1": b1, "b2": b2, "n_train": len(y)}])
-
-    b = d.where("train").groupBy("series").applyInPandas(fit, "series string, b1 array<double>, b2 array<double>, n_train long")
+    # both models in the same rounds: the one without the feature sees 0 in its place, where the ridge holds its coefficient
+    d = cut(d)
+    both = d.where("train").select("series", F.explode(F.array(F.lit(1), F.lit(2))).alias("model"), "s", "ls", "x").withColumn("x", F.when(F.col("model") == 2, F.col("x")).otherwise(0.0))
+    fits = fit_logistic(both, "s", ["ls", "x"], ["series", "model"], least_train)
+    b = fits.groupBy("series").agg(F.max(F.when(F.col("model") == 1, F.col("b"))).alias("b1"), F.max(F.when(F.col("model") == 2, F.col("b"))).alias("b2"), F.max("n").alias("n_train")).where("b1 IS NOT NULL AND b2 IS NOT NULL")
     o = d.where("oos").join(b, "series")
     p1 = logistic(F.col("b1")[0] + F.col("b1")[1] * F.col("ls"))
     p2 = logistic(F.col("b2")[0] + F.col("b2")[1] * F.col("ls") + F.col("b2")[2] * F.col("x"))

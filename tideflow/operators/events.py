@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideflow.functions.quantiles import quantiles
 from tideflow.functions.scalar import ratio
+from tideflow.functions.scan import carry
+from tideflow.functions.series import BLOCK, blocks, cut, in_block, number, running_sum
 from tideflow.functions.stats import grid
 
+#: Candidates that a cluster may hold to be walked in one task.
+CLUSTER = 4096
+
 
 def shock_candidates(sigma: DataFrame, quantile: float = 0.995, after: int = 300, before: int = 200, least: int = 100) -> DataFrame:
     """series, idx, ratio, threshold of returns whose |r| / sigma exceeds its quantile over the whole series (not causal).
@@ -19,25 +23,62 @@ def shock_candidates(sigma: DataFrame, quantile: float = 0.995, after: int = 300
     sigma: series, idx, r, sigma. Candidates leave ``before`` rows to the start and ``after`` to the end.
     """
     d = sigma.select("series", "idx", F.when(F.col("sigma") > 0, ratio(F.abs("r"), F.col("sigma"))).alias("ratio"))
-    top = d.groupBy("series").agg(F.percentile("ratio", F.lit(quantile)).alias("threshold"), F.count("ratio").alias("n"), (F.max("idx") + 1).alias("rows"))
-    c = d.join(top.where(F.col("n") >= least), "series").where(F.col("ratio") > F.col("threshold"))
+    top = quantiles(d, ["series"], F.col("ratio"), [quantile], "_q").where(F.col("_q_n") >= least).select("series", F.col("_q")[0].alias("threshold"))
+    rows = d.groupBy("series").agg((F.max("idx") + 1).alias("rows"))
+    c = d.join(top, "series").where(F.col("ratio") > F.col("threshold")).join(rows, "series")
     return c.where((F.col("idx") >= before) & (F.col("idx") < F.col("rows") - after)).select("series", "idx", "ratio", "threshold")
 
 
-def separate(candidates: DataFrame, distance: int = 384) -> DataFrame:
-    """The first candidate of each series, then always the next at least ``distance`` rows later."""
-    d = candidates.repartition("series").sortWithinPartitions("series", "idx")
-
-    def scan(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: tuple[str | None, int] = (None, 0)
-        for pdf in it:
-            keep = np.zeros(len(pdf), bool)
-            for i, (s, t) in enumerate(zip(pdf["series"], pdf["idx"])):
-                if s != last[0] or t - last[1] >= distance:
-                    keep[i], last = True, (s, t)
-            yield pdf[keep]
+def separate(candidates: DataFrame, distance: int = 384, most: int = CLUSTER) -> DataFrame:
+    """The first candidate of each series, then always the next at least ``distance`` rows later.
 
-    return d.mapInPandas(scan, d.schema)
+    Up to ``most`` candidates of a series are walked in order. Where there are more, a gap of ``distance`` rows cuts a series:
+    the candidate after it is taken whatever was before. Clusters between such gaps are walked, and in those that
+    still hold more, pointers to the next candidate that may follow are doubled until all that are taken are reached.
+    """
+    if candidates.groupBy("series").count().where(F.col("count") > most).isEmpty():
+        kept = _walked(candidates.select("series", F.col("idx").alias("_at")), ["series"], distance)
+        return candidates.join(kept.withColumnRenamed("_at", "idx"), ["series", "idx"], "left_semi").select(*candidates.columns)
+    d = number(candidates, ["series"], F.floor(F.col("idx") / BLOCK), [F.col("idx")], "_nth")
+    d = cut(d.withColumnRenamed("idx", "_at").withColumnRenamed("_nth", "idx"))
+    prior = blocks(d.select("series", "idx", "_at"), before=1).withColumn("_gap", F.col("_at") - F.lag("_at").over(in_block())).where("_home")
+    starts = prior.select("series", "idx", F.when(F.col("_gap").isNull() | (F.col("_gap") >= distance), F.col("_at")).alias("_first"))
+    d = cut(d.join(carry(starts, "_first"), ["series", "idx"]))  # a cluster is known by the place of its first
+    sizes = d.groupBy("series", "_first").agg(F.count("*").alias("_size"))
+    kept = _walked(d.join(sizes.where(F.col("_size") <= most).select("series", "_first"), ["series", "_first"], "left_semi"), ["series", "_first"], distance)
+    large = d.join(sizes.where(F.col("_size") > most).select("series", "_first"), ["series", "_first"], "left_semi").select("series", "idx", "_at", "_first")
+    if not large.isEmpty():
+        kept = kept.unionByName(_reached(d, large, distance))
+    return d.join(kept, ["series", "_at"], "left_semi").drop("idx", "_first").withColumnRenamed("_at", "idx").select(*candidates.columns)
+
+
+def _walked(d: DataFrame, keys: Sequence[str], distance: int) -> DataFrame:
+    """(series, _at) taken of the places _at of each key, in order."""
+    start = F.struct(F.lit(-(1 << 62)).cast("long").alias("last"), F.slice(F.array(F.lit(0).cast("long")), 1, 0).alias("kept"))
+    step = lambda acc, t: F.when(t - acc["last"] >= distance, F.struct(t.alias("last"), F.concat(acc["kept"], F.array(t)).alias("kept"))).otherwise(acc)
+    places = d.groupBy(*keys).agg(F.sort_array(F.collect_list(F.col("_at").cast("long"))).alias("_all"))
+    return places.select("series", F.explode(F.aggregate("_all", start, step, lambda acc: acc["kept"])).alias("_at"))
+
+
+def _reached(d: DataFrame, large: DataFrame, distance: int) -> DataFrame:
+    """(series, _at) of the candidates taken in ``large``, rows of whole clusters of ``d`` (series, idx: number in the series, _at, _first).
+
+    A round knows the first 2^k of each cluster and pointers 2^k steps ahead, so rounds grow with the logarithm of a cluster.
+    """
+    # a candidate's successor has as its number how many candidates lie before the place from which one may follow
+    seen = d.select("series", F.col("_at").alias("_x"), F.lit(1.0).alias("_one"), F.lit(None).cast("long").alias("_from"))
+    asked = large.select("series", (F.col("_at") + distance).alias("_x"), F.lit(0.0).alias("_one"), F.col("_at").alias("_from"))  # first at its place
+    upto = running_sum(seen.unionByName(asked), ["series"], F.floor(F.col("_x") / BLOCK), [F.col("_x"), F.col("_one")], F.col("_one"), "_before")
+    upto = upto.where("_from IS NOT NULL").select("series", F.col("_from").alias("_at"), F.col("_before").cast("long").alias("idx"))
+    after = d.select("series", "idx", F.col("_at").alias("_next"), "_first")
+    jump = cut(upto.join(after, ["series", "idx"]).join(large.select("series", "_at", "_first"), ["series", "_at", "_first"]).select("series", "_at", "_next"))
+    reached = cut(large.where("_at = _first").select("series", "_at"))
+    while True:
+        new = cut(reached.join(jump, ["series", "_at"]).select("series", F.col("_next").alias("_at")))
+        if new.isEmpty():
+            return reached
+        reached = cut(reached.unionByName(new))
+        jump = cut(jump.join(jump.select("series", F.col("_at").alias("_next"), F.col("_next").alias("_after")), ["series", "_next"]).select("series", "_at", F.col("_after").alias("_next")))
 
 
 def post_shock_field(sigma: DataFrame, shocks: DataFrame, u_max: int) -> DataFrame:

@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql.window import WindowSpec
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideflow.functions.scalar import finite, flow_imbalance, log
+from tideflow.functions.scan import carry
 from tideflow.functions.series import BLOCK, blocks, in_block, number
 
 
-def in_order() -> WindowSpec:
-    return Window.partitionBy("series").orderBy("idx")
-
-
 def imbalance(bars: DataFrame, normalize: str = "volume") -> DataFrame:
     """series, idx, x: the signed flow of each bar."""
     return bars.select("series", "idx", flow_imbalance(F.col("tb_base"), F.col("volume"), normalize).alias("x"))
@@ -37,9 +33,8 @@ def compact(df: DataFrame, value: str = "x") -> DataFrame:
     return number(kept.withColumnRenamed("idx", "_at"), ["series"], F.floor(F.col("_at") / BLOCK), [F.col("_at")]).drop("_at")
 
 
-def align_to_returns(features: DataFrame, bars: DataFrame) -> DataFrame:
+def align_to_returns(features: DataFrame, bars: DataFrame, block: int = BLOCK) -> DataFrame:
     """A feature known at bar ends (series, t_w, v) on the return grid: at i stands the last value known at bar i+1."""
     f = features.select("series", F.col("t_w").alias("idx"), "v")
-    carried = F.last("v", ignorenulls=True).over(in_order().rowsBetween(Window.unboundedPreceding, 0))
-    dense = bars.select("series", "idx").join(f, ["series", "idx"], "left").select("series", (F.col("idx") - 1).alias("idx"), carried.alias("v"))
-    return dense.where("idx >= 0")
+    dense = carry(bars.select("series", "idx").join(f, ["series", "idx"], "left"), "v", block)
+    return dense.select("series", (F.col("idx") - 1).alias("idx"), "v").where("idx >= 0")

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideflow.functions.scalar import draw_int, finite, phase_bin, phase_label, ratio
-from tideflow.functions.series import blocks, in_block
+from tideflow.functions.quantiles import quantiles
+from tideflow.functions.series import blocks, cut, in_block
 from tideflow.operators.symmetry import fit_affinity, symmetry_function
 
 MIN_PER_BIN = 500
@@ -25,11 +26,17 @@ def prepare(bars: DataFrame) -> DataFrame:
     d = blocks(bars.select("series", "idx", "day", "hour", "e", "p", "raw", "volume", "trades"), after=1).select("_home", "series", "idx", "day", "hour", finite(F.col("e")).alias("e"), finite(F.lead("p").over(w) - F.col("p")).alias("dp"), finite(F.col("raw")).alias("raw"), finite(F.col("trades")).alias("trades"), "volume", F.lead("idx").over(w).alias("_next"))
     d = d.where("_home AND _next IS NOT NULL").drop("_next", "_home")
     tr, dp, raw = F.when(F.col("trades") > 0, F.col("trades")), F.abs("dp"), F.abs("raw")
-    lim = lambda x, q: F.when(F.count(x) > 100, F.percentile(x, F.lit(q)))
-    q_bar = F.percentile(F.when((F.col("trades") > 0) & F.col("raw").isNotNull() & F.col("volume").isNotNull(), F.col("volume") / F.col("trades")), F.lit(0.5))
-    top = d.groupBy("series").agg(lim(tr, 0.99).alias("lt"), lim(dp, 0.995).alias("ld"), lim(raw, 0.99).alias("lr"), q_bar.alias("q_bar"))
+    q_bar = F.when((F.col("trades") > 0) & F.col("raw").isNotNull() & F.col("volume").isNotNull(), F.col("volume") / F.col("trades"))
+    # four quantities and their quantiles as one long table, so that they are found together
+    sought = {"lt": (tr, 0.99), "ld": (dp, 0.995), "lr": (raw, 0.99), "q_bar": (q_bar, 0.5)}
+    d = cut(d)
+    long = d.select("series", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), x.alias("x")) for k, (x, _) in sought.items()])).alias("_r")).select("series", "_r.*")
+    found = quantiles(long, ["series", "k"], F.col("x"), sorted({p for _, p in sought.values()}), "_q")
+    at = {p: i for i, p in enumerate(sorted({p for _, p in sought.values()}))}
+    pick = lambda k, p: F.max(F.when((F.col("k") == k) & ((F.col("_q_n") > 100) | (F.col("k") == "q_bar")), F.col("_q")[at[p]])).alias(k)
+    top = found.groupBy("series").agg(*[pick(k, p) for k, (_, p) in sought.items()])
     clip = lambda x, hi: F.greatest(F.least(x, F.coalesce(hi, x)), F.coalesce(-hi, x))
-    d = d.join(top, "series")
+    d = d.join(top, "series", "left")
     return d.select(
         "series", "idx", "day", "hour", "e", F.when(F.col("dp").isNotNull(), clip(F.col("dp"), F.col("ld"))).alias("dp"),
         F.when(F.col("raw").isNotNull(), clip(F.col("raw"), F.col("lr"))).alias("raw"), F.when(F.col("trades").isNotNull(), F.least("trades", F.coalesce("lt", "trades"))).alias("trades"), "q_bar",
@@ -69,8 +76,11 @@ def modulation(obs: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def rotate_days(d: DataFrame, draws: int, seed: int) -> DataFrame:
     """Adds draw 0 (as observed) to ``draws``: in each draw every day's hours turn by a random amount of its own."""
+    # a day's turns are drawn once, not for each of its rows; the rows are dealt out before they are multiplied
     turn = F.when(F.col("draw") == 0, 0).otherwise(F.pmod(draw_int(F.lit(seed), F.col("draw"), F.date_format("day", "yyyy-MM-dd")), F.lit(24)))
-    return d.crossJoin(F.broadcast(d.sparkSession.range(draws + 1).withColumnRenamed("id", "draw"))).withColumn("hour", ((F.col("hour") + turn) % 24).cast("int"))
+    turns = d.select("day").distinct().crossJoin(F.broadcast(d.sparkSession.range(draws + 1).withColumnRenamed("id", "draw"))).select("day", "draw", turn.cast("int").alias("_turn"))
+    dealt = d.repartition(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), "series", "day", "hour")
+    return dealt.join(turns, "day").withColumn("hour", ((F.col("hour") + F.col("_turn")) % 24).cast("int")).drop("_turn")
 
 
 def hour_moments(d: DataFrame) -> DataFrame:

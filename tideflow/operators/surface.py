@@ -8,8 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideflow.functions.quantiles import quantiles
 from tideflow.functions.scalar import finite, ratio, volatility_field
-from tideflow.functions.series import blocks, in_block
+from tideflow.functions.series import BLOCK, blocks, in_block
 from tideflow.functions.stats import grid
 
 
@@ -47,12 +48,17 @@ def mean_profile(surface: DataFrame) -> DataFrame:
     return surface.groupBy("series", "lag").agg(F.avg("rho").alias("rho_mean"))
 
 
-def tti_breaking(surface: DataFrame, reference: str = "expanding", min_windows: int = 20) -> DataFrame:
+def tti_breaking(surface: DataFrame, reference: str = "expanding", min_windows: int = 20, block: int = BLOCK) -> DataFrame:
     """series, t_w, distance of each window's profile from the mean of earlier windows, or of all ('full', not causal)."""
-    by_lag = Window.partitionBy("series", "lag")
     if reference == "expanding":
-        frame = by_lag.orderBy("t_w").rowsBetween(Window.unboundedPreceding, -1)
-        s = surface.withColumn("_ref", F.avg("rho").over(frame)).where(F.col("k") >= min_windows)
+        # sums over the windows before, within buckets of windows and shifted by the buckets ahead of them
+        s = surface.withColumn("_b", F.floor(F.col("k") / block))
+        total = s.groupBy("series", "lag", "_b").agg(F.sum("rho").alias("_s"), F.count("rho").alias("_n"))
+        ahead = Window.partitionBy("series", "lag").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        base = total.select("series", "lag", "_b", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"_base{c}") for c in ("_s", "_n")])
+        inside = Window.partitionBy("series", "lag", "_b").orderBy("t_w").rowsBetween(Window.unboundedPreceding, -1)
+        s = s.withColumns({"_s": F.coalesce(F.sum("rho").over(inside), F.lit(0.0)), "_n": F.coalesce(F.count("rho").over(inside), F.lit(0))}).join(base, ["series", "lag", "_b"])
+        s = s.withColumn("_ref", ratio(F.col("_s") + F.col("_base_s"), F.col("_n") + F.col("_base_n"))).where(F.col("k") >= min_windows)
     elif reference == "full":
         s = surface.join(surface.groupBy("series", "lag").agg(F.avg("rho").alias("_ref")), ["series", "lag"])
     else:
@@ -95,7 +101,7 @@ def aging_curve(surface: DataFrame, mu: Sequence[float] | None = None, n_bins: i
     rows = lags.groupBy("series").agg(F.count("*").alias("rows")).where(F.col("rows") >= min_rows).select("series")
     s = surface.join(lags, ["series", "t_w"]).join(rows, "series").crossJoin(grid(surface.sparkSession, "mu", mu, "double"))
     s = s.withColumn("x", F.col("lag") / F.pow(F.col("t_w").cast("double"), F.col("mu")))
-    edges = s.groupBy("series", "mu").agg(F.percentile("x", [i / n_bins for i in range(n_bins + 1)]).alias("edges"))
+    edges = quantiles(s, ["series", "mu"], F.col("x"), [i / n_bins for i in range(n_bins + 1)], "edges").drop("edges_n")
     b = F.least(F.greatest(F.size(F.filter("edges", lambda e: e <= F.col("x"))) - 1, F.lit(0)), F.lit(n_bins - 1))
     inside = s.join(edges, ["series", "mu"]).withColumn("bin", b).groupBy("series", "mu", "bin").agg((F.var_pop("rho") * F.count("*")).alias("ss"), F.count("*").alias("n"))
     return inside.groupBy("series", "mu").agg((F.sum("ss") / F.sum("n")).alias("residual"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideflow.functions.quantiles import quantiles
 from tideflow.functions.scalar import ratio
 
 
@@ -16,8 +17,8 @@ def symmetry_function(q: DataFrame, keys: Sequence[str], n_bins: int = 15, quant
     if "bin" in keys:
         raise ValueError("'bin' is a column of the result")
     q = q.where("q IS NOT NULL")
-    top = q.groupBy(*keys).agg(F.percentile(F.abs("q"), F.lit(quantile)).alias("top"), F.count("*").alias("rows"))
-    d = q.join(top.where((F.col("top") > 0) & (F.col("rows") >= 4 * min_count)), keys)
+    top = quantiles(q, keys, F.abs("q"), [quantile], "_q").where(F.col("_q_n") >= 4 * min_count).select(*keys, F.col("_q")[0].alias("top"))
+    d = q.join(top.where("top > 0"), keys)
     width, a = F.col("top") / n_bins, F.abs("q")
     guess = F.ceil(a / width)
     bin_ = F.when(a <= width * (guess - 1), guess - 1).when(a > width * guess, guess + 1).otherwise(guess)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tideflow.functions import numerics
 from tideflow.functions.scalar import finite
+from tideflow.functions.scan import SCAN_BLOCK, affine_path
 from tideflow.functions.series import blocks, in_block
 
 
@@ -26,55 +25,36 @@ def realized_vol_forward(returns: DataFrame, horizon: int) -> DataFrame:
     return s.where("_home").select("series", "idx", F.when(F.col("last").isNotNull() & (F.col("n") >= max(2, horizon // 2)), F.col("rv")).alias("rv"))
 
 
-def _path(returns: DataFrame, params: DataFrame | None, step) -> DataFrame:
-    """series, idx, r, sigma: a recursion over each series in order, streamed by batch with its state carried on."""
+def ewma_vol(returns: DataFrame, lam: float = 0.94, block: int = SCAN_BLOCK) -> DataFrame:
+    """series, idx, r, sigma: EWMA forecast with data up to idx - 1. The seed is the variance of the first 50 returns.
+
+    Missing returns count as 0. The recursion is a scan of affine maps, so a series is spread over blocks.
+    """
+    d = returns.select("series", "idx", finite(F.col("r")).alias("r"))
+    first = F.var_pop(F.when(F.col("idx") < 50, F.col("r")))
+    seed = d.groupBy("series").agg(F.when(first > 0, first).otherwise(1e-8).alias("_seed"))
+    r = F.coalesce("r", F.lit(0.0))
+    v = affine_path(d.join(seed, "series"), F.lit(lam), (1 - lam) * r * r, F.col("_seed"), "_v", block)
+    return v.select("series", "idx", "r", F.sqrt("_v").alias("sigma"))
+
+
+def garch_path(returns: DataFrame, params: DataFrame, block: int = SCAN_BLOCK) -> DataFrame:
+    """series, idx, r, sigma: GARCH(1,1) forecasts with given parameters (series, omega, alpha, beta).
+
+    Starts at the stationary variance, or the sample's where there is none. A step whose variance would be 0 keeps the
+    one before. Parameters must be 0 or more and beta at most 1, as any fit gives them; others have no variance path, and sigma is NULL.
+    """
     d = returns.select("series", "idx", finite(F.col("r")).alias("r"))
-    first = d.where("idx < 50").groupBy("series").agg(F.var_pop("r").alias("seed"))
-    every = d.groupBy("series").agg(F.var_pop("r").alias("var_all"))
-    d = d.join(first.join(every, "series"), "series", "left")
-    names = ["seed", "var_all"]
-    if params is not None:
-        d, names = d.join(params.select("series", "omega", "alpha", "beta"), "series"), [*names, "omega", "alpha", "beta"]
-    d = d.repartition("series").sortWithinPartitions("series", "idx")
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = {"series": None}
-        for pdf in it:
-            out = np.empty(len(pdf))
-            rows = pdf[names].to_dict("list")
-            for i, (series, r) in enumerate(zip(pdf["series"], pdf["r"])):
-                if series != state["series"]:
-                    state = {"series": series, "v": None, "r": 0.0}
-                state["v"] = step(state["v"], state["r"], {k: v[i] for k, v in rows.items()})
-                state["r"] = r if r == r else 0.0
-                out[i] = state["v"]
-            yield pd.DataFrame({"series": pdf["series"], "idx": pdf["idx"], "r": pdf["r"], "sigma": np.sqrt(out)})
-
-    return d.mapInPandas(run, "series string, idx long, r double, sigma double")
-
-
-def ewma_vol(returns: DataFrame, lam: float = 0.94) -> DataFrame:
-    """series, idx, r, sigma: EWMA forecast with data up to idx - 1. The seed is the variance of the first 50 returns."""
-
-    def step(v, r, p):
-        if v is None:
-            return p["seed"] if p["seed"] == p["seed"] and p["seed"] is not None and p["seed"] > 0 else 1e-8
-        return lam * v + (1 - lam) * r * r
-
-    return _path(returns, None, step)
-
-
-def garch_path(returns: DataFrame, params: DataFrame) -> DataFrame:
-    """series, idx, r, sigma: GARCH(1,1) forecasts with given parameters (series, omega, alpha, beta)."""
-
-    def step(v, r, p):
-        if v is None:
-            rest = 1 - p["alpha"] - p["beta"]
-            return p["omega"] / rest if rest > 0 else p["var_all"]
-        new = p["omega"] + p["alpha"] * r * r + p["beta"] * v
-        return new if np.isfinite(new) and new > 0 else v
-
-    return _path(returns, params, step)
+    every = d.groupBy("series").agg(F.var_pop("r").alias("_all"))
+    rest = 1 - F.col("alpha") - F.col("beta")
+    sound = (F.col("omega") >= 0) & (F.col("alpha") >= 0) & F.col("beta").between(0, 1) & (F.greatest("omega", "alpha") < float("inf"))
+    start = F.when(sound, F.when(rest > 0, F.col("omega") / rest).otherwise(F.col("_all")))
+    d = d.join(params.select("series", "omega", "alpha", "beta").join(every, "series").withColumn("_start", start), "series")
+    r = F.coalesce("r", F.lit(0.0))
+    drive = F.col("omega") + F.col("alpha") * r * r
+    still = (F.col("beta") == 0) & (drive <= 0)  # what would be 0 keeps the value before
+    v = affine_path(d, F.when(still, 1.0).otherwise(F.col("beta")), F.when(still, 0.0).otherwise(drive), F.col("_start"), "_v", block)
+    return v.select("series", "idx", "r", F.sqrt("_v").alias("sigma"))
 
 
 def fit_garch(returns: DataFrame, least: int = 100) -> DataFrame:

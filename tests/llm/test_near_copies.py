@@ -65,3 +65,27 @@ def test_edge_documents(edge_docs, edge_rows, no_docs):
     assert Counter((r["doc_id"], r["text"] or "") for r in got.where("doc_id IS NOT NULL").collect()).keys() == kept(named).keys()
     assert got.where("doc_id IS NULL").count() == sum(r[0] is None for r in edge_rows)
     assert near_copies.keep_one(no_docs).count() == 0
+
+
+def test_no_link_is_lost_in_a_large_bucket(spark):
+    """Texts at the threshold: pairs that share three edits of one original, among many others that are near to none."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(9000)}" for _ in range(600)]
+    places, texts = rng.sample(range(590), 590), []
+    for _ in range(150):
+        texts.append(edited(base, 11, rng))
+    for k in range(40):
+        common = list(base)
+        for at in places[3 * k : 3 * k + 3]:
+            common[at] = f"shared{k}x{at}"
+        free = [i for i in range(600) if i not in places[3 * k : 3 * k + 3]]
+        for _ in range(2):
+            t = list(common)
+            for at in rng.sample(free, 6):
+                t[at] = f"own{rng.random()}"
+            texts.append(t)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    want = kept(rows)
+    assert len(want) < len(rows)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, d, "").collect()) == want

@@ -10,9 +10,8 @@ shingles' 64-bit hashes and ``BANDS`` bucket keys of ``BAND_ROWS`` minima each.
 
 Only the connection of a bucket's texts matters, so they are not all paired. First every text is compared
 with its bucket's lead: the text that shares most buckets with others, to which edits of one
-original are nearer than to each other. Texts of small buckets that this leaves in different components are
-then paired. In a large bucket two texts may each be far from the lead and near to one another; what
-they have in common and the others have not then gives them smaller buckets of their own.
+original are nearer than to each other. Texts that this leaves in different components of a bucket are then
+compared with one another, however large the bucket is: no link is lost for its size.
 """
 
 from __future__ import annotations
@@ -32,8 +31,6 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 60
 BAND_ROWS = 5
-#: Texts up to which a bucket is small.
-BUCKET_PAIRS = 16
 SEED = 42
 _PIECE = 1 << 10
 _RNG = np.random.default_rng(SEED)
@@ -115,6 +112,22 @@ def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
+def _unsettled_pairs(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(u, n_u, v, n_v): the pairs of a bucket's texts that lie in different components. shared: key, node, n.
+
+    Each text outside its bucket's largest component is set against the bucket's texts of other components, so a bucket
+    costs its texts times the few that its lead has not gathered.
+    """
+    rooted = _rooted(shared, roots)
+    parts = rooted.groupBy("key", "root").agg(F.count("*").alias("c"))
+    torn = parts.groupBy("key").agg(F.max(F.struct("c", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1").select("key", F.col("most.root").alias("main"))
+    live = materialize(rooted.join(torn, "key"), "live")
+    left = live.where("root != main").select("key", "main", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("r_a"))
+    both = left.join(live.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("r_b")).hint("merge"), "key").where("r_a != r_b AND (r_b = main OR a < b)")
+    low, high = F.least(F.struct("a", "n_a"), F.struct(F.col("b").alias("a"), F.col("n_b").alias("n_a"))), F.greatest(F.struct("a", "n_a"), F.struct(F.col("b").alias("a"), F.col("n_b").alias("n_a")))
+    return both.select(low["a"].alias("u"), low["n_a"].alias("n_u"), high["a"].alias("v"), high["n_a"].alias("n_v"))
+
+
 def near_copy_roots(marked: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, root) of the nodes of ``marked`` that are linked to others."""
     nodes = marked.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")).where("n > 0")
@@ -134,13 +147,8 @@ def near_copy_roots(marked: DataFrame, similarity: float = SIMILARITY) -> DataFr
     near = _alike(stars.unionByName(close), sets, similarity, "stars")
     roots = materialize(components(near), "roots")
 
-    # what is left: texts of one small bucket in different components
-    rooted = _rooted(shared.where(F.col("size") <= BUCKET_PAIRS).select("key", "node", "n"), roots)
-    listed = rooted.groupBy("key").agg(F.collect_list(F.struct("node", "n", "root")).alias("members"), F.min("root").alias("low"), F.max("root").alias("high"))
-    pair = listed.where("low != high").select("members", F.posexplode("members").alias("i", "a"))
-    pair = pair.select("a", F.explode(F.slice("members", F.col("i") + 2, F.lit(BUCKET_PAIRS))).alias("b")).where("a.root != b.root")
-    low, high = F.least("a", "b"), F.greatest("a", "b")
-    rest = pair.select(low["node"].alias("u"), low["n"].alias("n_u"), high["node"].alias("v"), high["n"].alias("n_v"))
+    # what is left: texts of one bucket in different components, all of them
+    rest = _unsettled_pairs(shared.select("key", "node", "n"), roots)
     more = _alike(rest, sets, similarity, "rest")
     if not more.isEmpty():
         roots = materialize(components(near.unionByName(more)), "roots")

@@ -10,8 +10,11 @@ shingles' 64-bit hashes and ``BANDS`` bucket keys of ``BAND_ROWS`` minima each.
 
 Only the connection of a bucket's texts matters, so they are not all paired. First every text is compared
 with its bucket's lead: the text that shares most buckets with others, to which edits of one
-original are nearer than to each other. Texts that this leaves in different components of a bucket are then
-compared with one another, however large the bucket is: no link is lost for its size.
+original are nearer than to each other. What is still apart in a bucket is mostly texts that share a passage and little
+else, far too many to pair. In any order of shingles, two sets of similarity s share one of the first n - s n + 1 of
+each; with the rare ones first, texts that have so many rare shingles are compared only where they share a rare one, of
+which each has few owners. Texts of common shingles alone are compared with those of their bucket in other
+components. So no link is lost, whatever the size of a bucket.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 60
 BAND_ROWS = 5
+#: Texts of which a shingle may be part and still be rare.
+RARE = 8
 SEED = 42
 _PIECE = 1 << 10
 _RNG = np.random.default_rng(SEED)
@@ -91,9 +96,13 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float, name: str) -> DataFrame:
     """(u, v) of the ``pairs`` (u, n_u, v, n_v) whose sets reach the similarity."""
-    pairs = pairs.where(F.least("n_u", "n_v") / F.greatest("n_u", "n_v") >= similarity).distinct()
-    both = pairs.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("s_v")), "v")
-    both = both.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("s_u")), "u")
+    pairs = materialize(pairs.where(F.least("n_u", "n_v") / F.greatest("n_u", "n_v") >= similarity).distinct(), f"{name}-pairs")
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("n_u").alias("n")), F.struct(F.col("v").alias("node"), F.col("n_v").alias("n")))).alias("e")).select("e.*").distinct()
+    ends = materialize(ends, f"{name}-ends")
+    bytes_ = ends.agg(F.coalesce(F.sum(F.col("n").cast("long") * 8 + NARROW), F.lit(0))).first()[0]
+    sets = sets.join(bounded(ends.select("node"), ends.count() * NARROW), "node", "left_semi")
+    both = pairs.join(bounded(sets.select(F.col("node").alias("v"), F.col("shingles").alias("s_v")), bytes_), "v")
+    both = both.join(bounded(sets.select(F.col("node").alias("u"), F.col("shingles").alias("s_u")), bytes_), "u")
     common = F.size(F.array_intersect("s_u", "s_v"))
     return materialize(both.where(common / (F.col("n_u") + F.col("n_v") - common) >= similarity).select("u", "v"), name)
 
@@ -112,20 +121,41 @@ def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _unsettled_pairs(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """(u, n_u, v, n_v): the pairs of a bucket's texts that lie in different components. shared: key, node, n.
+def _merged(roots: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """``roots`` after the links ``found`` (u, v), by the components of roots that these link."""
+    nodes = found.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(roots, "node", "left_anti")
+    every = materialize(roots.unionByName(nodes.select("node", F.col("node").alias("root"))), f"{name}-nodes")
+    r = lambda c: every.select(F.col("node").alias(c), F.col("root").alias(f"r_{c}"))
+    linked = found.join(r("u"), "u").join(r("v"), "v").where("r_u != r_v").select(F.col("r_u").alias("u"), F.col("r_v").alias("v")).distinct()
+    up = components(linked, f"{name}-up").select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return materialize(every.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root")), name)
 
-    Each text outside its bucket's largest component is set against the bucket's texts of other components, so a bucket
-    costs its texts times the few that its lead has not gathered.
-    """
+
+def _unsettled_pairs(shared: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, n_u, v, n_v): pairs of texts of a bucket that may be alike and lie in different components. shared: key, node, n."""
     rooted = _rooted(shared, roots)
-    parts = rooted.groupBy("key", "root").agg(F.count("*").alias("c"))
-    torn = parts.groupBy("key").agg(F.max(F.struct("c", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1").select("key", F.col("most.root").alias("main"))
+    torn = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
     live = materialize(rooted.join(torn, "key"), "live")
-    left = live.where("root != main").select("key", "main", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("r_a"))
-    both = left.join(live.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("r_b")).hint("merge"), "key").where("r_a != r_b AND (r_b = main OR a < b)")
-    low, high = F.least(F.struct("a", "n_a"), F.struct(F.col("b").alias("a"), F.col("n_b").alias("n_a"))), F.greatest(F.struct("a", "n_a"), F.struct(F.col("b").alias("a"), F.col("n_b").alias("n_a")))
-    return both.select(low["a"].alias("u"), low["n_a"].alias("n_u"), high["a"].alias("v"), high["n_a"].alias("n_v"))
+    texts = materialize(live.select("node", "n", "root").distinct(), "unsettled")
+    rows = texts.join(sets.select("node", "shingles"), "node").select("node", "n", "root", F.explode("shingles").alias("s"))
+    owners = materialize(rows.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "owners")
+    owned = materialize(rows.join(owners, "s"), "owned")
+
+    rare = owned.where(F.col("df") <= RARE)
+    a, b = rare.select("s", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("r_a")), rare.select("s", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("r_b"))
+    by_rare = a.join(b, "s").where("a < b AND r_a != r_b").select("a", "n_a", "b", "n_b").distinct()
+
+    # texts whose first shingles, rare ones ahead, reach into the common ones
+    n = F.col("n")
+    heavy = owned.where(F.col("df") > RARE).groupBy("node", "n").agg(F.count("*").alias("common")).where(n - F.col("common") < n - F.ceil(F.lit(similarity) * n - 1e-9) + 1).select("node")
+    among = materialize(live.join(heavy, "node"), "heavy")
+    parts = among.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("most")).select("key", F.col("most.root").alias("main"))
+    among = among.join(parts, "key")
+    left = among.where("root != main").select("key", "main", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("r_a"))
+    both = left.join(among.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("r_b")).hint("merge"), "key").where("r_a != r_b AND (r_b = main OR a < b)")
+    pick = lambda x, y: F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y))
+    by_bucket = both.select(pick("a", "b").alias("a"), pick("n_a", "n_b").alias("n_a"), pick("b", "a").alias("b"), pick("n_b", "n_a").alias("n_b"))
+    return by_rare.unionByName(by_bucket).select(F.col("a").alias("u"), F.col("n_a").alias("n_u"), F.col("b").alias("v"), F.col("n_b").alias("n_v"))
 
 
 def near_copy_roots(marked: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -147,12 +177,12 @@ def near_copy_roots(marked: DataFrame, similarity: float = SIMILARITY) -> DataFr
     near = _alike(stars.unionByName(close), sets, similarity, "stars")
     roots = materialize(components(near), "roots")
 
+    for done in (nodes, close, placed, scored):
+        drop_scratch(done)
     # what is left: texts of one bucket in different components, all of them
-    rest = _unsettled_pairs(shared.select("key", "node", "n"), roots)
-    more = _alike(rest, sets, similarity, "rest")
-    if not more.isEmpty():
-        roots = materialize(components(near.unionByName(more)), "roots")
-    for done in (nodes, close, placed, shared, wanted, sets, scored, near, more):
+    more = _alike(_unsettled_pairs(shared.select("key", "node", "n"), roots, sets, similarity), sets, similarity, "rest")
+    roots = _merged(roots, more, "roots")
+    for done in (shared, wanted, sets, near, more):
         drop_scratch(done)
     return roots
 

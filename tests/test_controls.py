@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from tideflow.functions import numerics
-from tideflow.operators import blocks, events, fits, lagcorr, nulls, phase, surface, symmetry, vol, wavelet
+from tideflow.operators import blocks, events, fits, garch, lagcorr, nulls, phase, surface, symmetry, vol, wavelet
 
 
 def series(spark, **cols):
@@ -116,7 +116,7 @@ def test_garch_recovers_persistence(spark):
         x = np.sqrt(v) * rng.normal()
         r.append(x)
         v = 5e-6 + 0.08 * x * x + 0.87 * v
-    g = vol.fit_garch(series(spark, r=np.array(r))).first()
+    g = garch.fit_garch(series(spark, r=np.array(r))).first()
     assert abs(g["persistence"] - 0.95) < 0.05 and abs(g["alpha"] - 0.08) < 0.04
     path = vol.garch_path(series(spark, r=np.array(r)), spark.createDataFrame([("s", g["omega"], g["alpha"], g["beta"])], "series string, omega double, alpha double, beta double"))
     assert path.where("sigma > 0").count() == 4000

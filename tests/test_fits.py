@@ -9,7 +9,7 @@ import reference_fits
 from pyspark.sql import functions as F
 
 from tideflow.functions import numerics, scalar
-from tideflow.operators import events, nulls, surface
+from tideflow.operators import events, garch, nulls, surface
 from tideflow.plans import catalogue
 
 SF = "/root/testdata/sf0.01"
@@ -58,7 +58,7 @@ def test_garch_score_vanishes():
         r.append(x)
         v = 5e-6 + 0.08 * x * x + 0.87 * v
     r = np.array(r)
-    g = numerics.fit_garch11(r)
+    g = reference_fits.fit_garch11(r)
 
     def loop(omega, alpha, beta):
         var, out = omega / (1 - alpha - beta), 0.0
@@ -109,7 +109,7 @@ def test_fits_of_queries_are_those_of_numpy(spark):
     got, want = catalogue.queries()["kww_fit"](spark, SF).first(), numerics.fit_stretched_exp(prof.lag.to_numpy(), prof.rho_mean.to_numpy())
     assert all(abs(got[k] - want[k]) < 1e-3 * (1 + abs(want[k])) for k in ("log_a", "beta", "r2"))
     r = catalogue._r(spark, SF).toPandas().sort_values("idx").r.to_numpy()
-    got, want = catalogue.queries()["garch_mle"](spark, SF).first(), numerics.fit_garch11(r)
+    got, want = catalogue.queries()["garch_mle"](spark, SF).first(), reference_fits.fit_garch11(r)
     assert all(abs(got[k] - want[k]) < 1e-3 * (1 + abs(want[k])) for k in ("alpha", "beta", "nll"))
 
 
@@ -162,3 +162,47 @@ def test_logistic_of_many_series_in_the_same_rounds(spark):
     assert np.allclose(one["b"], reference_fits.logistic_fit(np.column_stack([np.ones(1000), x["u"]]), x["y"].to_numpy()), atol=1e-8)
     with pytest.raises(ValueError):
         fit_logistic(d, "y", ["u", "v", "u"])
+
+
+def test_garch_fit_by_blocks_is_that_of_one_series(spark):
+    """Several series in the same rounds, blocks far shorter than a series, gaps, and samples that have no fit."""
+    rng, v, r = np.random.default_rng(8), 1e-4, []
+    for _ in range(1500):
+        x = np.sqrt(v) * rng.normal()
+        r.append(x)
+        v = 5e-6 + 0.08 * x * x + 0.87 * v
+    calm = rng.normal(0, 0.01, 700)
+    calm[[5, 300]] = np.nan
+    samples = {"garch": np.array(r), "calm": calm, "short": np.full(99, 0.1), "still": np.zeros(200)}
+    rows = [(s, i, float(x)) for s, xs in samples.items() for i, x in enumerate(xs)]
+    d = spark.createDataFrame(rows, "series string, idx long, r double")
+    got = {g["series"]: g for g in garch.fit_garch(d, block=32).collect()}
+    assert set(got) == {"garch", "calm"}
+    for s, g in got.items():
+        want = reference_fits.fit_garch11(samples[s][np.isfinite(samples[s])])
+        assert all(abs(g[k] - want[k]) < 1e-5 for k in ("alpha", "beta", "persistence")) and abs(g["omega"] / want["omega"] - 1) < 1e-4
+        assert g["nll"] <= want["nll"] + 1e-7 and g["score"] * len(samples[s]) < 1e-6
+    assert garch.fit_garch(d.where("false")).count() == 0
+
+
+def test_garch_derivatives_are_those_of_the_likelihood():
+    x = np.random.default_rng(3).exponential(1, 40)
+    z = np.array([0.1, 1.5, -1.0])
+
+    def sums(z, blocks=(40,)):
+        points, at, out, before = [[z.tolist()]], 0, np.zeros(10), np.array([1.0] + [0.0] * 9)
+        for n in blocks:
+            part = pd.DataFrame({"series": ["s"], "block": [0], "r2": [x[at : at + n]], "points": points, "before": [[before.tolist()]]})
+            out += next(garch._sums(iter([part]))).filter(like="s").drop(columns="series").to_numpy()[0]
+            own = next(garch._heads(iter([part])))[garch.NAMES].to_numpy()[0]
+            before = np.array(list(garch._then(dict(zip(garch.NAMES, before)), dict(zip(garch.NAMES, own))).values()))
+            at += n
+        return out
+
+    np.testing.assert_allclose(sums(z, (7, 1, 20, 12)), sums(z), rtol=1e-11)
+    g, h = garch._in_search(z, sums(z))
+    e = 1e-5
+    for k in range(3):
+        up, down = z + e * (np.arange(3) == k), z - e * (np.arange(3) == k)
+        assert abs((sums(up)[0] - sums(down)[0]) / (2 * e) - g[k]) < 1e-6
+        np.testing.assert_allclose((garch._in_search(up, sums(up))[0] - garch._in_search(down, sums(down))[0]) / (2 * e), h[k], rtol=1e-5, atol=1e-6)

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideflow.functions import numerics
 from tideflow.functions.scalar import finite
 from tideflow.functions.scan import SCAN_BLOCK, affine_path
 from tideflow.functions.series import blocks, in_block
@@ -55,17 +52,3 @@ def garch_path(returns: DataFrame, params: DataFrame, block: int = SCAN_BLOCK) -
     still = (F.col("beta") == 0) & (drive <= 0)  # what would be 0 keeps the value before
     v = affine_path(d, F.when(still, 1.0).otherwise(F.col("beta")), F.when(still, 0.0).otherwise(drive), F.col("_start"), "_v", block)
     return v.select("series", "idx", "r", F.sqrt("_v").alias("sigma"))
-
-
-def fit_garch(returns: DataFrame, least: int = 100) -> DataFrame:
-    """series, omega, alpha, beta, nll, persistence by maximum likelihood; series with fewer than ``least`` returns are left out."""
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.sort_values("idx")["r"].to_numpy(float)
-        r = r[np.isfinite(r)]
-        if len(r) < least:
-            return pd.DataFrame({"series": [], "omega": [], "alpha": [], "beta": [], "nll": [], "persistence": []})
-        return pd.DataFrame([{"series": pdf["series"].iloc[0], **numerics.fit_garch11(r)}])
-
-    kinds = "series string, omega double, alpha double, beta double, nll double, persistence double"
-    return returns.select("series", "idx", "r").groupBy("series").applyInPandas(fit, kinds)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tideflow.functions.scalar import volatility_field
 from tideflow.functions.series import cut
-from tideflow.operators import blocks, evaluation, events, fits, flow, lagcorr, memory, nulls, phase, surface, symmetry, vol, wavelet
+from tideflow.operators import blocks, evaluation, events, fits, flow, garch, lagcorr, memory, nulls, phase, surface, symmetry, vol, wavelet
 from tideflow.plans import oracle
 from tideflow.sources import bars
 
@@ -379,7 +379,7 @@ def garch_path(spark, d):
 
 @_query
 def garch_mle(spark, d):
-    return vol.fit_garch(_r(spark, d))
+    return garch.fit_garch(_r(spark, d)).drop("score", "rounds")
 
 
 @_query

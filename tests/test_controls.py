@@ -1,9 +1,12 @@
 """Positive and negative controls on synthetic series whose answer is known."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+
 from tideflow.functions import numerics
 from tideflow.operators import blocks, events, fits, garch, lagcorr, nulls, phase, surface, symmetry, vol, wavelet
 
@@ -188,3 +191,38 @@ def test_bootstrap_weights_sum_to_units(spark):
     f = spark.range(30).select(F.lit("s").alias("series"), F.col("id").alias("shock"))
     w = nulls.bootstrap_weights(f, 5, 3).groupBy("draw").agg(F.sum("weight").alias("n")).collect()
     assert {r["n"] for r in w} == {30} and len(w) == 6
+
+
+def greedy_places(seed, draw, name, rows, n, distance, after, before):
+    """Places one after the other in the order of their random numbers."""
+    u = {i: int(hashlib.md5(f"{seed}:{draw}:{name}:{i}".encode()).hexdigest()[:8], 16) for i in range(before, rows - after)}
+    taken = []
+    for i in sorted(u, key=lambda i: (u[i], i)):
+        if len(taken) < n and all(abs(i - t) >= distance for t in taken):
+            taken.append(i)
+    return sorted(taken)
+
+
+@pytest.mark.parametrize("distance,after,before", [(1, 0, 0), (7, 5, 3), (40, 10, 20)])
+def test_random_events_are_those_of_a_loop(spark, distance, after, before, monkeypatch):
+    """Few of much room (draws that look at early places only), as many as fit, more than fit, and series with no room or no count."""
+    monkeypatch.setattr(nulls, "BLOCK", 64)
+    sizes = {"wide": (3000, 6), "full": (500, 500), "tight": (300, 7), "none": (12, 3), "zero": (100, 0), "one": (after + before + 1, 1)}
+    d = spark.createDataFrame([(s, i) for s, (rows, _) in sizes.items() for i in range(rows)], "series string, idx long")
+    counts = spark.createDataFrame([(s, n) for s, (_, n) in sizes.items()], "series string, n long")
+    got = nulls.random_events(d, counts, 3, 5, distance, after, before).toPandas()
+    for s, (rows, n) in sizes.items():
+        for draw in (1, 2, 3):
+            mine = sorted(got[(got.series == s) & (got.draw == draw)].idx)
+            assert mine == greedy_places(5, draw, s, rows, n, distance, after, before), (s, draw)
+    assert nulls.random_events(d, counts.where("false"), 2, 5).count() == 0
+
+
+def test_random_events_that_run_short_look_further(spark, monkeypatch):
+    """Where a first look finds too few, the next ones give what a look at all places gives."""
+    monkeypatch.setattr(nulls, "FIRST_LOOK", (0.1, 1))
+    d = spark.range(4000).select(F.lit("s").alias("series"), F.col("id").alias("idx"))
+    counts = spark.createDataFrame([("s", 30)], "series string, n long")
+    got = nulls.random_events(d, counts, 2, 9, 20, 0, 0).toPandas()
+    for draw in (1, 2):
+        assert sorted(got[got.draw == draw].idx) == greedy_places(9, draw, "s", 4000, 30, 20, 0, 0)

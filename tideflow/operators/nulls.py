@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideflow.functions.scalar import draw_int, draw_key, finite
-from tideflow.functions.series import number
+from tideflow.functions.series import BLOCK, blocks, cut, in_block, number
 from tideflow.operators.blocks import nu_blocks
 
+#: Random events at first look at this many places for each that is wanted, and this many more.
+FIRST_LOOK = (4, 64)
+
 
 def _draws(df: DataFrame, draws: int) -> DataFrame:
     return df.crossJoin(F.broadcast(df.sparkSession.range(draws + 1).withColumnRenamed("id", "draw")))
@@ -102,25 +104,54 @@ def bootstrap_mean(field: DataFrame, draws: int, seed: int) -> DataFrame:
     return a.select("series", "draw", "u", F.try_divide("s", "n").alias("m"))
 
 
+def _apart(places: DataFrame, distance: int) -> DataFrame:
+    """The places (series, idx, u) that stay if they are taken in the order of u, then idx, each ``distance`` or more from those before.
+
+    A place stays once no undecided one within reach comes before it; what it reaches then goes. A round does so for all
+    places at once, in blocks that borrow what two reaches hold, and few rounds decide all, since the order has nothing to do with the place.
+    """
+    reach = distance - 1
+    near = in_block().rangeBetween(-reach, reach)
+    kept, left = [], places
+    while True:
+        d = blocks(left, 2 * reach, 2 * reach, max(BLOCK, 2 * distance)).withColumn("_first", F.min(F.struct("u", "idx")).over(near)["idx"] == F.col("idx"))
+        d = d.withColumn("_gone", F.max("_first").over(near)).where("_home")
+        d = cut(d.select("series", "idx", "u", "_first", "_gone"))
+        kept.append(d.where("_first").select("series", "idx", "u"))
+        left = d.where("NOT _gone").select("series", "idx", "u")
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, kept)
+
+
 def random_events(sigma: DataFrame, counts: DataFrame, draws: int, seed: int, distance: int = 384, after: int = 300, before: int = 200) -> DataFrame:
-    """series, draw, idx: for each series as many random places as it had shocks, ``distance`` apart from each other."""
-    rows = sigma.groupBy("series").agg((F.max("idx") + 1).alias("rows")).join(counts, "series")
-    d = rows.crossJoin(F.broadcast(sigma.sparkSession.range(1, draws + 1).withColumnRenamed("id", "draw")))
-
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for series, draw, n_rows, n in zip(pdf["series"], pdf["draw"], pdf["rows"], pdf["n"]):
-            rng = np.random.default_rng([seed, int(draw), *series.encode()])
-            taken: list[int] = []
-            for t in rng.permutation(np.arange(before, max(before, n_rows - after))).tolist():
-                if len(taken) == n:
-                    break
-                if all(abs(t - o) >= distance for o in taken):
-                    taken.append(t)
-            out += [(series, draw, t) for t in sorted(taken)]
-        return pd.DataFrame(out, columns=["series", "draw", "idx"])
-
-    return d.groupBy("series", "draw").applyInPandas(place, "series string, draw long, idx long")
+    """series, draw, idx: for each series as many random places as it had shocks (series, n), ``distance`` apart from each other.
+
+    Places are rows from ``before`` on that leave ``after`` rows behind them, tried in the order of a random number of (draw,
+    series, idx); those too near to one taken are passed over. Fewer are found where no more fit; series without places or counts have no
+    row. Only places early in that order are looked at; draws that want more get eight times as many, up to all.
+    """
+    if distance < 1:
+        raise ValueError("a distance of one row at least")
+    size = sigma.groupBy("series").agg((F.max("idx") + 1).alias("rows")).join(counts.select("series", "n").where("n > 0"), "series")
+    room = F.greatest(F.col("rows") - after - before, F.lit(1))
+    # while half of the room stays free, at least every other place is taken
+    share = F.when(2 * distance * F.col("n") <= room / 2, F.least((FIRST_LOOK[0] * F.col("n") + FIRST_LOOK[1]) / room, F.lit(1.0))).otherwise(1.0)
+    spark = sigma.sparkSession
+    want = cut(size.crossJoin(F.broadcast(spark.range(1, draws + 1).withColumnRenamed("id", "draw"))).select("series", "draw", "rows", "n", share.alias("share")))
+    found = []
+    while True:
+        u = draw_int(F.lit(seed), F.col("draw"), F.col("series"), F.col("idx"))
+        places = sigma.select("series", "idx").join(want, "series").where((F.col("idx") >= before) & (F.col("idx") < F.col("rows") - after))
+        places = places.withColumn("u", u).where(F.col("u") < F.col("share") * 2.0**32)
+        taken = _apart(as_series(places.select("series", "draw", "idx", "u")), distance)
+        taken = of_series(number(taken, ["series"], F.shiftright("u", 20), [F.col("u"), F.col("idx")], "place"))
+        taken = cut(taken.join(want.select("series", "draw", "n", "share"), ["series", "draw"]))
+        short = taken.groupBy("series", "draw").agg(F.count("*").alias("_got"))
+        short = cut(want.join(short, ["series", "draw"], "left").where((F.col("share") < 1) & (F.coalesce("_got", F.lit(0)) < F.col("n"))).select("series", "draw"))
+        found.append(taken.where("place < n").join(short, ["series", "draw"], "left_anti").select("series", "draw", "idx"))
+        if short.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        want = cut(want.join(short, ["series", "draw"], "left_semi").withColumn("share", F.least(8 * F.col("share"), F.lit(1.0))))
 
 
 def drift_sweep(df: DataFrame, amplitudes: Sequence[float], octaves: Sequence[int], least: float = 0.2) -> DataFrame:

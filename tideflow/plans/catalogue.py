@@ -535,12 +535,21 @@ def bootstrap_omori_interval(spark, d):
     return nulls.summarise(p, ["series"], "p")
 
 
+def _random_places(spark, d, base):
+    n = events.separate(events.shock_candidates(base, **SHOCKS), DISTANCE).groupBy("series").agg(F.count("*").alias("n"))
+    return nulls.random_events(base, n, 5, SEED, DISTANCE, 60, 50)
+
+
+@_query
+def random_event_places(spark, d):
+    return _random_places(spark, d, _base(spark, d))
+
+
 @_query
 def random_event_null(spark, d):
     """The ageing trend of as many random events as there were shocks, for each draw."""
     base = _base(spark, d)
-    n = _shocks(spark, d).groupBy("series").agg(F.count("*").alias("n"))
-    places = nulls.random_events(base, n, 5, SEED, DISTANCE, 60, 50)
+    places = cut(_random_places(spark, d, base))
     drawn = base.join(places.select("series", "draw").distinct(), "series")
     field = events.post_shock_field(nulls.as_series(drawn), nulls.as_series(places), U_MAX)
     tau = surface.truncated_sum(events.age_correlation(field, AGE_EDGES, AGE_LAGS, 5), ["series", "age_bin"])

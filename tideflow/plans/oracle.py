@@ -170,6 +170,20 @@ _U32 = "('0x' || substr(md5({k}), 1, 8))::BIGINT"
 _CTE["bs0"] = "SELECT shock, row_number() OVER (ORDER BY shock) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT shock FROM field)"
 _CTE["bs"] = f"""SELECT 0::BIGINT AS draw, shock, 1 AS weight FROM bs0 UNION ALL
   SELECT draw, b.shock, count(*) FROM (SELECT draw, {_U32.format(k="'7:' || draw || ':' || k")} % n AS pick FROM bs0, range(1, 21) g(draw)) p JOIN bs0 b ON b.k = p.pick GROUP BY 1, 2"""
+# as many random places as shocks, taken in the order of their random numbers where they keep the distance
+_CTE["rp"] = f"SELECT draw, idx, {_U32.format(k="'7:' || draw || ':lineitem:' || idx")} AS u FROM r, range(1, 6) g(draw) WHERE idx >= 50 AND idx < (SELECT max(idx) + 1 FROM r) - 60"
+_CTE["rg"] = """SELECT draw, []::BIGINT[] AS taken FROM range(1, 6) g(draw) UNION ALL
+  SELECT draw, list_append(taken, best) FROM (SELECT g.draw, g.taken, arg_min(p.idx, (p.u, p.idx)) AS best FROM rg g JOIN rp p ON p.draw = g.draw
+  WHERE len(g.taken) < (SELECT count(*) FROM shock) AND len(list_filter(g.taken, lambda t: abs(t - p.idx) < 60)) = 0 GROUP BY g.draw, g.taken)"""
+_CTE["rplace"] = "SELECT draw, unnest(taken) AS idx FROM (SELECT draw, arg_max(taken, len(taken)) AS taken FROM rg GROUP BY draw)"
+_CTE["rfield"] = """SELECT s.draw, s.idx AS shock, u::INT AS u, abs(b.r) / a.sigma AS w FROM rplace s JOIN ewma a ON a.idx = s.idx, range(1, 41) g(u)
+  JOIN ewma b ON b.idx = s.idx + u WHERE s.idx + 40 <= (SELECT max(idx) FROM r)"""
+_CTE["rdw"] = "SELECT draw, shock, u, w - avg(w) OVER (PARTITION BY draw, u) AS dw, stddev_samp(w) OVER (PARTITION BY draw, u) AS sd FROM rfield"
+_CTE["rage"] = """SELECT draw, age_bin, lag, avg(rho) AS rho FROM (
+  SELECT a.draw, a.u, lag, avg(a.dw * b.dw) / (max(a.sd) * max(b.sd)) AS rho, CASE WHEN a.u - 1 < 5 THEN 0 WHEN a.u - 1 < 10 THEN 1 WHEN a.u - 1 < 20 THEN 2 WHEN a.u - 1 < 30 THEN 3 END AS age_bin
+  FROM rdw a, sl JOIN rdw b ON b.draw = a.draw AND b.shock = a.shock AND b.u = a.u + lag GROUP BY a.draw, a.u, lag HAVING count(*) >= 5) WHERE age_bin IS NOT NULL GROUP BY 1, 2, 3"""
+_CTE["rtau"] = """SELECT draw, age_bin, CASE WHEN cut IS NULL OR cut > 1 THEN (SELECT sum(rho) FROM rage s WHERE s.draw = c.draw AND s.age_bin = c.age_bin AND (cut IS NULL OR s.lag < cut)) END AS tau
+  FROM (SELECT draw, age_bin, min(lag) FILTER (WHERE rho <= 0) AS cut FROM rage GROUP BY 1, 2) c"""
 
 # phase of day
 _CTE["ph0"] = "SELECT series, idx, day, hour, flow AS e, lead(cum) OVER (ORDER BY idx) - cum AS dp, flow AS raw, 1.0::DOUBLE AS trades, volume FROM (SELECT *, sum(flow) OVER (ORDER BY idx) AS cum FROM ev)"
@@ -254,7 +268,7 @@ for _name, _h in (("h", [_S, _S]), ("b", _DB3)):
     _CTE[f"{_name}dia"] = f"""SELECT 'lineitem' AS series, octave, n, log2(e) - (({_psi('(z + 8)')} - {_steps}) / ln(2) - log2(z)) AS y, ({_psi1('(z + 8)')} + {_steps1}) / ln(2) ** 2 AS var
   FROM (SELECT octave, count(*) AS n, count(*) / 2.0::DOUBLE AS z, avg(d * d) AS e FROM {_name}all GROUP BY octave HAVING count(*) >= 8 AND avg(d * d) > 0)"""
 
-_RECURSIVE = {"ew", "ga", "sh"}
+_RECURSIVE = {"ew", "ga", "sh", "rg"}
 
 
 def _uses(text: str) -> set[str]:
@@ -351,6 +365,8 @@ _FINAL = {
     "ensemble_mean": f"SELECT series, u, {_r('m', 'sd')}, n FROM ens",
     "age_correlation": f"SELECT series, age_bin, lag, {_r('rho')}, n_ages FROM age",
     "age_tau_c": f"SELECT series, age_bin, {_r('tau')} FROM atau",
+    "random_event_places": "SELECT 'lineitem' AS series, draw, idx FROM rplace",
+    "random_event_null": f"SELECT 'lineitem' AS series, draw, {_r('corr(a, b) AS spearman')}, count(*) AS n FROM (SELECT draw, rank() OVER (PARTITION BY draw ORDER BY age_bin) AS a, rank() OVER (PARTITION BY draw ORDER BY tau) AS b FROM rtau WHERE tau IS NOT NULL) GROUP BY draw",
     "spearman_age": f"SELECT series, {_r('corr(a, b) AS spearman')}, count(*) AS n FROM (SELECT series, rank() OVER (ORDER BY age_bin) AS a, rank() OVER (ORDER BY tau) AS b FROM atau WHERE tau IS NOT NULL) GROUP BY series",
     "bootstrap_ensemble": f"SELECT 'lineitem' AS series, draw, u, {_r('sum(w * weight) / sum(weight) AS m')} FROM field JOIN bs USING (shock) GROUP BY draw, u",
     "phase_observables": f"SELECT series, bin::INT AS bin, hours, n, {_r('bias', 'se_bias', 'activity', 'a1', 'se_a1', 'r1', 'f1')} FROM obs",

@@ -46,14 +46,15 @@ def _descend(counts: DataFrame, keys: Sequence[str], digit: str, wanted: DataFra
     return found.withColumns({"rank": F.col("_r.rank"), "rest": F.col("_r.rest") - F.col("_before")}).drop("_before", "_ranks", "_r", "n")
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: Column, probs: Sequence[float], out: str = "q", local: int = LOCAL_VALUES) -> DataFrame:
+def quantiles(df: DataFrame, keys: Sequence[str], value: Column, probs: Sequence[float], out: str = "q", local: int = LOCAL_VALUES, most: int | None = None) -> DataFrame:
     """keys, ``out`` (an array, one entry for each of ``probs``), ``out``_n (values counted): linear interpolation between order statistics.
 
     Missing and non-finite values don't count; keys (no nulls) without values have no row. Equal bit by bit to ``percentile``.
+    ``most`` is a number of values that no key exceeds, where the caller knows one; else they are counted.
     """
     keys = list(keys)
     x = df.select(*keys, finite(value.cast("double")).alias("_x")).where("_x IS NOT NULL")
-    if x.groupBy(*keys).count().where(F.col("count") > local).isEmpty():
+    if most is not None and most <= local or x.groupBy(*keys).count().where(F.col("count") > local).isEmpty():
         return x.groupBy(*keys).agg(F.percentile("_x", [float(p) for p in probs]).alias(out), F.count("*").alias(f"{out}_n"))
     x = x.withColumn("_bits", ordered_bits(F.col("_x")))
     low = (1 << DIGIT) - 1

@@ -110,12 +110,11 @@ def additive_observables(m: DataFrame, keys: Sequence[str], n_bins: int = 8, lea
     )
 
 
-def phase_affinity(d: DataFrame, keys: Sequence[str], n_bins: int = 8, least: int = MIN_PER_BIN) -> DataFrame:
-    """keys, bin, a1: the affinity of each bin's flow, whose value bins depend on the draw, so it is counted from rows."""
+def phase_affinity(d: DataFrame, keys: Sequence[str], n_bins: int = 8, most: int | None = None) -> DataFrame:
+    """keys, bin, a1: the affinity of each bin's flow, whose value bins depend on the draw, so it is counted from rows (``most`` at most in a bin, if known)."""
     rows = d.where("e IS NOT NULL AND dp IS NOT NULL").select(*keys, phase_bin(F.col("hour"), n_bins).alias("phase"), F.col("e").alias("q")).where("phase IS NOT NULL")
-    enough = rows.groupBy(*keys, "phase").agg(F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
-    fit = fit_affinity(symmetry_function(rows, [*keys, "phase"]), [*keys, "phase"])
-    return fit.join(enough, [*keys, "phase"], "left_semi").select(*keys, F.col("phase").alias("bin"), F.col("a").alias("a1"))
+    fit = fit_affinity(symmetry_function(rows, [*keys, "phase"], most=most), [*keys, "phase"])
+    return fit.select(*keys, F.col("phase").alias("bin"), F.col("a").alias("a1"))
 
 
 def rotation_null(d: DataFrame, draws: int, seed: int, n_bins: int = 8, least: int = MIN_PER_BIN) -> DataFrame:
@@ -124,10 +123,11 @@ def rotation_null(d: DataFrame, draws: int, seed: int, n_bins: int = 8, least: i
     All but a1 follow from sums by day and hour, so that draws turn those and not the rows.
     """
     keys = ["series", "draw"]
+    most = d.groupBy("series").count().agg(F.max("count")).first()[0] or 0  # a draw has the rows of its series
     sums = additive_observables(rotate_days(hour_moments(d), draws, seed), keys, n_bins, least)
     turned = rotate_days(d.select("series", "day", "hour", "e", "dp"), draws, seed)
-    both = sums.join(phase_affinity(turned, keys, n_bins, least), [*keys, "bin"], "left")
-    return modulation(both, keys)
+    both = sums.join(phase_affinity(turned, keys, n_bins, most), [*keys, "bin"], "left")
+    return modulation(both.withColumn("a1", F.when(F.col("n") >= least, F.col("a1"))), keys)
 
 
 def empirical_p(table: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

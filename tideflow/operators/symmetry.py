@@ -11,13 +11,16 @@ from tideflow.functions.quantiles import quantiles
 from tideflow.functions.scalar import ratio
 
 
-def symmetry_function(q: DataFrame, keys: Sequence[str], n_bins: int = 15, quantile: float = 0.99, min_count: int = 10) -> DataFrame:
-    """keys, bin, centre, s, se of column ``q``: bins (lo, hi] of |q| up to its quantile, kept with enough counts of both signs."""
+def symmetry_function(q: DataFrame, keys: Sequence[str], n_bins: int = 15, quantile: float = 0.99, min_count: int = 10, most: int | None = None) -> DataFrame:
+    """keys, bin, centre, s, se of column ``q``: bins (lo, hi] of |q| up to its quantile, kept with enough counts of both signs.
+
+    ``most``: a number of rows that no key exceeds, if known.
+    """
     keys = list(keys)
     if "bin" in keys:
         raise ValueError("'bin' is a column of the result")
     q = q.where("q IS NOT NULL")
-    top = quantiles(q, keys, F.abs("q"), [quantile], "_q").where(F.col("_q_n") >= 4 * min_count).select(*keys, F.col("_q")[0].alias("top"))
+    top = quantiles(q, keys, F.abs("q"), [quantile], "_q", most=most).where(F.col("_q_n") >= 4 * min_count).select(*keys, F.col("_q")[0].alias("top"))
     d = q.join(top.where("top > 0"), keys)
     width, a = F.col("top") / n_bins, F.abs("q")
     guess = F.ceil(a / width)

@@ -184,6 +184,9 @@ _CTE["rage"] = """SELECT draw, age_bin, lag, avg(rho) AS rho FROM (
   FROM rdw a, sl JOIN rdw b ON b.draw = a.draw AND b.shock = a.shock AND b.u = a.u + lag GROUP BY a.draw, a.u, lag HAVING count(*) >= 5) WHERE age_bin IS NOT NULL GROUP BY 1, 2, 3"""
 _CTE["rtau"] = """SELECT draw, age_bin, CASE WHEN cut IS NULL OR cut > 1 THEN (SELECT sum(rho) FROM rage s WHERE s.draw = c.draw AND s.age_bin = c.age_bin AND (cut IS NULL OR s.lag < cut)) END AS tau
   FROM (SELECT draw, age_bin, min(lag) FILTER (WHERE rho <= 0) AS cut FROM rage GROUP BY 1, 2) c"""
+_CTE["rnull"] = """SELECT draw, corr(a, b) AS spearman, count(*) AS n FROM (SELECT draw, rank() OVER (PARTITION BY draw ORDER BY age_bin) AS a, rank() OVER (PARTITION BY draw ORDER BY tau) AS b
+  FROM rtau WHERE tau IS NOT NULL) GROUP BY draw"""
+_CTE["seen"] = "SELECT corr(a, b) AS spearman FROM (SELECT rank() OVER (ORDER BY age_bin) AS a, rank() OVER (ORDER BY tau) AS b FROM atau WHERE tau IS NOT NULL)"
 
 # phase of day
 _CTE["ph0"] = "SELECT series, idx, day, hour, flow AS e, lead(cum) OVER (ORDER BY idx) - cum AS dp, flow AS raw, 1.0::DOUBLE AS trades, volume FROM (SELECT *, sum(flow) OVER (ORDER BY idx) AS cum FROM ev)"
@@ -366,7 +369,9 @@ _FINAL = {
     "age_correlation": f"SELECT series, age_bin, lag, {_r('rho')}, n_ages FROM age",
     "age_tau_c": f"SELECT series, age_bin, {_r('tau')} FROM atau",
     "random_event_places": "SELECT 'lineitem' AS series, draw, idx FROM rplace",
-    "random_event_null": f"SELECT 'lineitem' AS series, draw, {_r('corr(a, b) AS spearman')}, count(*) AS n FROM (SELECT draw, rank() OVER (PARTITION BY draw ORDER BY age_bin) AS a, rank() OVER (PARTITION BY draw ORDER BY tau) AS b FROM rtau WHERE tau IS NOT NULL) GROUP BY draw",
+    "random_event_null": f"SELECT 'lineitem' AS series, draw, {_r('spearman')}, n FROM rnull",
+    "ageing_verdict": f"""SELECT 'lineitem' AS series, {_r('observed', '"limit"')}, coalesce(observed > "limit", false) AS verdict
+  FROM (SELECT (SELECT spearman FROM seen) AS observed, quantile_cont(round(spearman, 6), 0.975) AS "limit" FROM rnull)""",
     "spearman_age": f"SELECT series, {_r('corr(a, b) AS spearman')}, count(*) AS n FROM (SELECT series, rank() OVER (ORDER BY age_bin) AS a, rank() OVER (ORDER BY tau) AS b FROM atau WHERE tau IS NOT NULL) GROUP BY series",
     "bootstrap_ensemble": f"SELECT 'lineitem' AS series, draw, u, {_r('sum(w * weight) / sum(weight) AS m')} FROM field JOIN bs USING (shock) GROUP BY draw, u",
     "phase_observables": f"SELECT series, bin::INT AS bin, hours, n, {_r('bias', 'se_bias', 'activity', 'a1', 'se_a1', 'r1', 'f1')} FROM obs",

@@ -11,11 +11,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideflow.functions.fourier import correlations
 from tideflow.functions.scalar import finite, log, ratio
 from tideflow.functions.series import BLOCK, blocks, in_block
 from tideflow.functions.stats import grid, ols
 
 MIN_PAIRS = 30
+#: Up to so many lags, sums of products are taken one by one.
+DIRECT_LAGS = 64
 
 
 def _by_lag(df: DataFrame, keys: Sequence[str], lags: int, columns: Sequence[str]) -> DataFrame:
@@ -48,15 +51,27 @@ def flow_autocorrelation(df: DataFrame, max_lag: int = 60, value: str = "e", blo
     return _by_lag(agg, ["series", "_v"], max_lag, ["y", "pairs"]).select("series", "lag", F.when(ok, ratio(F.col("y"), F.col("_v"))).alias("c"), "pairs")
 
 
-def correlation_sums(df: DataFrame, a: str, b: str, max_lag: int, block: int = BLOCK) -> DataFrame:
-    """series, lag, s: the plain sums of a[t] * b[t + lag], lag = 0..max_lag."""
-    d = blocks(df.select("series", "idx", finite(F.col(a)).alias("a"), finite(F.col(b)).alias("b")), after=max_lag, block=block)
+def correlation_sums(df: DataFrame, a: str, b: str, max_lag: int | None = None, block: int = BLOCK) -> DataFrame:
+    """series, lag, s, pairs: the plain sums of a[t] * b[t + lag] over pairs without missing values, lag = 0..max_lag (n - 1 of each series by default).
+
+    s is NULL without pairs. Up to DIRECT_LAGS lags are summed from products; more come from transforms, n log n in all.
+    """
+    d = df.select("series", "idx", finite(F.col(a)).alias("a"), finite(F.col(b)).alias("b"))
+    if max_lag is None or max_lag > DIRECT_LAGS:
+        return correlations(d, "a", "b", max_lag)
+    d = blocks(d, after=max_lag, block=block)
     prod = d.select("series", "_home", *[(F.col("a") * (F.lead("b", k).over(in_block()) if k else F.col("b"))).alias(f"s_{k}") for k in range(max_lag + 1)]).where("_home")
-    sums = prod.groupBy("series").agg(*[F.sum(f"s_{k}").alias(f"s_{k}") for k in range(max_lag + 1)])
-    rows = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"s_{k}").alias("s")) for k in range(max_lag + 1)])
+    sums = prod.groupBy("series").agg(*[f(f"s_{k}").alias(f"{n}_{k}") for k in range(max_lag + 1) for f, n in ((F.sum, "s"), (F.count, "pairs"))])
+    rows = F.array(*[F.struct(F.lit(k).cast("long").alias("lag"), F.col(f"s_{k}").alias("s"), F.col(f"pairs_{k}").alias("pairs")) for k in range(max_lag + 1)])
     return sums.select("series", F.explode(rows).alias("_r")).select("series", "_r.*")
 
 
+def pooled_correlation(sums: DataFrame) -> DataFrame:
+    """lag, c, pairs: the mean product at each lag over the pairs of all series together, from ``correlation_sums``."""
+    s = sums.groupBy("lag").agg(F.sum("s").alias("s"), F.sum("pairs").alias("pairs"))
+    return s.select("lag", F.when(F.col("pairs") > 0, F.col("s") / F.col("pairs")).alias("c"), "pairs")
+
+
 def effective_temperature(r: DataFrame, c: DataFrame, keys: Sequence[str] = ("series",)) -> DataFrame:
     """keys, lag, r, c, t_eff = -dC/dlag / R, by central differences, one-sided at the ends; needs |R| > 1e-12 and 3 lags."""
     keys = list(keys)

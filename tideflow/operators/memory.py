@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideflow.functions.fourier import lowest
 from tideflow.functions.scalar import log, ratio
 from tideflow.functions.series import BLOCK, running_sum, whole
 from tideflow.functions.stats import grid, ols
@@ -17,13 +18,11 @@ from tideflow.operators.flow import compact
 def log_periodogram(df: DataFrame, power: float = 0.5, value: str = "x") -> DataFrame:
     """series, k, omega, i: the periodogram at the lowest n^power Fourier frequencies, with the mean taken out.
 
-    Every value meets every frequency once, and the sums combine before the shuffle: n^(1 + power) products.
+    Done by transforms of n log n products (``functions/fourier.py``), so neither n nor the number of frequencies is bounded by a task.
     """
     x = whole(compact(df.select("series", "idx", value), value), n=F.count("*"), m=F.avg(value))
-    k = F.explode(F.sequence(F.lit(1).cast("long"), F.floor(F.pow(F.col("n").cast("double"), F.lit(power)))))
-    x = x.select("series", "n", "idx", (F.col(value) - F.col("m")).alias("c"), k.alias("k"))
-    angle = 2 * math.pi * ((F.col("k") * F.col("idx")) % F.col("n")) / F.col("n")
-    s = x.groupBy("series", "n", "k").agg(F.sum(F.col("c") * F.cos(angle)).alias("re"), F.sum(F.col("c") * F.sin(angle)).alias("im"))
+    top = F.floor(F.pow(F.col("n").cast("double"), F.lit(power)))
+    s = lowest(x.select("series", "n", "idx", (F.col(value) - F.col("m")).alias("c")), "c", top)
     i = (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / (2 * math.pi * F.col("n"))
     return s.select("series", "k", (2 * math.pi * F.col("k") / F.col("n")).alias("omega"), i.alias("i"))
 

@@ -662,6 +662,23 @@ def gamma_gph(spark, d):
     return memory.gamma_gph(_x(spark, d))
 
 
+def _flow_sums(spark, d):
+    x = _x(spark, d).unionByName(flow.imbalance(_eh(spark, d)))
+    return cut(lagcorr.correlation_sums(x, "x", "x"))
+
+
+@_query
+def correlation_sums(spark, d):
+    """Mean products of the flow with itself at every lag that a series has."""
+    s = _flow_sums(spark, d)
+    return s.select("series", "lag", F.when(F.col("pairs") > 0, F.col("s") / F.col("pairs")).alias("c"), "pairs")
+
+
+@_query
+def pooled_correlation(spark, d):
+    return lagcorr.pooled_correlation(_flow_sums(spark, d))
+
+
 @_query
 def fluctuation(spark, d):
     return memory.fluctuation(_x(spark, d), SCALES)

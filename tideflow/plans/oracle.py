@@ -235,6 +235,8 @@ def _null_slopes(table: str) -> str:
 _CTE["pslope"] = _null_slopes("perm")
 _CTE["pc"] = "SELECT draw, idx, x - avg(x) OVER (PARTITION BY draw) AS c, var_pop(x) OVER (PARTITION BY draw) AS v FROM perm"
 _CTE["cells"] = "SELECT a.draw, lag::VARCHAR AS cell, round(avg(a.c * b.c) / max(a.v), 9) AS stat FROM pc a, lags JOIN pc b ON b.draw = a.draw AND b.idx = a.idx + lag WHERE lag <= 5 GROUP BY a.draw, lag"
+_CTE["xx"] = f"SELECT series, idx, x FROM x UNION ALL SELECT series, idx, {_IMB} FROM eh"
+_CTE["csum"] = "SELECT series, b.idx - a.idx AS lag, sum(a.x * b.x) AS s, count(a.x * b.x) AS pairs FROM xx a JOIN xx b USING (series) WHERE b.idx >= a.idx GROUP BY 1, 2"
 _CTE["tops"] = "SELECT draw, max(stat) AS t FROM cells WHERE draw > 0 GROUP BY draw"
 _CTE["xd"] = "SELECT series, idx, x + 1.0 * (idx / (SELECT max(idx) FROM x)::DOUBLE) AS x FROM x"
 
@@ -394,6 +396,8 @@ _FINAL = {
       SELECT regr_slope(y, g) AS b, sqrt(greatest(regr_syy(y, g) - regr_sxy(y, g) ** 2 / regr_sxx(y, g), 0) / ((count(*) - 2) * regr_sxx(y, g))) AS se, count(*) AS n FROM (
         SELECT ln((sum(c * cos(w)) ** 2 + sum(c * sin(w)) ** 2) / (2 * pi() * any_value(n))) AS y, ln(4 * sin(pi() * k / any_value(n)) ** 2) AS g FROM (
           SELECT k, n, c, 2 * pi() * ((k * idx) % n) / n AS w FROM (SELECT idx, x - avg(x) OVER () AS c, count(*) OVER () AS n FROM x) z, range(1, 200) r(k) WHERE k <= floor(sqrt(n))) GROUP BY k))""",
+    "correlation_sums": f"SELECT series, lag, {_r('s / pairs AS c')}, pairs FROM csum",
+    "pooled_correlation": f"SELECT lag, {_r('sum(s) / sum(pairs) AS c')}, sum(pairs)::BIGINT AS pairs FROM csum GROUP BY lag",
     "fluctuation": f"SELECT 'lineitem' AS series, T, boxes, {_r('f2')} FROM dfa",
     "gamma_dfa": f"""SELECT 'lineitem' AS series, {_r('b AS hurst', '2 - 2 * b AS gamma', '2 * se AS se')}, n FROM (
       SELECT regr_slope(y, g) AS b, sqrt(greatest(regr_syy(y, g) - regr_sxy(y, g) ** 2 / regr_sxx(y, g), 0) / ((count(*) - 2) * regr_sxx(y, g))) AS se, count(*) AS n FROM (SELECT ln(f2) / 2 AS y, ln(T) AS g FROM dfa))""",

@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideflow.functions.scalar import draw_int, draw_key, finite
+from tideflow.functions.bijection import place, place_keys
+from tideflow.functions.scalar import draw_int, finite
 from tideflow.functions.series import BLOCK, blocks, cut, in_block, number
 from tideflow.operators.blocks import nu_blocks
 
@@ -28,12 +29,15 @@ def sign_flip(df: DataFrame, draws: int, seed: int, value: str = "x") -> DataFra
 
 
 def permutation(df: DataFrame, draws: int, seed: int, value: str = "x") -> DataFrame:
-    """series, draw, idx, x: values in random order; keeps the marginal, kills memory."""
-    key = F.when(F.col("draw") == 0, F.lpad(F.hex("idx"), 16, "0")).otherwise(draw_key(F.lit(seed), F.col("draw"), F.col("idx")))
-    d = _draws(df.select("series", "idx", finite(F.col(value)).alias("x")), draws).withColumn("_key", key)
-    # keys are spread evenly over their first digits; those of draw 0 are places, cut into blocks
-    bucket = F.when(F.col("draw") == 0, F.substring("_key", 1, 12)).otherwise(F.substring("_key", 1, 3))
-    return number(d, ["series", "draw"], bucket, [F.col("_key"), F.col("idx")], "_row").select("series", "draw", F.col("_row").alias("idx"), "x")
+    """series, draw, idx, x: values in random order; keeps the marginal, kills memory.
+
+    A row's place follows from (seed, series, draw, idx) by a keyed bijection of the series' places, so nothing is sorted or
+    numbered; rows must be numbered from 0. Where places have no row, the places of the result have none either.
+    """
+    d = df.select("series", "idx", finite(F.col(value)).alias("x"))
+    sizes = _draws(d.groupBy("series").agg((F.max("idx") + 1).alias("n")), draws)
+    keyed = place_keys(sizes, [F.lit(seed), F.col("series"), F.col("draw")])
+    return d.join(keyed, "series").select("series", "draw", F.when(F.col("draw") == 0, F.col("idx")).otherwise(place(F.col("idx"))).alias("idx"), "x")
 
 
 def as_series(drawn: DataFrame) -> DataFrame:

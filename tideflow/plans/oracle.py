@@ -224,7 +224,16 @@ _CTE["dfa"] = """SELECT T, count(*) AS boxes, avg(r) AS f2 FROM (
 
 # nulls
 _CTE["flip"] = f"SELECT draw, idx, CASE WHEN draw = 0 THEN x WHEN {_U32.format(k="'7:' || draw || ':' || idx")} % 2 = 0 THEN abs(x) ELSE -abs(x) END AS x FROM x, range(0, 21) g(draw)"
-_CTE["perm"] = "SELECT draw, row_number() OVER (PARTITION BY draw ORDER BY CASE WHEN draw = 0 THEN lpad(idx::VARCHAR, 20, '0') ELSE md5('7:' || draw || ':' || idx) END, idx) - 1 AS idx, x FROM x, range(0, 21) g(draw)"
+# random order: halves of a number turn six times, numbers that leave the series go on
+_CTE["pn"] = "SELECT n, a, ceil(n / a)::BIGINT AS b FROM (SELECT n, ceil(sqrt(n))::BIGINT AS a FROM (SELECT max(idx) + 1 AS n FROM x))"
+_CTE["pkey"] = f"SELECT draw, round, {_U32.format(k="'7:lineitem:' || draw || ':' || round")} AS key FROM range(1, 21) g(draw), range(0, 6) h(round)"
+_HASH = "((r * 1664525 + key) & 4294967295)"
+_HASH = f"((xor({_HASH}, {_HASH} >> 15) * 1103515245) & 4294967295)"
+_HASH = f"xor({_HASH}, {_HASH} >> 16)"
+_CTE["pwalk"] = f"""SELECT draw, idx, 0 AS round, idx % a AS l, idx // a AS r FROM x, pn, range(1, 21) g(draw) UNION ALL
+  SELECT w.draw, idx, CASE WHEN w.round = 6 THEN 1 ELSE w.round + 1 END, r, (l + {_HASH}) % CASE WHEN w.round % 2 = 0 THEN a ELSE b END
+  FROM pwalk w JOIN pkey k ON k.draw = w.draw AND k.round = w.round % 6, pn WHERE w.round < 6 OR r * a + l >= n"""
+_CTE["perm"] = """SELECT 0::BIGINT AS draw, idx, x FROM x UNION ALL SELECT draw, r * a + l, x FROM pwalk JOIN x USING (idx), pn WHERE round = 6 AND r * a + l < n"""
 
 
 def _null_slopes(table: str) -> str:
@@ -273,7 +282,7 @@ for _name, _h in (("h", [_S, _S]), ("b", _DB3)):
     _CTE[f"{_name}dia"] = f"""SELECT 'lineitem' AS series, octave, n, log2(e) - (({_psi('(z + 8)')} - {_steps}) / ln(2) - log2(z)) AS y, ({_psi1('(z + 8)')} + {_steps1}) / ln(2) ** 2 AS var
   FROM (SELECT octave, count(*) AS n, count(*) / 2.0::DOUBLE AS z, avg(d * d) AS e FROM {_name}all GROUP BY octave HAVING count(*) >= 8 AND avg(d * d) > 0)"""
 
-_RECURSIVE = {"ew", "ga", "sh", "rg"}
+_RECURSIVE = {"ew", "ga", "sh", "rg", "pwalk"}
 
 
 def _uses(text: str) -> set[str]:

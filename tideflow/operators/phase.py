@@ -143,3 +143,35 @@ def gaussian_transfer(d: DataFrame, n_bins: int = 8, least: int = MIN_PER_BIN) -
     s = d.withColumn("bin", phase_bin(F.col("hour"), n_bins)).where("e IS NOT NULL AND dp IS NOT NULL AND bin IS NOT NULL").groupBy("series", "bin").agg(F.avg("e").alias("m"), F.var_samp("e").alias("v"))
     o = observables(d, ["series"], n_bins, least)
     return o.join(s, ["series", "bin"]).select("series", "bin", ratio(F.col("a1") - ratio(2 * F.col("m"), F.col("v")), F.col("se_a1")).alias("z"))
+
+
+def matched_response(d: DataFrame, n_bins: int = 8, low: float = 0.1, high: float = 0.9, least: int = MIN_PER_BIN) -> DataFrame:
+    """series, bin, n, r1, n_matched, activity, r1_matched: R(1) over all of a bin's rows, and over those whose trades all bins share.
+
+    The band goes from the largest of the bins' ``low`` quantiles of trades to the smallest of their ``high`` ones, so that activity
+    is matched across bins; ``activity`` is its mean there. Values of fewer than ``least`` rows are NULL, as are all matched ones where the
+    bins share nothing. d: as of ``prepare``.
+    """
+    d = d.withColumn("bin", phase_bin(F.col("hour"), n_bins)).where("e IS NOT NULL AND dp IS NOT NULL AND bin IS NOT NULL AND trades > 0").select("series", "bin", "e", "dp", "trades")
+    q = quantiles(d, ["series", "bin"], F.col("trades"), [low, high])
+    band = q.groupBy("series").agg(F.max(F.col("q")[0]).alias("_lo"), F.min(F.col("q")[1]).alias("_hi"))
+    here = F.col("trades").between(F.col("_lo"), F.col("_hi"))
+    s = d.join(band, "series").withColumn("_dp", F.when(here, F.col("dp"))).groupBy("series", "bin").agg(
+        F.count("*").alias("n"), F.regr_slope("dp", "e").alias("r1"), F.count("_dp").alias("n_matched"), F.avg(F.when(here, F.col("trades"))).alias("activity"), F.regr_slope("_dp", "e").alias("r1_matched"),
+    )
+    ok = lambda x, n: F.when(F.col(n) >= least, F.col(x)).alias(x)
+    return s.select("series", "bin", "n", ok("r1", "n"), "n_matched", ok("activity", "n_matched"), ok("r1_matched", "n_matched"))
+
+
+def response_spread(matched: DataFrame) -> DataFrame:
+    """series, bins, spread, ratio, spread_matched, ratio_matched: the largest R(1) of the bins less the smallest, and over it where that is positive.
+
+    Only bins with both values count; from 3 on.
+    """
+    both = matched.where("r1 IS NOT NULL AND r1_matched IS NOT NULL").groupBy("series").agg(F.count("*").alias("bins"), *[f(c).alias(f"{n}_{c}") for c in ("r1", "r1_matched") for f, n in ((F.max, "hi"), (F.min, "lo"))])
+    enough = F.col("bins") >= 3
+    parts = []
+    for c, end in (("r1", ""), ("r1_matched", "_matched")):
+        hi, lo = F.col(f"hi_{c}"), F.col(f"lo_{c}")
+        parts += [F.when(enough, hi - lo).alias(f"spread{end}"), F.when(enough & (lo > 0), ratio(hi, lo)).alias(f"ratio{end}")]
+    return both.select("series", "bins", *parts)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tideflow.functions.scalar import volatility_field
 from tideflow.functions.series import cut
-from tideflow.operators import blocks, evaluation, events, fits, flow, garch, lagcorr, memory, nulls, phase, surface, symmetry, vol, wavelet
+from tideflow.operators import blocks, evaluation, events, fits, flow, garch, kernel, lagcorr, memory, nulls, phase, surface, symmetry, vol, wavelet
 from tideflow.plans import oracle
 from tideflow.sources import bars
 
@@ -25,6 +25,7 @@ SHOCKS = {"quantile": 0.97, "after": 60, "before": 50}
 DISTANCE, U_MAX = 60, 40
 AGE_EDGES, AGE_LAGS = (0, 5, 10, 20, 30), 10
 DRAWS, SEED = 20, 7
+HOURLY_LEAST = 50
 SCALES = (8, 16, 32, 64, 128)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -609,6 +610,28 @@ def gaussian_transfer(spark, d):
     return phase.gaussian_transfer(_phase(spark, d))
 
 
+def _hourly_phase(spark, d):
+    """Hourly bars, whose numbers of trades differ."""
+    raw = 2 * F.col("tb_base") - F.col("volume")
+    e = _eh(spark, d).join(flow.price_and_flow(_eh(spark, d)), ["series", "idx"])
+    return cut(phase.prepare(e.select("series", "idx", F.to_date("ts").alias("day"), F.hour("ts").alias("hour"), "e", "p", raw.alias("raw"), "volume", "trades")))
+
+
+@_query
+def phase_observables_hourly(spark, d):
+    return phase.observables(_hourly_phase(spark, d), ["series"], 8, HOURLY_LEAST)
+
+
+@_query
+def phase_matched_response(spark, d):
+    return phase.matched_response(_hourly_phase(spark, d), least=HOURLY_LEAST)
+
+
+@_query
+def phase_matched_spread(spark, d):
+    return phase.response_spread(phase.matched_response(_hourly_phase(spark, d), least=HOURLY_LEAST))
+
+
 # nulls
 
 
@@ -662,6 +685,20 @@ def gamma_gph(spark, d):
     return memory.gamma_gph(_x(spark, d))
 
 
+def _two_component(spark, d):
+    return cut(kernel.two_component(_acf(spark, d)))
+
+
+@_query
+def two_component_kernel(spark, d):
+    return _two_component(spark, d)
+
+
+@_query
+def kernel_temperature(spark, d):
+    return kernel.kernel_temperature(_two_component(spark, d), _resp(spark, d))
+
+
 def _flow_sums(spark, d):
     x = _x(spark, d).unionByName(flow.imbalance(_eh(spark, d)))
     return cut(lagcorr.correlation_sums(x, "x", "x"))

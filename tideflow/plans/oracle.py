@@ -195,11 +195,11 @@ _CTE["phl"] = "SELECT quantile_cont(abs(dp), 0.995) AS ld, quantile_cont(abs(raw
 _CTE["ph"] = "SELECT series, idx, day, hour, e, greatest(least(dp, ld), -ld) AS dp, greatest(least(raw, lr), -lr) AS raw, trades, q_bar FROM ph1, phl"
 
 
-def _observables(table: str, keys: str) -> tuple[str, str, str]:
+def _observables(table: str, keys: str, least: int = 500) -> tuple[str, str, str]:
     sym = _symmetry(f"(SELECT {keys}, hour // 3 AS bin8, e AS q FROM {table})", f"{keys}, bin8", 10)
     fit = _affinity(f"({sym})", f"{keys}, bin8")
-    obs = f"""SELECT {keys}, o.bin8 AS bin, printf('%02d-%02d', o.bin8 * 3, o.bin8 * 3 + 3) AS hours, n, CASE WHEN n >= 500 THEN m END AS bias, CASE WHEN n >= 500 THEN sd / sqrt(n) END AS se_bias,
-  CASE WHEN n >= 500 THEN act END AS activity, CASE WHEN n >= 500 THEN a END AS a1, CASE WHEN n >= 500 THEN se_a END AS se_a1, CASE WHEN n >= 500 THEN r1 END AS r1, CASE WHEN n >= 500 THEN f1 END AS f1 FROM (
+    obs = f"""SELECT {keys}, o.bin8 AS bin, printf('%02d-%02d', o.bin8 * 3, o.bin8 * 3 + 3) AS hours, n, CASE WHEN n >= {least} THEN m END AS bias, CASE WHEN n >= {least} THEN sd / sqrt(n) END AS se_bias,
+  CASE WHEN n >= {least} THEN act END AS activity, CASE WHEN n >= {least} THEN a END AS a1, CASE WHEN n >= {least} THEN se_a END AS se_a1, CASE WHEN n >= {least} THEN r1 END AS r1, CASE WHEN n >= {least} THEN f1 END AS f1 FROM (
   SELECT {keys}, bin8, count(*) AS n, avg(e) AS m, stddev_samp(e) AS sd, var_samp(e) AS ve, avg(trades) AS act, avg(dp * (e - em)) / avg((e - em) ** 2) AS r1, var_samp(raw) / (max(q_bar) ** 2 * avg(trades)) AS f1
   FROM (SELECT *, hour // 3 AS bin8, avg(e) OVER (PARTITION BY {keys}, hour // 3) AS em FROM {table}) GROUP BY {keys}, bin8) o LEFT JOIN ({fit}) USING ({keys}, bin8)"""
     return sym, fit, obs
@@ -210,6 +210,17 @@ _MOD = "SELECT {k}, 'bias' AS observable, CASE WHEN count(bias) >= 3 THEN var_po
     f" UNION ALL SELECT {{k}}, '{o}', CASE WHEN count({o}) >= 3 THEN var_pop({o}) END FROM {{t}} GROUP BY {{k}}" for o in ("activity", "a1", "r1", "f1")
 )
 _CTE["mod"] = _MOD.format(k="series", t="obs")
+_CTE["hp0"] = f"""SELECT series, idx, hour(ts) AS hour, ts::DATE AS day, e, lead(p) OVER (ORDER BY idx) - p AS dp, raw, trades, volume, lead(idx) OVER (ORDER BY idx) AS nxt
+  FROM (SELECT *, {_IMB} AS e, CASE WHEN open > 0 THEN ln(open) END AS p, 2 * tb_base - volume AS raw FROM eh)"""
+_CTE["hp1"] = "SELECT * FROM hp0 WHERE nxt IS NOT NULL"
+_CTE["hpl"] = "SELECT quantile_cont(trades, 0.99) AS lt, quantile_cont(abs(dp), 0.995) AS ld, quantile_cont(abs(raw), 0.99) AS lr, quantile_cont(volume / trades, 0.5) AS q_bar FROM hp1"
+_CTE["hp"] = "SELECT series, idx, day, hour, e, greatest(least(dp, ld), -ld) AS dp, greatest(least(raw, lr), -lr) AS raw, least(trades, lt) AS trades, q_bar FROM hp1, hpl"
+_CTE["hobs"] = _observables("hp", "series", 50)[2]
+_CTE["hb"] = "SELECT *, hour // 3 AS bin FROM hp WHERE e IS NOT NULL AND dp IS NOT NULL"
+_CTE["hband"] = "SELECT max(lo) AS lo, min(hi) AS hi FROM (SELECT quantile_cont(trades, 0.1) AS lo, quantile_cont(trades, 0.9) AS hi FROM hb GROUP BY bin)"
+_CTE["hm0"] = """SELECT series, bin, count(*) AS n, regr_slope(dp, e) AS r1, count(*) FILTER (WHERE trades BETWEEN lo AND hi) AS n_matched, avg(trades) FILTER (WHERE trades BETWEEN lo AND hi) AS activity,
+  regr_slope(dp, e) FILTER (WHERE trades BETWEEN lo AND hi) AS r1_matched FROM hb, hband GROUP BY 1, 2"""
+_CTE["hm"] = "SELECT series, bin, n, CASE WHEN n >= 50 THEN r1 END AS r1, n_matched, CASE WHEN n_matched >= 50 THEN activity END AS activity, CASE WHEN n_matched >= 50 THEN r1_matched END AS r1_matched FROM hm0"
 _CTE["rot"] = f"""SELECT series, draw, e, dp, raw, trades, q_bar, (hour + CASE WHEN draw = 0 THEN 0 ELSE {_U32.format(k="'7:' || draw || ':' || strftime(day, '%Y-%m-%d')")} % 24 END) % 24 AS hour
   FROM ph, range(0, 21) g(draw)"""
 _CTE["robs"] = _observables("rot", "series, draw")[2]
@@ -246,6 +257,19 @@ _CTE["pc"] = "SELECT draw, idx, x - avg(x) OVER (PARTITION BY draw) AS c, var_po
 _CTE["cells"] = "SELECT a.draw, lag::VARCHAR AS cell, round(avg(a.c * b.c) / max(a.v), 9) AS stat FROM pc a, lags JOIN pc b ON b.draw = a.draw AND b.idx = a.idx + lag WHERE lag <= 5 GROUP BY a.draw, lag"
 _CTE["xx"] = f"SELECT series, idx, x FROM x UNION ALL SELECT series, idx, {_IMB} FROM eh"
 _CTE["csum"] = "SELECT series, b.idx - a.idx AS lag, sum(a.x * b.x) AS s, count(a.x * b.x) AS pairs FROM xx a JOIN xx b USING (series) WHERE b.idx >= a.idx GROUP BY 1, 2"
+_CTE["kc"] = "SELECT lag::DOUBLE AS lag, c FROM acf WHERE c IS NOT NULL"
+
+
+def _kernel_best(pairs: str) -> str:
+    return f"""SELECT f, s, n, af, asl, rest, total FROM (SELECT *, cc - af * xc - asl * yc AS rest, cc - sc * sc / n AS total FROM (
+      SELECT *, (xc * yy - yc * xy) / (xx * yy - xy * xy) AS af, (yc * xx - xc * xy) / (xx * yy - xy * xy) AS asl FROM (
+      SELECT f, s, count(*) AS n, sum(x * x) AS xx, sum(x * y) AS xy, sum(y * y) AS yy, sum(x * c) AS xc, sum(y * c) AS yc, sum(c * c) AS cc, sum(c) AS sc
+      FROM (SELECT f, s, c, lag ** (-f / 1250.0::DOUBLE) AS x, lag ** (-s / 1250.0::DOUBLE) AS y FROM kc, ({pairs})) GROUP BY f, s HAVING count(*) >= 6))) WHERE isfinite(rest) ORDER BY rest, f, s LIMIT 1"""
+
+
+_CTE["k0"] = _kernel_best("SELECT f.u * 125 AS f, s.u * 125 AS s FROM range(1, 31) f(u), range(1, 31) s(u) WHERE f.u > s.u")
+for _i, _step in ((1, 25), (2, 5), (3, 1)):
+    _CTE[f"k{_i}"] = _kernel_best(f"SELECT f + {_step} * i.d AS f, s + {_step} * j.d AS s FROM k{_i - 1}, range(-5, 6) i(d), range(-5, 6) j(d) WHERE s + {_step} * j.d > 0 AND f + {_step} * i.d - s - {_step} * j.d >= 125")
 _CTE["tops"] = "SELECT draw, max(stat) AS t FROM cells WHERE draw > 0 GROUP BY draw"
 _CTE["xd"] = "SELECT series, idx, x + 1.0 * (idx / (SELECT max(idx) FROM x)::DOUBLE) AS x FROM x"
 
@@ -405,6 +429,12 @@ _FINAL = {
       SELECT regr_slope(y, g) AS b, sqrt(greatest(regr_syy(y, g) - regr_sxy(y, g) ** 2 / regr_sxx(y, g), 0) / ((count(*) - 2) * regr_sxx(y, g))) AS se, count(*) AS n FROM (
         SELECT ln((sum(c * cos(w)) ** 2 + sum(c * sin(w)) ** 2) / (2 * pi() * any_value(n))) AS y, ln(4 * sin(pi() * k / any_value(n)) ** 2) AS g FROM (
           SELECT k, n, c, 2 * pi() * ((k * idx) % n) / n AS w FROM (SELECT idx, x - avg(x) OVER () AS c, count(*) OVER () AS n FROM x) z, range(1, 200) r(k) WHERE k <= floor(sqrt(n))) GROUP BY k))""",
+    "phase_observables_hourly": f"SELECT series, bin::INT AS bin, hours, n, {_r('bias', 'se_bias', 'activity', 'a1', 'se_a1', 'r1', 'f1')} FROM hobs",
+    "phase_matched_response": f"SELECT series, bin::INT AS bin, n, {_r('r1', 'activity', 'r1_matched')}, n_matched FROM hm",
+    "phase_matched_spread": f"""SELECT series, count(*) AS bins, {_r(*[f"CASE WHEN count(*) >= 3 THEN max({c}) - min({c}) END AS spread{e}" for c, e in (('r1', ''), ('r1_matched', '_matched'))], *[f"CASE WHEN count(*) >= 3 AND min({c}) > 0 THEN max({c}) / min({c}) END AS ratio{e}" for c, e in (('r1', ''), ('r1_matched', '_matched'))])}
+      FROM hm WHERE r1 IS NOT NULL AND r1_matched IS NOT NULL GROUP BY series""",
+    "two_component_kernel": f"SELECT 'lineitem' AS series, {_r('f / 1250.0::DOUBLE AS a_fast', 'af AS amp_fast', 's / 1250.0::DOUBLE AS a_slow', 'asl AS amp_slow', '1 - rest / total AS r2')}, n FROM k3",
+    "kernel_temperature": f"SELECT series, lag, {_r('CASE WHEN abs(r) > 1e-12 THEN (f / 1250.0::DOUBLE * af * lag ** (-1 - f / 1250.0::DOUBLE) + s / 1250.0::DOUBLE * asl * lag ** (-1 - s / 1250.0::DOUBLE)) / r END AS t_eff')} FROM resp, k3",
     "correlation_sums": f"SELECT series, lag, {_r('s / pairs AS c')}, pairs FROM csum",
     "pooled_correlation": f"SELECT lag, {_r('sum(s) / sum(pairs) AS c')}, sum(pairs)::BIGINT AS pairs FROM csum GROUP BY lag",
     "fluctuation": f"SELECT 'lineitem' AS series, T, boxes, {_r('f2')} FROM dfa",

@@ -1,12 +1,13 @@
 """The operators against brute force on a sample with every awkward case, and on empty tables."""
 
+import random
 from collections import Counter, defaultdict
 
 import brute
 import pytest
 
 from pyspark.sql import functions as F
-from tideflow.llm import components, decontamination, exact_dedup, mixing, registry, repeats, secrets, sharding, simhash, warc
+from tideflow.llm import _shared, components, decontamination, exact_dedup, mixing, registry, repeats, secrets, sharding, simhash, warc
 
 SF = "/root/testdata/sf0.001"
 
@@ -288,6 +289,28 @@ def test_proximity_matches(spark, edge_docs, pairs):
     assert got == Counter(brute.near(pairs, items))
 
 
+def test_proximity_in_random_texts(spark, monkeypatch):
+    """Windows of a small vocabulary, so that many are nearly there; with no broadcast at all the rows are the same."""
+    rng = random.Random(5)
+    vocabulary = [f"v{i}" for i in range(45)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=n))) for k, n in enumerate((13, 15, 4, 1, 2, 13))]
+    texts = []
+    for _ in range(60):
+        words = rng.choices(vocabulary + ["w"] * 5, k=rng.randrange(1, 150))
+        window = rng.choice(items)[1].split()
+        for w in rng.sample(window, len(window) * 5 // 6):
+            words.insert(rng.randrange(len(words) // 2, len(words) // 2 + 9), w)
+        texts.append(" ".join(words))
+    docs, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = Counter(brute.near(list(enumerate(texts)), items))
+    assert len({n for _, n in want}) > 2
+    for limit in (_shared.MAX_BROADCAST_BYTES, 0):
+        monkeypatch.setattr(_shared, "MAX_BROADCAST_BYTES", limit)
+        assert Counter((r["doc_id"], r["n_near"]) for r in decontamination.decontaminate(docs, bench).collect()) == want
+    with pytest.raises(ValueError):
+        decontamination.decontaminate(docs, spark.createDataFrame([(1, " ".join(map(str, range(400))))], "item_id long, text string"), 400)
+
+
 def test_warc(spark):
     pages = [(1, "http://a/x y", "<p>same</p>"), (2, None, "<p>same</p>"), (3, "u", None), (4, "u\r\nInjected: 1", ""), (None, "n", "<p>same</p>"), (None, None, "only"), (2, None, "<p>same</p>"), (9, "é", "ß" * 200_000), (10, "r", "\r\n\r\nWARC/1.1\r\n")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit("clash")).withColumn("n", F.lit(0))

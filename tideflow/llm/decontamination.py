@@ -6,8 +6,9 @@
    offset, are the places where the window may start; the lists of the next terms, less theirs, are
    intersected with them one after another, and what is left of the lists with what is left of the places.
    All joins but the first are on (term, row, position), so a common term is split by document and place.
-4. A proximity match is a run of words that holds most of a window's distinct terms, in any order.
-   It lacks a few at most, so one of as many terms and one more must be there: the rarest are looked up.
+4. A proximity match is a run of words that holds most of a window's distinct terms, in any order. It lacks a few at
+   most, so two of as many and two more must be near each other: the rarest terms' lists give the candidates, by
+   blocks of places, and the lists of all terms in those blocks decide. The texts are not read again.
 """
 
 from __future__ import annotations
@@ -17,15 +18,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideflow.llm._shared import bounded, drop_scratch, materialize, table
+from tideflow.llm._shared import NARROW, bounded, drop_scratch, materialize, table
 
 WINDOW = 13
 #: Proximity: at least this share of a window's distinct terms within as many words as two windows.
 SHARE, NEAR_WORDS = 0.8, 2 * WINDOW
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Words of the pieces in which proximity looks at a text, so that no row carries a long one.
-STRETCH = 256
+#: Terms that a proximity match may lack at most, so that a word's bits hold the rarest of them.
+MAX_SPARE = 60
 #: Terms whose lists are intersected one at a time; few places are left for the others.
 SINGLE_TERMS = 3
 
@@ -98,36 +99,42 @@ def phrase_matches(index: DataFrame, plans: DataFrame) -> DataFrame:
     return met.where("met = n_rest").select("row", "window", "start", "length")
 
 
-def stretches(store: DataFrame, reach: int) -> DataFrame:
-    """row, lead, part: texts in pieces of ``STRETCH`` words with ``reach`` more on either side, of which ``lead`` come first."""
-    first = lambda c: F.greatest(c * STRETCH - reach, F.lit(0))
-    piece = lambda c: F.struct((c * STRETCH - first(c)).alias("lead"), F.slice("tokens", first(c) + 1, c * STRETCH - first(c) + STRETCH + reach).alias("part"))
-    cut = F.transform(F.sequence(F.lit(0), F.expr(f"(size(tokens) - 1) div {STRETCH}").cast("int")), piece)
-    return store.where(F.size("tokens") > 0).select("row", F.explode(cut).alias("piece")).select("row", "piece.lead", "piece.part")
+def proximity_matches(index: DataFrame, plans: DataFrame, share: float = SHARE, words: int = NEAR_WORDS) -> DataFrame:
+    """(row, window), each once: texts in which some run of ``words`` words holds ``share`` of a window's distinct terms.
 
-
-def proximity_matches(store: DataFrame, plans: DataFrame, share: float = SHARE, words: int = NEAR_WORDS) -> DataFrame:
-    """(row, window), each once: texts in which some run of ``words`` words holds ``share`` of a window's distinct terms."""
-    distinct = F.array_distinct("words")
-    need = F.ceil(F.lit(share) * F.size(distinct)).cast("int")
-    rarest = F.array_distinct(F.transform("terms", lambda t: t["term"]))
-    probes = plans.select("window", distinct.alias("wanted"), F.transform(distinct, lambda w: F.xxhash64(w)).alias("wanted_hashes"), need.alias("need"), F.explode(F.slice(rarest, F.lit(1), F.size(distinct) - need + 1)).alias("term"))
-    size = plans.agg(F.coalesce(F.sum((F.octet_length(F.concat_ws("", "words")) + 600) * (F.size(distinct) - need + 1)), F.lit(0))).first()[0]
-    pieces = stretches(store, words - 1).withColumn("part_hashes", hashes("part"))
-    placed = pieces.select("row", "lead", "part", "part_hashes", F.posexplode("part").alias("pos", "term"))
-    placed = placed.where((F.col("pos") >= F.col("lead")) & (F.col("pos") < F.col("lead") + STRETCH))
-    start = F.greatest(F.col("pos") - words + 1, F.lit(0))
-    around = lambda c: F.slice(c, start + 1, F.col("pos") - start + words)
-    # a run with the term lies around it: enough terms there, by their hashes, and only then a look at each run
-    enough = F.size(F.array_intersect("wanted_hashes", around("part_hashes"))) >= F.col("need")
-    run = lambda i: F.size(F.array_intersect("wanted", F.slice(around("part"), i, F.lit(words)))) >= F.col("need")
-    starts = F.sequence(F.lit(1), F.greatest(F.size(around("part")) - words + 1, F.lit(1)))
-    met = (F.col("term") == F.col("probe")) & F.when(enough, F.exists(starts, run)).otherwise(F.lit(False))
-    return placed.join(bounded(probes, size).withColumnRenamed("term", "probe"), met).select("row", "window").distinct()
-
-
-def hashes(words: str) -> Column:
-    return F.transform(words, lambda w: F.xxhash64(w))
+    A run lies in two blocks of ``words`` places that follow each other. Such a pair lacks ``spare`` terms at most, so of the
+    ``spare`` + 2 rarest it holds two; the lists of these give the candidates, those of all terms, for the candidates' blocks only,
+    the places between which runs are counted: no more than two blocks for each candidate. Raises where ``spare`` is above MAX_SPARE.
+    """
+    ranked = F.array_distinct(F.transform("terms", lambda t: t["term"]))
+    need = F.ceil(F.lit(share) * F.size(ranked)).cast("int")
+    wanted = materialize(plans.select("window", ranked.alias("ranked"), need.alias("need"), (F.size(ranked) - need).alias("spare")), "wanted")
+    size, most = wanted.agg(F.coalesce(F.sum(F.octet_length(F.concat_ws("", "ranked")) + NARROW * F.size("ranked")), F.lit(0)), F.max("spare")).first()
+    if most is not None and most > MAX_SPARE:
+        raise ValueError(f"a window may lack {MAX_SPARE} terms at most")
+    by_term = wanted.select("window", "need", "spare", F.posexplode("ranked").alias("rank", "term"))
+    placed = index.select("term", "row", F.expr(f"cast(pos div {words} as int)").alias("block"), "pos")
+
+    rare = bounded(by_term.where(F.col("rank") < F.col("spare") + 2).select("window", "rank", "term"), size)
+    pairs = F.explode(F.array(F.col("block"), F.greatest(F.col("block") - 1, F.lit(0))))
+    here = placed.select("term", "row", pairs.alias("pair")).join(rare, "term")
+    seen = here.groupBy("row", "pair", "window").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("rank"))).alias("bits"))
+    # windows of few terms have no more than these
+    short = wanted.select("window", F.least(F.lit(2), F.size("ranked") - F.col("spare")).alias("least"))
+    found = seen.join(bounded(short, NARROW * wanted.count()), "window").where(F.bit_count("bits") >= F.col("least"))
+    found = materialize(found.select("row", "pair", "window"), "near_pairs")
+
+    both = found.withColumn("block", F.explode(F.array(F.col("pair"), F.col("pair") + 1)))
+    blocks = both.select("row", "block").distinct()
+    lists = placed.join(bounded(blocks, 2 * NARROW * found.count()), ["row", "block"], "left_semi")
+    met = both.join(bounded(by_term.drop("spare"), size), "window").join(lists, ["row", "block", "term"])
+    places = met.groupBy("row", "pair", "window", "need").agg(F.collect_list(F.struct("pos", "rank")).alias("places"))
+
+    def enough(first: Column) -> Column:
+        run = F.filter("places", lambda p: (p["pos"] >= first["pos"]) & (p["pos"] < first["pos"] + words))
+        return F.size(F.array_distinct(F.transform(run, lambda p: p["rank"]))) >= F.col("need")
+
+    return places.where((F.size("places") >= F.col("need")) & F.exists("places", enough)).select("row", "window").distinct()
 
 
 def document_hits(matches: DataFrame, owners: DataFrame) -> DataFrame:
@@ -156,16 +163,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, n
     windows = materialize(benchmark_windows(benchmark, window), "items")
     terms, size = vocabulary(windows)
     index = postings(store, terms, size)
+    heads = materialize(store.drop("tokens"), "heads")
+    drop_scratch(store)
     plans = plan(windows, index, size)
     owners = materialize(windows.join(plans.select("window", "words"), "words").select("window", "item_id"), "owners")
     hits = document_hits(phrase_matches(index, plans), owners)
-    out = store.drop("tokens").join(materialize(hits, "hits"), "row", "left")
-    drop_scratch(index)
+    out = heads.join(materialize(hits, "hits"), "row", "left")
     columns = ["doc_id", "text_hash", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     if near:
-        close = proximity_matches(store, plans).join(owners, "window").groupBy("row").agg(F.count_distinct("item_id").alias("n_near"))
+        close = proximity_matches(index, plans).join(owners, "window").groupBy("row").agg(F.count_distinct("item_id").alias("n_near"))
         out = out.join(materialize(close, "near"), "row", "left").withColumn("n_near", F.coalesce("n_near", F.lit(0).cast("long")))
         columns.append("n_near")
+    drop_scratch(index)
     n_hit, items = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
     return out.withColumns({
         "n_hit": n_hit, "n_items": F.size(items).cast("long"), "items_sha256": F.sha2(F.concat_ws(",", items), 256),

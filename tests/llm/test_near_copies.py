@@ -89,3 +89,27 @@ def test_no_link_is_lost_in_a_large_bucket(spark):
     assert len(want) < len(rows)
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, d, "").collect()) == want
+
+
+def test_a_crowd_that_is_alike_makes_few_pairs(spark, monkeypatch):
+    """Edits of one original, near to few of the others: links by common shingles alone are found, and most pairs never made."""
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(140)]
+    rows = []
+    for i in range(400):
+        text = list(base)
+        for at in rng.sample(range(2, 138, 4), rng.choice((2, 3, 3, 3))):
+            text[at] = f"own{i}x{at}"
+        rows.append((i, " ".join(text)))
+    seen, alike = {}, near_copies._alike
+
+    def spy(pairs, sets, similarity, name):
+        found = alike(pairs, sets, similarity, name)
+        seen[name] = (pairs.count(), found.count())
+        return found
+
+    monkeypatch.setattr(near_copies, "_alike", spy)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, d, "").collect()) == kept(rows)
+    made, links = seen["rest"]
+    assert links and made < 10_000

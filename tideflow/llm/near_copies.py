@@ -13,8 +13,10 @@ with its bucket's lead: the text that shares most buckets with others, to which
 original are nearer than to each other. What is still apart in a bucket is mostly texts that share a passage and little
 else, far too many to pair. In any order of shingles, two sets of similarity s share one of the first n - s n + 1 of
 each; with the rare ones first, texts that have so many rare shingles are compared only where they share a rare one, of
-which each has few owners. Texts of common shingles alone are compared with those of their bucket in other
-components. So no link is lost, whatever the size of a bucket.
+which each has few owners. Texts of common shingles alone meet those of their bucket in other components, and become a pair
+only if a lower bound of their distance allows it: each has a sketch of the common shingles, whose bits are the parities
+of those hashed there, and two sets differ in at least as many shingles as their sketches in bits. So no link is lost,
+whatever the size of a bucket, and few pairs that are none are made.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideflow.llm._shared import NARROW, bounded, drop_scratch, materialize
@@ -36,6 +38,8 @@ BANDS = 60
 BAND_ROWS = 5
 #: Texts of which a shingle may be part and still be rare.
 RARE = 8
+#: Longs of a sketch.
+SKETCH = 8
 SEED = 42
 _PIECE = 1 << 10
 _RNG = np.random.default_rng(SEED)
@@ -131,6 +135,18 @@ def _merged(roots: DataFrame, found: DataFrame, name: str) -> DataFrame:
     return materialize(every.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root")), name)
 
 
+def _parities(word: int) -> Column:
+    """One long of a sketch: each bit is the parity of the shingles ``s`` hashed there."""
+    return F.bit_xor(F.expr(f"CASE WHEN (shiftrightunsigned(s, 6) & {SKETCH - 1}) = {word} THEN shiftleft(1L, CAST(s & 63 AS INT)) ELSE 0L END"))
+
+
+def _may_link(similarity: float) -> Column:
+    """Whether texts a and b that share no rare shingle may reach the similarity, by their numbers of common ones and the sketches."""
+    need = F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - 1e-6
+    apart = sum((F.bit_count(F.col(f"w{i}_a").bitwiseXOR(F.col(f"w{i}_b"))) for i in range(SKETCH)), F.lit(0))
+    return (F.least("common_a", "common_b") >= need) & (F.col("common_a") + F.col("common_b") - apart >= 2 * need)
+
+
 def _unsettled_pairs(shared: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(u, n_u, v, n_v): pairs of texts of a bucket that may be alike and lie in different components. shared: key, node, n."""
     rooted = _rooted(shared, roots)
@@ -147,12 +163,14 @@ def _unsettled_pairs(shared: DataFrame, roots: DataFrame, sets: DataFrame, simil
 
     # texts whose first shingles, rare ones ahead, reach into the common ones
     n = F.col("n")
-    heavy = owned.where(F.col("df") > RARE).groupBy("node", "n").agg(F.count("*").alias("common")).where(n - F.col("common") < n - F.ceil(F.lit(similarity) * n - 1e-9) + 1).select("node")
+    common = owned.where(F.col("df") > RARE).groupBy("node", "n").agg(F.count("*").alias("common"), F.array(*map(_parities, range(SKETCH))).alias("sketch"))
+    heavy = common.where(n - F.col("common") < n - F.ceil(F.lit(similarity) * n - 1e-9) + 1).select("node", "common", *[F.col("sketch")[i].alias(f"w{i}") for i in range(SKETCH)])
     among = materialize(live.join(heavy, "node"), "heavy")
     parts = among.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("most")).select("key", F.col("most.root").alias("main"))
     among = among.join(parts, "key")
-    left = among.where("root != main").select("key", "main", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("r_a"))
-    both = left.join(among.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("r_b")).hint("merge"), "key").where("r_a != r_b AND (r_b = main OR a < b)")
+    side = lambda x: [F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "common", *[f"w{i}" for i in range(SKETCH)])], F.col("root").alias(f"r_{x}")]
+    left = among.where("root != main").select("key", "main", *side("a"))
+    both = left.join(among.select("key", *side("b")).hint("merge"), "key").where("r_a != r_b AND (r_b = main OR a < b)").where(_may_link(similarity))
     pick = lambda x, y: F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y))
     by_bucket = both.select(pick("a", "b").alias("a"), pick("n_a", "n_b").alias("n_a"), pick("b", "a").alias("b"), pick("n_b", "n_a").alias("n_b"))
     return by_rare.unionByName(by_bucket).select(F.col("a").alias("u"), F.col("n_a").alias("n_u"), F.col("b").alias("v"), F.col("n_b").alias("n_v"))

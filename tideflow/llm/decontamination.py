@@ -118,10 +118,12 @@ def proximity_matches(store: DataFrame, plans: DataFrame, share: float = SHARE,
     placed = placed.where((F.col("pos") >= F.col("lead")) & (F.col("pos") < F.col("lead") + STRETCH))
     start = F.greatest(F.col("pos") - words + 1, F.lit(0))
     around = lambda c: F.slice(c, start + 1, F.col("pos") - start + words)
+    # few words are looked up; only they take along what lies around them
+    placed = placed.join(bounded(probes.select("term").distinct(), size), "term", "left_semi").select("row", "term", around("part").alias("near"), around("part_hashes").alias("near_hashes"))
     # a run with the term lies around it: enough terms there, by their hashes, and only then a look at each run
-    enough = F.size(F.array_intersect("wanted_hashes", around("part_hashes"))) >= F.col("need")
-    run = lambda i: F.size(F.array_intersect("wanted", F.slice(around("part"), i, F.lit(words)))) >= F.col("need")
-    starts = F.sequence(F.lit(1), F.greatest(F.size(around("part")) - words + 1, F.lit(1)))
+    enough = F.size(F.array_intersect("near_hashes", "wanted_hashes")) >= F.col("need")
+    run = lambda i: F.size(F.array_intersect("wanted", F.slice("near", i, F.lit(words)))) >= F.col("need")
+    starts = F.sequence(F.lit(1), F.greatest(F.size("near") - words + 1, F.lit(1)))
     met = (F.col("term") == F.col("probe")) & F.when(enough, F.exists(starts, run)).otherwise(F.lit(False))
     return placed.join(bounded(probes, size).withColumnRenamed("term", "probe"), met).select("row", "window").distinct()
 

@@ -6,7 +6,7 @@ from collections import Counter
 import brute
 import corpus_pipeline
 
-from tideflow.llm import near_copies
+from tideflow.llm import _shared, components, near_copies
 
 
 def kept(rows, shingle=5, similarity=0.8):
@@ -113,3 +113,27 @@ def test_a_crowd_that_is_alike_makes_few_pairs(spark, monkeypatch):
     assert Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, d, "").collect()) == kept(rows)
     made, links = seen["rest"]
     assert links and made < 10_000
+
+
+def test_components_stop_at_stars_and_shuffle_little(spark, monkeypatch):
+    """What a round costs the driver: its plan's shuffles; and stars, or no links at all, need no round."""
+    written = []
+
+    def noted(df, name):
+        written.append((name, df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")))
+        return _shared.materialize(df, name)
+
+    monkeypatch.setattr(components, "materialize", noted)
+    stars = spark.createDataFrame([(9, 1), (5, 1), (8, 2)], "u long, v long")
+    assert {tuple(r) for r in components.components(stars).collect()} == {(9, 1), (5, 1), (1, 1), (8, 2), (2, 2)}
+    assert components.components(stars.limit(0)).count() == 0
+    assert [name for name, _ in written] == ["components0", "components0"]
+    written.clear()
+    chain = spark.createDataFrame([(k + 1, k) for k in range(40)], "u long, v long").repartition(3)
+    assert {tuple(r) for r in components.components(chain).collect()} == {(k, 0) for k in range(41)}
+    assert len(written) > 1 and all(n <= 5 for _, n in written[1:])
+
+
+def test_roots_stay_as_they_are_without_further_links(spark):
+    roots = spark.createDataFrame([(1, 1), (2, 1)], "node long, root long")
+    assert near_copies._merged(roots, spark.createDataFrame([], "u long, v long"), "roots") is roots

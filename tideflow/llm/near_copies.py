@@ -103,8 +103,8 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float, name: str) -> D
     pairs = materialize(pairs.where(F.least("n_u", "n_v") / F.greatest("n_u", "n_v") >= similarity).distinct(), f"{name}-pairs")
     ends = pairs.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("n_u").alias("n")), F.struct(F.col("v").alias("node"), F.col("n_v").alias("n")))).alias("e")).select("e.*").distinct()
     ends = materialize(ends, f"{name}-ends")
-    bytes_ = ends.agg(F.coalesce(F.sum(F.col("n").cast("long") * 8 + NARROW), F.lit(0))).first()[0]
-    sets = sets.join(bounded(ends.select("node"), ends.count() * NARROW), "node", "left_semi")
+    bytes_, known = ends.agg(F.coalesce(F.sum(F.col("n").cast("long") * 8 + NARROW), F.lit(0)), F.count("*")).first()
+    sets = sets.join(bounded(ends.select("node"), known * NARROW), "node", "left_semi")
     both = pairs.join(bounded(sets.select(F.col("node").alias("v"), F.col("shingles").alias("s_v")), bytes_), "v")
     both = both.join(bounded(sets.select(F.col("node").alias("u"), F.col("shingles").alias("s_u")), bytes_), "u")
     common = F.size(F.array_intersect("s_u", "s_v"))
@@ -127,6 +127,8 @@ def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _merged(roots: DataFrame, found: DataFrame, name: str) -> DataFrame:
     """``roots`` after the links ``found`` (u, v), by the components of roots that these link."""
+    if not found.count():
+        return roots
     nodes = found.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(roots, "node", "left_anti")
     every = materialize(roots.unionByName(nodes.select("node", F.col("node").alias("root"))), f"{name}-nodes")
     r = lambda c: every.select(F.col("node").alias(c), F.col("root").alias(f"r_{c}"))
@@ -159,7 +161,7 @@ def _unsettled_pairs(shared: DataFrame, roots: DataFrame, sets: DataFrame, simil
 
     rare = owned.where(F.col("df") <= RARE)
     a, b = rare.select("s", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("r_a")), rare.select("s", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("r_b"))
-    by_rare = a.join(b, "s").where("a < b AND r_a != r_b").select("a", "n_a", "b", "n_b").distinct()
+    by_rare = a.join(b, "s").where("a < b AND r_a != r_b").select("a", "n_a", "b", "n_b")  # repeats go later
 
     # texts whose first shingles, rare ones ahead, reach into the common ones
     n = F.col("n")
@@ -184,8 +186,8 @@ def near_copy_roots(marked: DataFrame, similarity: float = SIMILARITY) -> DataFr
     placed = materialize(nodes.select("node", "n", F.explode("keys").alias("key")), "placed")
     crowd = placed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     shared = materialize(placed.join(crowd, "key"), "buckets")
-    wanted = shared.groupBy("node").agg(F.sum("size").alias("score"))
-    wanted = materialize(wanted.unionByName(close.select(F.explode(F.array("u", "v")).alias("node"), F.lit(0).cast("long").alias("score"))).groupBy("node").agg(F.max("score").alias("score")), "wanted")
+    wanted = shared.select("node", F.col("size").alias("score")).unionByName(close.select(F.explode(F.array("u", "v")).alias("node"), F.lit(0).cast("long").alias("score")))
+    wanted = materialize(wanted.groupBy("node").agg(F.sum("score").alias("score")), "wanted")
     known = wanted.count() * NARROW
     sets = materialize(marked.select("node", "shingles").join(bounded(wanted.select("node"), known), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
